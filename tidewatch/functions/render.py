@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,11 +81,11 @@ def scoped(key: str, *maps: Column) -> Column:
 
 def merge_maps(*maps: Column) -> Column:
     """One map out of several; list them from weakest to strongest."""
-    merged = maps[0]
-    for stronger in maps[1:]:
-        kept = F.map_filter(merged, lambda k, _, s=stronger: ~F.map_contains_key(s, k))
-        merged = F.map_concat(kept, stronger)
-    return merged
+
+    def lay_over(weaker: Column, stronger: Column) -> Column:
+        return F.map_concat(F.map_filter(weaker, lambda k, _: ~F.map_contains_key(stronger, k)), stronger)
+
+    return reduce(lay_over, maps)
 
 
 def event_variables(

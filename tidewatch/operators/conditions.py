@@ -323,9 +323,12 @@ def _join_glob(rows: DataFrame, node: GlobExists, markers: DataFrame, name: str)
         start = F.regexp_extract("__glob", r"^([^*?\[]*)", 1)
         globs = rows.select("__dir", "__glob").distinct().withColumn("__start", start)
         lengths = globs.select(F.collect_set(F.length("__start"))).scalar()
-        starts = files.withColumn(
-            "__len", F.explode(F.filter(lengths, lambda n: n <= F.length("__base")))
-        ).withColumn("__start", F.expr("substring(__base, 1, __len)"))
+        starts = (
+            files.withColumn("__lens", lengths)
+            .select("*", F.explode(F.filter("__lens", lambda n: n <= F.length("__base"))).alias("__len"))
+            .withColumn("__start", F.expr("substring(__base, 1, __len)"))
+            .select("__dir", "__base", "__start")
+        )
         body = F.regexp_replace("__glob", r"([\\.^$|()+{}])", r"\\$1")
         body = F.regexp_replace(F.regexp_replace(body, r"\[!", "[^"), r"\*", "[^/]*")
         body = F.regexp_replace(body, r"(?<!\[\^/\]\*)\?", "[^/]")

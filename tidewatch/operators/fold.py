@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.session import shared_dir
 
@@ -99,7 +100,9 @@ def _summarise(kernel: Kernel, numeric: set[str], entries: dict[int, Any]):
     return run
 
 
-def _emit(kernel: Kernel, numeric: set[str], entries: dict[int, Any], keep: list[str], names: list[str]):
+def _emit(kernel: Kernel, numeric: set[str], entries: dict[int, Any], keep: list[str]):
+    types = {field.name: to_arrow_type(field.dataType) for field in kernel.outputs}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = state = None
         started = False
@@ -109,15 +112,14 @@ def _emit(kernel: Kernel, numeric: set[str], entries: dict[int, Any], keep: list
             cols = _columns(batch, numeric)
             if not started:
                 started, key, state = True, cols["__key"][0], entries.get(int(cols["__pid"][0]))
-            out: dict[str, list] = {name: [] for name in names}
+            out: dict[str, list] = {name: [] for name in types}
             for lo, hi in _runs(cols["__key"]):
                 if cols["__key"][lo] != key:
                     key, state = cols["__key"][lo], None
                 state = kernel.run(state, cols, lo, hi, out)
             kept = [batch.column(batch.schema.get_field_index(name)) for name in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, *[pa.array(out[name]) for name in names]], names=[*keep, *names]
-            )
+            made = [pa.array(out[name], kind) for name, kind in types.items()]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keep, *types])
 
     return run
 
@@ -204,5 +206,4 @@ def ordered_fold(
 
     entries = _resolve(kernel, parts, reports, fold_again)
     schema = T.StructType([*rows.schema.fields, *kernel.outputs.fields])
-    names = [f.name for f in kernel.outputs]
-    return sorted_rows.mapInArrow(_emit(kernel, numeric, entries, rows.columns, names), schema)
+    return sorted_rows.mapInArrow(_emit(kernel, numeric, entries, rows.columns), schema)

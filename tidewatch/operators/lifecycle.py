@@ -476,7 +476,7 @@ def start_results(starts: DataFrame, submissions: DataFrame) -> DataFrame:
     ``starts(job_id, attempts, ts)``, ``submissions(job_id, runtime_job_id)``.
     """
     ids = submissions.select("job_id", "runtime_job_id")
-    return starts.join(ids, "job_id", "left").select(
+    return starts.drop("runtime_job_id").join(ids, "job_id", "left").select(
         "job_id",
         (F.col("attempts") + 1).alias("attempts"),
         F.col("ts").alias("start_ts"),

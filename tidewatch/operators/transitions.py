@@ -30,24 +30,6 @@ def attach_status(jobs: DataFrame, status: DataFrame) -> DataFrame:
     return jobs.join(known, "runtime_job_id", "left")
 
 
-def with_missing(snapshots: DataFrame, polls: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row per poll and job, with NULL status where the job was not reported.
-
-    ``jobs(runtime_job_id, from_ts, to_ts)`` says when a job was watched. The polls of that span come from an
-    equi-join on the day, so this grows with the result, not with all pairs.
-    """
-    day = F.to_date("ts")
-    spans = jobs.withColumn(
-        "__day", F.explode(F.sequence(F.to_date("from_ts"), F.to_date("to_ts")))
-    )
-    grid = (
-        spans.join(polls.select("ts", day.alias("__day")).distinct(), "__day")
-        .filter(F.col("ts").between(F.col("from_ts"), F.col("to_ts")))
-        .select("runtime_job_id", "ts")
-    )
-    return grid.join(snapshots.select("runtime_job_id", "ts", "status"), ["runtime_job_id", "ts"], "left")
-
-
 def status_changes(
     snapshots: DataFrame, key: str = "runtime_job_id", order: Sequence[str] = ("ts",), limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
@@ -65,6 +47,47 @@ def status_changes(
     )
 
 
+def status_changes_with_missing(
+    snapshots: DataFrame, polls: DataFrame, key: str = "runtime_job_id", limit: int = DEFAULT_LIMIT
+) -> DataFrame:
+    """Changes of status where a key that a poll does not report has NULL status at that poll.
+
+    ``snapshots`` holds one row per key and poll time, ``polls(ts)`` all poll times. The rows that are missing are
+    never made: a key was missing when its previous snapshot is older than the previous poll.
+    """
+    times = polls.select("ts").distinct().withColumn("__all", F.lit(0))
+    before = previous(times, ["__all"], ["ts"], {"ts": "prev_poll"}, limit).select("ts", "prev_poll")
+    after = before.select(F.col("prev_poll").alias("ts"), F.col("ts").alias("next_poll"))
+    around = before.join(after, "ts", "left")
+    reported = snapshots.filter(F.col("status").isNotNull()).select(key, "ts", "status").join(around, "ts")
+    seen = previous(
+        reported, [key], ["ts"], {"status": "old", "ts": "old_ts", "next_poll": "gone_at"}, limit
+    )
+    absent = F.col("has_previous") & (F.col("old_ts") < F.col("prev_poll"))
+    none = F.lit(None).cast("string")
+
+    def change(ts, old, new):
+        return F.struct(ts.alias("ts"), old.alias("old_status"), new.alias("new_status"))
+
+    back = change(F.col("ts"), none, F.col("status"))
+    gone = change(F.col("gone_at"), F.col("old"), none)
+    direct = change(F.col("ts"), F.col("old"), F.col("status"))
+    found = (
+        F.when(absent, F.array(gone, back))
+        .when(~F.col("old").eqNullSafe(F.col("status")), F.array(direct))
+        .otherwise(F.array())
+    )
+    inner = seen.select(key, F.explode(found).alias("c")).select(key, "c.*")
+    last = reported.groupBy(key).agg(F.max_by(F.struct("status", "next_poll"), F.col("ts")).alias("l"))
+    ended = last.filter(F.col("l.next_poll").isNotNull()).select(
+        key, F.col("l.next_poll").alias("ts"), F.col("l.status").alias("old_status"), none.alias("new_status")
+    )
+    spelled = F.concat(
+        F.coalesce("old_status", F.lit("None")), F.lit(" -> "), F.coalesce("new_status", F.lit("None"))
+    )
+    return inner.unionByName(ended).withColumn("transition", spelled)
+
+
 def match_state_rules(changes: DataFrame, rules: Sequence[StateRule]) -> DataFrame:
     """One row per change and matching rule. The rules are literals, so this is a map-only step."""
     hits = []

@@ -1,0 +1,127 @@
+"""Queries that replay jobs over their triggers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.operators.actions import Action
+from tidewatch.operators.conditions import Cooldown, MaxAttempts
+from tidewatch.operators.lifecycle import (
+    Spec,
+    chunk_effects,
+    close_jobs,
+    effect_column,
+    job_outcomes,
+    replay,
+    trigger_rows,
+)
+from tidewatch.operators.matching import match_triggers
+from tidewatch.operators.rules import LogRule
+from tidewatch.plans.tables import query, table, turn_chunks
+
+RESTART, FINISH, CANCEL = Action("RestartAction"), Action("FinishAction"), Action("CancelAction")
+NOTE = Action("LogAction", "{match}")
+
+GATED = Spec(
+    log_rules=[
+        LogRule("stuck", "^Er", "regex", RESTART, condition=MaxAttempts(max_attempts=3)),
+        LogRule("done", "heit", action=FINISH),
+        LogRule("fatal", "^Un", "regex", CANCEL),
+        LogRule("progress", "tion", action=NOTE, condition=Cooldown(cooldown_seconds=2)),
+    ]
+)
+PLAIN = Spec(
+    log_rules=[
+        LogRule("stuck", "^Er", "regex", RESTART, match_once=False),
+        LogRule("done", "heit", action=FINISH),
+        LogRule("fatal", "^Un", "regex", CANCEL),
+        LogRule("progress", "tion", action=NOTE, match_once=False),
+    ]
+)
+
+
+def _hits(once: bool) -> str:
+    """Hits of the four rules, named ``hits``."""
+    cut = "[1:1]" if once else ""
+    single = "[1:1]"
+    parts = []
+    for idx, (pattern, c) in enumerate((("(?m)^Er", cut), ("heit", single), ("(?m)^Un", single), ("tion", cut))):
+        parts.append(
+            f"""SELECT job_id, chunk_seq, {idx} AS rule_idx, CAST(generate_subscripts(m, 1) - 1 AS INTEGER) AS match_seq
+      FROM (SELECT conv_id AS job_id, turn AS chunk_seq, regexp_extract_all(text, '{pattern}'){c} AS m FROM conversations)
+      WHERE len(m) > 0"""
+        )
+    return "hits AS (" + " UNION ALL ".join(parts) + ")"
+
+
+def _rows(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
+    hits = match_triggers(turn_chunks(spark, sf_dir), spec.log_rules, payload=False)
+    return trigger_rows(hits, spec)
+
+
+STOPS_SQL = f"""{_hits(False)}, stops AS (SELECT job_id, chunk_seq, min((rule_idx, match_seq)) AS stop FROM hits
+  WHERE rule_idx < 3 GROUP BY 1, 2),
+kept AS (SELECT hits.*, coalesce((rule_idx, match_seq) = stop, false) AS stops FROM hits
+  LEFT JOIN stops USING (job_id, chunk_seq) WHERE stop IS NULL OR (rule_idx, match_seq) <= stop)"""
+
+
+@query("chunk_effect", f"WITH {STOPS_SQL} SELECT job_id, chunk_seq, rule_idx, match_seq, stops FROM kept")
+def chunk_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is evaluated in each turn: everything up to the first restart, finish or cancel."""
+    kept = chunk_effects(_rows(spark, sf_dir, PLAIN), effect_column(PLAIN), F.lit(True))
+    return kept.select("job_id", "chunk_seq", "rule_idx", "match_seq", F.col("chunk_stop").alias("stops"))
+
+
+CLOSED_SQL = f"""{STOPS_SQL}, ends AS (SELECT job_id, min((chunk_seq, rule_idx, match_seq)) AS fin FROM kept
+  WHERE stops AND rule_idx IN (1, 2) GROUP BY 1),
+open_rows AS (SELECT kept.* FROM kept LEFT JOIN ends USING (job_id)
+  WHERE fin IS NULL OR (chunk_seq, rule_idx, match_seq) <= fin)"""
+
+
+@query("lifecycle_close", f"WITH {CLOSED_SQL} SELECT job_id, chunk_seq, rule_idx, match_seq FROM open_rows")
+def lifecycle_close(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = chunk_effects(_rows(spark, sf_dir, PLAIN), effect_column(PLAIN), F.lit(True))
+    ends = F.col("chunk_stop") & F.col("rule_idx").isin(1, 2)
+    return close_jobs(kept, ends).select("job_id", "chunk_seq", "rule_idx", "match_seq")
+
+
+@query(
+    "lifecycle_replay_stateless",
+    f"""WITH {CLOSED_SQL} SELECT job_id, chunk_seq, rule_idx, match_seq,
+      CAST(1 + sum(CASE WHEN rule_idx = 0 AND stops THEN 1 ELSE 0 END) OVER (PARTITION BY job_id
+        ORDER BY chunk_seq, rule_idx, match_seq) AS INTEGER) AS attempts,
+      CASE WHEN stops AND rule_idx = 1 THEN 'finished' WHEN stops AND rule_idx = 2 THEN 'cancelled' END AS outcome
+    FROM open_rows""",
+)
+def lifecycle_replay_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules without remembered state: answered by windows and aggregates alone."""
+    done = replay(_rows(spark, sf_dir, PLAIN), PLAIN)
+    return done.select("job_id", "chunk_seq", "rule_idx", "match_seq", "attempts", "outcome")
+
+
+REPLAY_SQL = f"""WITH RECURSIVE {_hits(True)},
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY chunk_seq, rule_idx) AS k FROM hits),
+r AS (
+  SELECT DISTINCT conv_id AS job_id, CAST(0 AS BIGINT) AS k, 1 AS attempts, CAST(NULL AS VARCHAR) AS outcome,
+    CAST(-1 AS BIGINT) AS closed, CAST(-1000 AS BIGINT) AS said, 0 AS fired FROM conversations
+  UNION ALL
+  SELECT job_id, next_k,
+    CASE WHEN live AND rule_idx = 0 AND attempts < 3 THEN attempts + 1 ELSE attempts END,
+    CASE WHEN live AND rule_idx = 1 THEN 'finished' WHEN live AND rule_idx = 2 THEN 'cancelled' ELSE outcome END,
+    CASE WHEN live AND rule_idx = 0 AND attempts < 3 THEN chunk_seq ELSE closed END,
+    CASE WHEN live AND rule_idx = 3 AND chunk_seq - said >= 2 THEN chunk_seq ELSE said END,
+    fired + CASE WHEN live AND (rule_idx IN (1, 2) OR (rule_idx = 0 AND attempts < 3)
+      OR (rule_idx = 3 AND chunk_seq - said >= 2)) THEN 1 ELSE 0 END
+  FROM (SELECT r.*, n.k AS next_k, rule_idx, chunk_seq, outcome IS NULL AND closed <> chunk_seq AS live
+    FROM r JOIN n ON n.job_id = r.job_id AND n.k = r.k + 1))
+SELECT job_id, arg_max(attempts, k) AS attempts, arg_max(outcome, k) AS final_state, CAST(max(fired) AS BIGINT) AS fired
+FROM r GROUP BY 1"""
+
+
+@query("lifecycle_replay", REPLAY_SQL)
+def lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restarts limited to three attempts, a finish, a cancel, and a message with a cooldown of two turns."""
+    done = replay(_rows(spark, sf_dir, GATED), GATED)
+    all_jobs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"))
+    return job_outcomes(done, all_jobs)

@@ -18,7 +18,7 @@ from tidewatch.operators.transitions import (
     merge_status,
     status_at_chunk,
     status_changes,
-    with_missing,
+    status_changes_with_missing,
 )
 from tidewatch.plans.tables import SNAPSHOTS_SQL, query, snapshots, table
 
@@ -143,13 +143,13 @@ def inactivity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DAILY_SQL = """daily AS (SELECT user_id AS runtime_job_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts,
-      arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY 1, 2)"""
+      arg_max(event_type, (ts, event_id)) AS status FROM events WHERE event_type <> 'view' GROUP BY 1, 2)"""
 
 
 @query(
     "state_transitions_missing",
-    f"""WITH {DAILY_SQL}, spans AS (SELECT runtime_job_id, min(ts) AS lo, max(ts) AS hi FROM daily GROUP BY 1),
-    grid AS (SELECT runtime_job_id, ts FROM spans JOIN (SELECT DISTINCT ts FROM daily) ON ts BETWEEN lo AND hi),
+    f"""WITH {DAILY_SQL}, spans AS (SELECT runtime_job_id, min(ts) AS lo FROM daily GROUP BY 1),
+    grid AS (SELECT runtime_job_id, ts FROM spans JOIN (SELECT DISTINCT ts FROM daily) ON ts >= lo),
     filled AS (SELECT grid.runtime_job_id, grid.ts, status FROM grid LEFT JOIN daily USING (runtime_job_id, ts)),
     seen AS (SELECT *, lag(status) OVER (PARTITION BY runtime_job_id ORDER BY ts) AS old_status FROM filled)
     SELECT runtime_job_id, ts, old_status, status AS new_status,
@@ -157,16 +157,16 @@ DAILY_SQL = """daily AS (SELECT user_id AS runtime_job_id, CAST(date_trunc('day'
     FROM seen WHERE old_status IS DISTINCT FROM status""",
 )
 def transitions_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily polls; a user without an event on a day was missing from that poll."""
+    """Daily polls; a user with nothing but views on a day was missing from that poll."""
     daily = (
         snapshots(spark, sf_dir)
+        .filter(F.col("status") != "view")
         .groupBy("runtime_job_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"))
         .agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
         .withColumnRenamed("day", "ts")
     )
-    spans = daily.groupBy("runtime_job_id").agg(F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"))
-    filled = with_missing(daily, daily.select("ts"), spans)
-    return status_changes(filled).select("runtime_job_id", "ts", "old_status", "new_status", "transition")
+    found = status_changes_with_missing(daily, daily.select("ts"))
+    return found.select("runtime_job_id", "ts", "old_status", "new_status", "transition")
 
 
 LOG_NOTES = [

@@ -1,0 +1,95 @@
+"""Queries that run as streams over all given rows and hand back what they wrote."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.operators.actions import Action
+from tidewatch.operators.conditions import Cooldown, MaxAttempts
+from tidewatch.operators.lifecycle import Spec, trigger_rows
+from tidewatch.operators.rules import LogRule
+from tidewatch.plans.status import CHANGES_SQL
+from tidewatch.plans.tables import query
+from tidewatch.streaming import jobs as streaming
+
+DAY = 86400
+SPEC = Spec(
+    log_rules=[
+        LogRule("failed", "error", action=Action("LogAction"), condition=Cooldown(cooldown_seconds=DAY)),
+        LogRule("again", "signup", action=Action("RestartAction"), condition=MaxAttempts(max_attempts=3)),
+    ]
+)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.read_stream(spark, sf_dir, "events.parquet")
+
+
+@query(
+    "job_stream_state",
+    """WITH RECURSIVE n AS (SELECT user_id, event_id, ts, event_type, row_number() OVER (PARTITION BY user_id
+      ORDER BY ts, event_id) AS k FROM events WHERE event_type IN ('error', 'signup')),
+    r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 1 AS attempts, CAST(NULL AS TIMESTAMP) AS last,
+        CAST(-1 AS BIGINT) AS event_id, false AS fired FROM n
+      UNION ALL SELECT r.user_id, n.k, CASE WHEN event_type = 'signup' AND attempts < 3 THEN attempts + 1 ELSE attempts END,
+        CASE WHEN event_type = 'error' AND (last IS NULL OR ts - last >= INTERVAL 24 HOUR) THEN ts ELSE last END,
+        n.event_id, CASE WHEN event_type = 'signup' THEN attempts < 3 ELSE last IS NULL OR ts - last >= INTERVAL 24 HOUR END
+      FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+    SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, fired, attempts FROM r WHERE k > 0""",
+)
+def job_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors fire once a day, signups restart up to three attempts; each event is a poll of its own."""
+    idx = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1)
+    # The place of an event in its user's log is its time; ids are unique and come after it.
+    triggers = (
+        _events(spark, sf_dir)
+        .filter(F.col("event_type").isin("error", "signup"))
+        .select(
+            F.col("user_id").alias("job_id"),
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("chunk_seq"),
+            idx.alias("rule_idx"),
+            F.col("event_id").cast("int").alias("match_seq"),
+            "ts",
+        )
+    )
+    done = streaming.drain(spark, streaming.job_decisions(trigger_rows(triggers, SPEC), SPEC), "job-stream")
+    return done.select("job_id", F.col("match_seq").cast("long").alias("event_id"), "fired", "attempts")
+
+
+@query(
+    "stream_transitions",
+    f"""WITH {CHANGES_SQL} SELECT CAST(runtime_job_id AS VARCHAR) AS runtime_job_id, epoch_us(ts) AS us,
+      event_id AS seq, old_status, new_status, transition FROM changes""",
+)
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = _events(spark, sf_dir).select(
+        F.col("user_id").alias("runtime_job_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.col("event_id").alias("seq"),
+        F.col("event_type").alias("status"),
+    )
+    return streaming.drain(spark, streaming.stream_transitions(feed), "transitions")
+
+
+@query(
+    "stream_timeout",
+    f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(min(ts)) AS since_us FROM events GROUP BY 1)
+    SELECT key, since_us, since_us + {20 * DAY} * 1000000 AS until_us FROM t
+    WHERE since_us // 1000 + {20 * DAY} * 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)""",
+)
+def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users twenty days after their first event, as far as the watermark got."""
+    return streaming.drain(spark, streaming.stream_timeouts(_events(spark, sf_dir), "user_id", 20 * DAY), "timeouts")
+
+
+@query(
+    "stream_inactivity",
+    f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS since_us,
+      lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until_us FROM events)
+    SELECT key, since_us, until_us FROM t WHERE until_us - since_us > {DAY} * 1000000 OR (until_us IS NULL
+      AND (since_us + {DAY} * 1000000) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events))""",
+)
+def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps of more than a day, those still open at the watermark included."""
+    return streaming.drain(spark, streaming.stream_inactivity(_events(spark, sf_dir), "user_id", DAY), "silences")
