@@ -75,8 +75,8 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_timeout",
     f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(min(ts)) AS since_us FROM events GROUP BY 1)
-    SELECT key, since_us, since_us + {20 * DAY} * 1000000 AS until_us FROM t
-    WHERE since_us // 1000 + {20 * DAY} * 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)""",
+    SELECT key, since_us, since_us + {20 * DAY * 1000000} AS until_us FROM t
+    WHERE since_us // 1000 + {20 * DAY * 1000} <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)""",
 )
 def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users twenty days after their first event, as far as the watermark got."""
@@ -87,8 +87,8 @@ def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "stream_inactivity",
     f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS since_us,
       lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until_us FROM events)
-    SELECT key, since_us, until_us FROM t WHERE until_us - since_us > {DAY} * 1000000 OR (until_us IS NULL
-      AND (since_us + {DAY} * 1000000) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events))""",
+    SELECT key, since_us, until_us FROM t WHERE until_us - since_us > {DAY * 1000000} OR (until_us IS NULL
+      AND (since_us + {DAY * 1000000}) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events))""",
 )
 def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps of more than a day, those still open at the watermark included."""
