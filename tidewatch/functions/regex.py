@@ -53,6 +53,50 @@ def optional_groups(pattern: str) -> set[int]:
     return found
 
 
+def _nodes(items):
+    for op, arg in items:
+        name = str(op)
+        yield name
+        if name == "SUBPATTERN":
+            yield from _nodes(arg[3])
+        elif name == "BRANCH":
+            for branch in arg[1]:
+                yield from _nodes(branch)
+        elif name.endswith("REPEAT"):
+            yield from _nodes(arg[2])
+        elif name == "ATOMIC_GROUP":
+            yield from _nodes(arg)
+
+
+def reads_context(pattern: str) -> bool:
+    """Whether a match depends on text around it (anchors, word borders, lookaround)."""
+    parsed = sre.parse(pattern, re.MULTILINE)
+    return any(name in ("AT", "ASSERT", "ASSERT_NOT", "GROUPREF_EXISTS") for name in _nodes(parsed))
+
+
+def required_literal(pattern: str, least: int = 3) -> str | None:
+    """Longest text that every match holds, if it has at least ``least`` characters."""
+    parsed = sre.parse(pattern, re.MULTILINE)
+    if parsed.state.flags & re.IGNORECASE:
+        return None
+    runs = [""]
+
+    def visit(items) -> None:
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                runs[-1] += chr(arg)
+            elif name == "SUBPATTERN" and not arg[1] and not arg[2]:
+                visit(arg[3])
+            elif name != "AT":
+                # Whatever else matches here, the text after it starts a new run.
+                runs.append("")
+
+    visit(parsed)
+    best = max(runs, key=len)
+    return best if len(best) >= least else None
+
+
 def _class_body(pattern: str, start: int) -> tuple[str, int]:
     """Rewrite the character class whose ``[`` is at ``start``; returns the text and the next index."""
     out = ["["]

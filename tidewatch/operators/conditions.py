@@ -345,24 +345,32 @@ def first_seen(rows: DataFrame, keys: list[str], ts: str = "ts", name: str = "fi
     return rows.join(first, keys, "left")
 
 
-def apply_latch(
-    rows: DataFrame, condition: Condition, keys: list[str], order: list[str], raw: str = "raw", out: str = "passed"
+def apply_latches(
+    rows: DataFrame, latches: Mapping[str, tuple[str, Condition]], keys: list[str], order: list[str]
 ) -> DataFrame:
-    """Make a result stick from the first pass (or failure) of its key onwards.
+    """Make results stick from the first pass (or failure) of their key onwards.
 
-    The place of that first row is an aggregate, so no ordered window over the key is needed.
+    ``latches`` maps a new column to the raw result it follows and the condition whose flags say how. The place of
+    the first such row is an aggregate, one for all latches, so no ordered window over a key is needed.
     """
-    if not (condition.persistent_pass or condition.persistent_fail):
-        return rows.withColumn(out, F.col(raw))
     place = F.struct(*order)
-    if condition.persistent_pass and condition.persistent_fail:
-        first = rows.groupBy(*keys).agg(F.min_by(raw, place).alias("__first"))
-        return rows.join(first, keys).withColumn(out, F.col("__first")).drop("__first")
-    sticky = F.col(raw) if condition.persistent_pass else ~F.col(raw)
-    first = rows.groupBy(*keys).agg(F.min(F.when(sticky, place)).alias("__first"))
-    reached = F.coalesce(place >= F.col("__first"), F.lit(False))
-    passed = reached if condition.persistent_pass else ~reached
-    return rows.join(first, keys).withColumn(out, passed).drop("__first")
+    firsts, results = [], {}
+    for out, (raw, condition) in latches.items():
+        mark = f"__first_{out}"
+        if condition.persistent_pass and condition.persistent_fail:
+            firsts.append(F.min_by(raw, place).alias(mark))
+            results[out] = F.col(mark)
+        elif condition.persistent_pass or condition.persistent_fail:
+            sticky = F.col(raw) if condition.persistent_pass else ~F.col(raw)
+            firsts.append(F.min(F.when(sticky, place)).alias(mark))
+            reached = F.coalesce(place >= F.col(mark), F.lit(False))
+            results[out] = reached if condition.persistent_pass else ~reached
+        else:
+            results[out] = F.col(raw)
+    columns = rows.columns
+    if firsts:
+        rows = rows.join(rows.groupBy(*keys).agg(*firsts), keys)
+    return rows.select(*columns, *[result.alias(out) for out, result in results.items()])
 
 
 def evaluate(
@@ -397,4 +405,7 @@ def evaluate(
     )
     passed, message = condition.compile(scope)
     rows = rows.withColumns({"raw": passed, "message": message})
-    return apply_latch(rows, condition, keys, order).select(*columns, "passed", "message")
+    if not (condition.persistent_pass or condition.persistent_fail):
+        return rows.select(*columns, F.col("raw").alias("passed"), "message")
+    latched = apply_latches(rows, {"passed": ("raw", condition)}, keys, order)
+    return latched.select(*columns, "passed", "message")

@@ -28,6 +28,7 @@ from tidewatch.operators.conditions import (
 from tidewatch.operators.fold import Kernel, ordered_fold
 from tidewatch.operators.ordered import DEFAULT_LIMIT, running_sum
 from tidewatch.operators.rules import active
+from tidewatch.session import materialise
 
 # Statuses that end a job, and the kinds of rows in one poll in the order they are looked at.
 TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
@@ -346,7 +347,11 @@ def plan_kind(spec: Spec) -> str:
 
 
 def replay(rows: DataFrame, spec: Spec, partitions: int | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Replay by the cheaper plan that is exact for ``spec``."""
+    """Replay by the cheaper plan that is exact for ``spec``; with windows only evaluated rows come back.
+
+    The rows are written first: both plans read them more than once, and they are a small part of the text.
+    """
+    rows = materialise(rows, "triggers")
     return replay_windows(rows, spec, limit) if plan_kind(spec) == "windows" else replay_fold(rows, spec, partitions)
 
 

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.functions.regex import quote, to_jvm
+from tidewatch.functions.regex import quote, reads_context, required_literal, to_jvm
 from tidewatch.operators.rules import LogRule, active
 
 # Beyond this many distinct patterns the literal plan gets too wide and the join plan takes over.
@@ -65,23 +66,37 @@ def rule_hits(text: Column, idx: int, rule: LogRule, payload: bool = True) -> Co
         return F.when(F.contains(text, literal), hits.cast(_hit_type(payload))).otherwise(none)
 
     pattern = rule.jvm_pattern
+    needed = required_literal(rule.pattern) if rule.pattern else None
+    guard = F.contains(text, F.lit(needed)) if needed else None
+    wanted = sorted(set(numbers.values()) | {0})
     if rule.match_once:
-        groups = {
-            key: absent(F.regexp_extract(text, pattern, number), number) for key, number in numbers.items()
-        }
-        first = _hit(idx, rule, F.lit(0), F.regexp_extract(text, pattern, 0), groups, payload)
-        return F.when(F.regexp_like(text, F.lit(pattern)), F.array(first).cast(_hit_type(payload))).otherwise(none)
+        found = F.regexp_like(text, F.lit(pattern))
+        guard = found if guard is None else guard & found
+        matches = F.array(F.struct(*[F.regexp_extract(text, pattern, n).alias(f"g{n}") for n in wanted]))
+    elif len(wanted) == 1:
+        matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    elif not reads_context(rule.pattern):
+        # A match that does not look around it matches the same way when it stands alone.
+        alone = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        matches = F.transform(
+            alone,
+            lambda m: F.struct(
+                *[(m if n == 0 else F.regexp_extract(m, pattern, n)).alias(f"g{n}") for n in wanted]
+            ),
+        )
+    else:
+        lists = [F.regexp_extract_all(text, F.lit(pattern), F.lit(n)).alias(f"g{n}") for n in wanted]
+        matches = F.arrays_zip(*lists)
 
-    all_groups = {
-        number: F.regexp_extract_all(text, F.lit(pattern), F.lit(number)) for number in set(numbers.values())
-    }
+    plain = len(wanted) == 1 and not rule.match_once
 
-    def each(match: Column, seq: Column) -> Column:
-        groups = {key: absent(F.get(all_groups[number], seq), number) for key, number in numbers.items()}
-        return _hit(idx, rule, seq, match, groups, payload)
+    def each(found: Column, seq: Column) -> Column:
+        parts = {n: found if plain else found[f"g{n}"] for n in wanted}
+        groups = {key: absent(parts[n], n) for key, n in numbers.items()}
+        return _hit(idx, rule, seq, parts[0], groups, payload)
 
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(matches, each).cast(_hit_type(payload))
+    hits = F.transform(matches, each).cast(_hit_type(payload))
+    return hits if guard is None else F.when(guard, hits).otherwise(none)
 
 
 def all_hits(text: Column, rules: Sequence[tuple[int, LogRule]], payload: bool = True) -> Column:
@@ -107,7 +122,7 @@ def match_triggers(
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _jvm_patterns(pattern: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([to_jvm(p) if k == "regex" else quote(p) for p, k in zip(pattern, kind)])
 

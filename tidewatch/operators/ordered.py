@@ -37,8 +37,9 @@ def cut_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit:
     blocks = F.ceil(F.col("__n") * OVERSPLIT / limit)
     width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / blocks), F.lit(1))
     block = F.floor((at - F.col("__lo")) / width).cast("long")
+    # At most total rows / limit keys are hot, so this side stays small however large the data is.
     return (
-        df.join(hot, list(keys), "left")
+        df.join(F.broadcast(hot), list(keys), "left")
         .withColumn("__blk", block)
         .drop("__n", "__lo", "__hi")
     )
@@ -53,7 +54,8 @@ def _with_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, carry)
     per_block = blocked.filter(F.col("__blk").isNotNull()).groupBy(*keys, "__blk").agg(summary.alias("__sum"))
     along = Window.partitionBy(*keys).orderBy("__blk")
     carried = per_block.select(*keys, "__blk", carry(F.col("__sum"), along).alias("__carry"))
-    return blocked.join(carried, [*keys, "__blk"], "left")
+    # Without an explicit cut, input that is already partitioned by key would keep a hot key in one task.
+    return blocked.repartition(*keys, "__blk").join(carried, [*keys, "__blk"], "left")
 
 
 def previous(

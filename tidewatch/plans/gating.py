@@ -156,12 +156,12 @@ def cond_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cond_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("event_id", "ts", "user_id", "event_type", (F.col("value") > 50).alias("plain"))
-    for name, flags in (
-        ("sticks_true", {"persistent_pass": True}),
-        ("sticks_false", {"persistent_fail": True}),
-        ("sticks_both", {"persistent_pass": True, "persistent_fail": True}),
-    ):
-        rows = c.apply_latch(rows, c.AlwaysTrue(**flags), ["user_id", "event_type"], ORDER, "plain", name)
+    latches = {
+        "sticks_true": ("plain", c.AlwaysTrue(persistent_pass=True)),
+        "sticks_false": ("plain", c.AlwaysTrue(persistent_fail=True)),
+        "sticks_both": ("plain", c.AlwaysTrue(persistent_pass=True, persistent_fail=True)),
+    }
+    rows = c.apply_latches(rows, latches, ["user_id", "event_type"], ORDER)
     return rows.select("event_id", "plain", "sticks_true", "sticks_false", "sticks_both")
 
 
