@@ -29,7 +29,7 @@ def log_increments(logs: DataFrame, cursors: DataFrame) -> DataFrame:
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole log files with their path; undecodable bytes are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("ts"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("modificationTime").alias("ts"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -12,5 +12,5 @@ def read_markers(spark: SparkSession, path: str, with_content: bool = True) -> D
     plain = F.regexp_replace("path", "^file:/*", "/")
     columns = [plain.alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("ts")]
     if with_content:
-        columns.append(F.decode("content", "UTF-8").alias("content"))
+        columns.append(F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
     return files.select(*columns)

@@ -158,9 +158,11 @@ def cleanup(jobs: DataFrame, done_only: bool = False, scope: str = "active") ->
 
 def write_registry(jobs: DataFrame, path: str) -> None:
     """Write a registry snapshot laid out so that scans of unfinished jobs read nothing else."""
-    (
-        jobs.withColumn("is_open", F.col("final_state").isNull())
-        .write.mode("overwrite")
-        .partitionBy("is_open")
-        .parquet(path)
-    )
+    shelf = F.when(F.col("final_state").isNull(), "open").otherwise("finished")
+    jobs.withColumn("shelf", shelf).write.mode("overwrite").partitionBy("shelf").parquet(path)
+
+
+def read_registry(spark: SparkSession, path: str, include_finished: bool = False) -> DataFrame:
+    """A written snapshot, by default its unfinished jobs."""
+    jobs = spark.read.parquet(path)
+    return (jobs if include_finished else jobs.filter(F.col("shelf") == "open")).drop("shelf")
