@@ -140,6 +140,36 @@ def test_markers(spark, files):
     assert passes(both) == [False, True, False, False]
 
 
+def at(seconds):
+    return EPOCH + datetime.timedelta(seconds=seconds)
+
+
+def test_markers_come_and_go(spark):
+    versions = spark.createDataFrame(
+        [
+            ("/r/a.done", "step=1", at(2), None),
+            ("/r/b.done", "x", at(4), True),
+            ("/r/a.done", "step=2", at(5), True),
+            ("/r/a.done", None, at(7), False),
+            ("/s/a.done", "x", at(0), True),
+        ],
+        "path string, content string, ts timestamp_ntz, present boolean",
+    )
+    frame = rows(spark, *[("r", "a")] * 9, schema="dir string, n string")
+    names = {"dir": F.col("dir"), "n": F.col("n")}
+
+    def passes(condition):
+        got = judged(frame, condition, markers=versions, variables=names, markers_at="ts")
+        return "".join("x" if p else "." for p, _ in got)
+
+    assert passes(c.FileExists(path="/{dir}/a.done")) == "..xxxxx.."
+    assert passes(c.FileContent(path="/{dir}/a.done", pattern="=2")) == ".....xx.."
+    assert passes(c.GlobExists(pattern="/{dir}/*.done", min_matches=2)) == "....xxx.."
+    assert passes(c.GlobExists(pattern="/{dir}/{n}*", min_matches=1)) == "..xxxxx.."
+    assert passes(c.GlobExists(pattern="/{dir}/*", min_matches=0)) == "x" * 9
+    assert passes(c.FileExists(path="/{dir}/a.done", persistent_pass=True)) == "..xxxxxxx"
+
+
 def test_marker_messages(spark, files):
     frame = rows(spark, ("q",), schema="dir string")
     names = {"dir": F.col("dir")}

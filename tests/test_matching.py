@@ -87,8 +87,8 @@ def test_matching_needs_no_shuffle(spark):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("limit", [200, 1])
-def test_rules_of_each_job(spark, limit):
+@pytest.mark.parametrize("limit,sent", [(200, 100), (200, 1), (1, 100)])
+def test_rules_of_each_job(spark, limit, sent):
     rules = [
         ("a", 0, "n", "x", "substring", False),
         ("a", 1, "m", r"(?P<d>\d)+", "regex", True),
@@ -98,7 +98,7 @@ def test_rules_of_each_job(spark, limit):
     ]
     table = spark.createDataFrame(rules, "job_id string, rule_idx int, name string, pattern string, pattern_type string, match_once boolean")
     text = spark.createDataFrame([("a", 0, "xx 12 3"), ("b", 0, "x.x."), ("c", 0, "x1"), ("a", 1, "")], "job_id string, chunk_seq int, text string")
-    got = match_registry_rules(text, table, ["chunk_seq"], limit).collect()
+    got = match_registry_rules(text, table, ["chunk_seq"], limit, sent).collect()
     assert sorted((r.job_id, r.rule_idx, r.rule_name, r.match_seq, r.match) for r in got) == [
         ("a", 0, "n", 0, "x"),
         ("a", 0, "n", 1, "x"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.regex import glob_to_jvm, to_jvm
 from tidewatch.functions.render import parse_template, render
+from tidewatch.operators.ordered import DEFAULT_LIMIT, last_known, previous, running_sum
 
 _custom: dict[str, Callable[[Custom, Scope], tuple[Column, Column]]] = {}
 
@@ -276,67 +277,135 @@ def uses(condition: Condition | None, *kinds: type) -> bool:
 
 
 def attach_markers(
-    rows: DataFrame, condition: Condition, markers: DataFrame, variables: Mapping[str, Column], key: str = "__marker"
+    rows: DataFrame,
+    condition: Condition,
+    markers: DataFrame,
+    variables: Mapping[str, Column],
+    at: str | None = None,
+    limit: int = DEFAULT_LIMIT,
 ) -> tuple[DataFrame, dict[int, Column]]:
     """Join what each marker condition of the tree needs to ``rows``.
 
     Returns the wider rows and, per condition, the column with its flag: NULL where the file is missing.
-    Each lookup side is first reduced to one row per path or folder, so rows never multiply.
+    Without ``at`` the markers are what is there now. With ``at``, the rows' time column, ``markers(path, content, ts)``
+    are versions (``present`` false for a removal) and each row sees the files as they were at its time.
     """
     flags: dict[int, Column] = {}
     for node in walk(condition):
         if not isinstance(node, _Marker) or id(node) in flags:
             continue
-        name = f"{key}_{len(flags)}"
-        rows = rows.withColumn(f"{name}_path", render(node.template(), variables))
+        name = f"__marker_{len(flags)}"
+        path = f"{name}_path"
+        rows = rows.withColumn(path, render(node.template(), variables))
         if isinstance(node, GlobExists):
-            rows = _join_glob(rows, node, markers, name)
+            join = _glob_now if at is None else _glob_then
+            rows = join(rows, node, markers, name, path, *([] if at is None else [at, limit]))
         else:
             test = F.lit(True) if isinstance(node, FileExists) else node.test(F.col("content"))
-            latest = markers.groupBy(F.col("path").alias(f"{name}_path")).agg(
-                F.max_by(test, F.col("ts")).alias(name)
-                if "ts" in markers.columns
-                else F.max(test).alias(name)
-            )
-            rows = rows.join(latest, f"{name}_path", "left")
-        rows = rows.drop(f"{name}_path")
+            if at is None:
+                rows = _file_now(rows, markers, test, name, path)
+            else:
+                rows = _file_then(rows, markers, test, name, path, at, limit)
+        rows = rows.drop(path)
         flags[id(node)] = F.col(name)
     return rows, flags
 
 
-def _join_glob(rows: DataFrame, node: GlobExists, markers: DataFrame, name: str) -> DataFrame:
-    """Count the markers of the pattern's folder that fit its last segment.
+def _file_now(rows: DataFrame, markers: DataFrame, test: Column, name: str, path: str) -> DataFrame:
+    """One row per path on the marker side, so rows never multiply."""
+    flag = F.max_by(test, F.col("ts")) if "ts" in markers.columns else F.max(test)
+    latest = markers.groupBy(F.col("path").alias(path)).agg(flag.alias(name))
+    return rows.join(latest, path, "left")
+
+
+def _present(markers: DataFrame) -> Column:
+    return F.coalesce("present", F.lit(True)) if "present" in markers.columns else F.lit(True)
+
+
+def _file_then(
+    rows: DataFrame, markers: DataFrame, test: Column, name: str, path: str, at: str, limit: int
+) -> DataFrame:
+    """Latest version of the path at or before the row's time, on one time line per path."""
+    seen = F.struct(F.when(_present(markers), test).alias("flag"))
+    versions = markers.select(
+        F.col("path").alias("__key"), F.col("ts").alias("__at"), F.lit(0).alias("__kind"), seen.alias("__seen")
+    )
+    line = _lay_in(rows, [path], at, versions)
+    known = last_known(line, ["__key"], ["__at", "__kind"], F.col("__seen"), "__known", limit)
+    return _take_out(known, rows.columns, F.col("__known.flag").alias(name))
+
+
+def _lay_in(rows: DataFrame, keys: list[str], at: str, versions: DataFrame) -> DataFrame:
+    """Rows and versions on one time line; a version comes before a row of the same instant."""
+    key = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
+    mine = rows.select(
+        key.alias("__key"), F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*rows.columns).alias("__row")
+    )
+    return mine.unionByName(versions, allowMissingColumns=True)
+
+
+def _take_out(line: DataFrame, columns: list[str], *made: Column) -> DataFrame:
+    back = [F.col("__row")[c].alias(c) for c in columns]
+    return line.filter(F.col("__kind") == 1).select(*back, *made)
+
 
-    A last segment without variables filters the markers before they are counted per folder. One with variables
-    meets only markers that share its literal start, once per distinct pattern.
+def _in_folder(files: DataFrame) -> DataFrame:
+    folder = F.regexp_extract("path", r"(?s)^(.*)/", 1)
+    base = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
+    return files.withColumns({"__dir": folder, "__base": base})
+
+
+def _meet_globs(rows: DataFrame, node: GlobExists, files: DataFrame, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows with the key of their glob, and the files that fit each glob.
+
+    A last segment without variables filters the files before they are grouped by folder. One with variables
+    meets only files that share its literal start, once per distinct pattern.
     """
-    folder = F.regexp_extract(F.col("path"), r"(?s)^(.*)/", 1)
-    base = F.regexp_extract(F.col("path"), r"(?s)([^/]*)$", 1)
-    files = markers.select("path").distinct().select(folder.alias("__dir"), base.alias("__base"))
     last = node.pattern.rsplit("/", 1)[-1]
-    rows = rows.withColumn("__dir", F.regexp_extract(f"{name}_path", r"(?s)^(.*)/", 1))
+    rows = rows.withColumn("__dir", F.regexp_extract(path, r"(?s)^(.*)/", 1))
+    files = _in_folder(files)
     if all(kind == "text" for kind, _ in parse_template(last)):
-        counts = files.filter(F.regexp_like("__base", F.lit(glob_to_jvm(last)))).groupBy("__dir").count()
-        joined = rows.join(counts, "__dir", "left")
-    else:
-        rows = rows.withColumn("__glob", F.regexp_extract(f"{name}_path", r"(?s)([^/]*)$", 1))
-        start = F.regexp_extract("__glob", r"^([^*?\[]*)", 1)
-        globs = rows.select("__dir", "__glob").distinct().withColumn("__start", start)
-        lengths = globs.select(F.collect_set(F.length("__start"))).scalar()
-        starts = (
-            files.withColumn("__lens", lengths)
-            .select("*", F.explode(F.filter("__lens", lambda n: n <= F.length("__base"))).alias("__len"))
-            .withColumn("__start", F.expr("substring(__base, 1, __len)"))
-            .select("__dir", "__base", "__start")
-        )
-        body = F.regexp_replace("__glob", r"([\\.^$|()+{}])", r"\\$1")
-        body = F.regexp_replace(F.regexp_replace(body, r"\[!", "[^"), r"\*", "[^/]*")
-        body = F.regexp_replace(body, r"(?<!\[\^/\]\*)\?", "[^/]")
-        fits = F.regexp_like("__base", F.concat(F.lit("(?s)^"), body, F.lit(r"\z")))
-        counts = globs.join(starts, ["__dir", "__start"]).filter(fits).groupBy("__dir", "__glob").count()
-        joined = rows.join(counts, ["__dir", "__glob"], "left").drop("__glob")
-    enough = F.coalesce(F.col("count"), F.lit(0)) >= node.min_matches
-    return joined.withColumn(name, enough).drop("__dir", "count")
+        return rows, files.filter(F.regexp_like("__base", F.lit(glob_to_jvm(last)))), ["__dir"]
+    rows = rows.withColumn("__glob", F.regexp_extract(path, r"(?s)([^/]*)$", 1))
+    start = F.regexp_extract("__glob", r"^([^*?\[]*)", 1)
+    globs = rows.select("__dir", "__glob").distinct().withColumn("__start", start)
+    lengths = globs.select(F.collect_set(F.length("__start"))).scalar()
+    starts = (
+        files.withColumn("__lens", lengths)
+        .select("*", F.explode(F.filter("__lens", lambda n: n <= F.length("__base"))).alias("__len"))
+        .withColumn("__start", F.expr("substring(__base, 1, __len)"))
+        .drop("__lens", "__len")
+    )
+    body = F.regexp_replace("__glob", r"([\\.^$|()+{}])", r"\\$1")
+    body = F.regexp_replace(F.regexp_replace(body, r"\[!", "[^"), r"\*", "[^/]*")
+    body = F.regexp_replace(body, r"(?<!\[\^/\]\*)\?", "[^/]")
+    fits = F.regexp_like("__base", F.concat(F.lit("(?s)^"), body, F.lit(r"\z")))
+    return rows, globs.join(starts, ["__dir", "__start"]).filter(fits), ["__dir", "__glob"]
+
+
+def _glob_now(rows: DataFrame, node: GlobExists, markers: DataFrame, name: str, path: str) -> DataFrame:
+    rows, fitting, keys = _meet_globs(rows, node, markers.select("path").distinct(), path)
+    joined = rows.join(fitting.groupBy(*keys).agg(F.count("*").alias("__count")), keys, "left")
+    enough = F.coalesce(F.col("__count"), F.lit(0)) >= node.min_matches
+    return joined.withColumn(name, enough).drop(*keys, "__count")
+
+
+def _glob_then(
+    rows: DataFrame, node: GlobExists, markers: DataFrame, name: str, path: str, at: str, limit: int
+) -> DataFrame:
+    """Number of fitting files at the row's time: the sum of appearances and removals up to it."""
+    versions = markers.groupBy("path", "ts").agg(F.bool_or(_present(markers)).alias("here"))
+    before = previous(versions, ["path"], ["ts"], {"here": "was"}, limit)
+    delta = F.col("here").cast("int") - F.coalesce("was", F.lit(False)).cast("int")
+    turns = before.select("path", "ts", delta.alias("__delta")).filter(F.col("__delta") != 0)
+    columns = rows.columns
+    rows, fitting, keys = _meet_globs(rows, node, turns, path)
+    key = F.col(keys[0]) if len(keys) == 1 else F.to_json(F.struct(*keys))
+    changes = fitting.select(key.alias("__key"), F.col("ts").alias("__at"), F.lit(0).alias("__kind"), "__delta")
+    line = _lay_in(rows, keys, at, changes)
+    step = F.coalesce("__delta", F.lit(0))
+    counted = running_sum(line, ["__key"], ["__at", "__kind"], step, "__count", limit=limit)
+    return _take_out(counted, columns, (F.col("__count") >= node.min_matches).alias(name))
 
 
 def first_seen(rows: DataFrame, keys: list[str], ts: str = "ts", name: str = "first_ts") -> DataFrame:
@@ -384,14 +453,18 @@ def evaluate(
     attempts: str | None = None,
     metadata: str | None = None,
     payload: str | None = None,
+    markers_at: str | None = None,
 ) -> DataFrame:
-    """Add ``passed`` and ``message`` for one condition; ``keys`` name the state it belongs to."""
+    """Add ``passed`` and ``message`` for one condition; ``keys`` name the state it belongs to.
+
+    ``markers_at`` is the time column for markers that come and go (see ``attach_markers``).
+    """
     if condition is None:
         return rows.withColumns({"passed": F.lit(True), "message": F.lit("")})
     columns = rows.columns
     flags: dict[int, Column] = {}
     if uses(condition, _Marker):
-        rows, flags = attach_markers(rows, condition, markers, variables or {})
+        rows, flags = attach_markers(rows, condition, markers, variables or {}, markers_at)
     if uses(condition, Timeout):
         rows = first_seen(rows, keys, ts, "__first_ts")
     scope = Scope(

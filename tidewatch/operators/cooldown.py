@@ -17,6 +17,7 @@ class CooldownKernel(Kernel):
     """The state is the time of the last firing in microseconds."""
 
     outputs = T.StructType([T.StructField("fired", T.BooleanType())])
+    needs = ("__us",)
 
     def __init__(self, cooldown_seconds: float) -> None:
         self.micros = round(cooldown_seconds * 1_000_000)

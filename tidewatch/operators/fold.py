@@ -30,9 +30,13 @@ GUESS_ROUNDS = 6
 
 
 class Kernel:
-    """How one key's rows are folded. States are JSON-ready values; ``None`` is the state before any row."""
+    """How one key's rows are folded. States are JSON-ready values; ``None`` is the state before any row.
+
+    ``needs`` names the columns ``run`` and ``reduce`` read; no others are turned into Python values.
+    """
 
     outputs: T.StructType
+    needs: tuple[str, ...] = ()
 
     def run(self, state: Any, cols: dict[str, Any], lo: int, hi: int, out: dict[str, list] | None) -> Any:
         """Fold rows ``lo`` to ``hi`` of one key; append to ``out`` unless it is None; return the new state."""
@@ -49,10 +53,11 @@ class Kernel:
         return state
 
 
-def _columns(batch: pa.RecordBatch, numeric: set[str]) -> dict[str, Any]:
+def _columns(batch: pa.RecordBatch, kernel: Kernel, numeric: set[str]) -> dict[str, Any]:
+    found = {name: batch.column(batch.schema.get_field_index(name)) for name in ("__key", "__pid", *kernel.needs)}
     return {
         name: (col.to_numpy(zero_copy_only=False) if name in numeric else col.to_pylist())
-        for name, col in zip(batch.schema.names, batch.columns)
+        for name, col in found.items()
     }
 
 
@@ -77,7 +82,7 @@ def _summarise(kernel: Kernel, numeric: set[str], entries: dict[int, Any]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = _columns(batch, numeric)
+            cols = _columns(batch, kernel, numeric)
             keys, n = cols["__key"], batch.num_rows
             if pid is None:
                 pid, first_key = int(cols["__pid"][0]), keys[0]
@@ -109,7 +114,7 @@ def _emit(kernel: Kernel, numeric: set[str], entries: dict[int, Any], keep: list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = _columns(batch, numeric)
+            cols = _columns(batch, kernel, numeric)
             if not started:
                 started, key, state = True, cols["__key"][0], entries.get(int(cols["__pid"][0]))
             out: dict[str, list] = {name: [] for name in types}
@@ -194,7 +199,8 @@ def ordered_fold(
     numeric = _numeric(sorted_rows.schema)
 
     def reports_for(frame: DataFrame, entries: dict[int, Any]) -> dict[int, dict]:
-        found = frame.mapInArrow(_summarise(kernel, numeric, entries), "pid int, report string").collect()
+        narrow = frame.select("__key", "__pid", *kernel.needs)
+        found = narrow.mapInArrow(_summarise(kernel, numeric, entries), "pid int, report string").collect()
         return {r.pid: json.loads(r.report) for r in found}
 
     reports = reports_for(sorted_rows, {})

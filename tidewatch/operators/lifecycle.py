@@ -206,6 +206,7 @@ def _decide(spec: Spec, state: dict[str, Any], chunk: int, now: int, bits: int,
 
 
 class LifecycleKernel(Kernel):
+    needs = ("chunk_seq", "kind", "rule_idx", "us", "bits", "flag")
     outputs = T.StructType(
         [
             T.StructField("evaluated", T.BooleanType()),

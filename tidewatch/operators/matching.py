@@ -14,6 +14,8 @@ from tidewatch.operators.rules import LogRule, active
 
 # Beyond this many distinct patterns the literal plan gets too wide and the join plan takes over.
 MAX_LITERAL_PATTERNS = 200
+# Up to this many jobs, each job's pattern numbers (at most the above) are sent along with the text.
+MAX_SENT_JOBS = 50_000
 
 
 def _payload(rule: LogRule, match: Column, groups: dict[str, Column]) -> Column:
@@ -132,11 +134,13 @@ def match_registry_rules(
     rules: DataFrame,
     keep: Sequence[str] = ("chunk_seq", "ts"),
     max_literal_patterns: int = MAX_LITERAL_PATTERNS,
+    max_sent_jobs: int = MAX_SENT_JOBS,
 ) -> DataFrame:
     """Hits of per-job rules: ``rules(job_id, rule_idx, name, pattern, pattern_type, match_once)``.
 
     Jobs mostly share a few patterns. While the distinct ones are few they are matched as literals in one
-    map-only pass and the narrow hits meet the rule table afterwards. With many, each chunk meets its own job's rules first.
+    map-only pass and the narrow hits meet the rule table afterwards; if the jobs are few enough to send, a chunk is
+    only searched for its own job's patterns. With many patterns, each chunk meets its own job's rules first.
     """
     shape = ["pattern", "pattern_type", "match_once"]
     usable = rules.filter(F.col("pattern_type").isin("substring", "regex"))
@@ -158,9 +162,18 @@ def match_registry_rules(
             )
             number = F.when(same, i).otherwise(number)
         by_shape = wanted.select("job_id", "rule_idx", "rule_name", number.alias("shape"))
-        hits = new_text.select(
-            "job_id", *keep, F.explode(all_hits(F.col("text"), literal, payload=False)).alias("hit")
-        ).select("job_id", *keep, F.col("hit.rule_idx").alias("shape"), "hit.match_seq", "hit.match")
+        own = by_shape.groupBy("job_id").agg(F.collect_set("shape").alias("__own"))
+        few = own.limit(max_sent_jobs + 1).count() <= max_sent_jobs
+        searched = new_text.join(F.broadcast(own), "job_id") if few else new_text
+        none = F.array().cast(_hit_type(False))
+        arrays = []
+        for i, rule in literal:
+            found = rule_hits(F.col("text"), i, rule, payload=False)
+            arrays.append(F.when(F.array_contains("__own", i), found).otherwise(none) if few else found)
+        hit = F.explode(F.concat(none, *arrays)).alias("hit")
+        hits = searched.select("job_id", *keep, hit).select(
+            "job_id", *keep, F.col("hit.rule_idx").alias("shape"), "hit.match_seq", "hit.match"
+        )
         return hits.join(by_shape, ["job_id", "shape"]).select(
             "job_id", *keep, "rule_idx", "rule_name", "match_seq", "match"
         )
