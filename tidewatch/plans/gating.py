@@ -238,6 +238,41 @@ def cond_marker_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _check(spark, sf_dir, c.Or(literal, regex))
 
 
+@query(
+    "cond_marker_asof",
+    """WITH versions AS (SELECT user_id, ts, value <= 50 AS here FROM events WHERE event_type = 'signup'),
+    folder AS (SELECT user_id, event_type, ts, value <= 50 AS here,
+      lag(value <= 50, 1, false) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS was FROM events),
+    rows AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
+    one AS (SELECT event_id, coalesce(here, false) AS file_there FROM rows ASOF LEFT JOIN versions v
+      ON rows.user_id = v.user_id AND rows.ts >= v.ts),
+    turns AS (SELECT user_id, ts, sum(CAST(here AS INTEGER) - CAST(was AS INTEGER)) OVER (PARTITION BY user_id
+      ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS files FROM folder),
+    many AS (SELECT event_id, coalesce(files, 0) >= 4 AS four_there FROM rows ASOF LEFT JOIN turns t
+      ON rows.user_id = t.user_id AND rows.ts >= t.ts)
+    SELECT * FROM one JOIN many USING (event_id)""",
+)
+def cond_marker_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user has a folder of files named by event type; small values write the file, large ones remove it."""
+    events = table(spark, sf_dir, "events")
+    versions = events.select(
+        F.concat_ws("/", F.lit("/users"), F.col("user_id").cast("string"), "event_type").alias("path"),
+        F.lit("").alias("content"),
+        "ts",
+        (F.col("value") <= 50).alias("present"),
+    )
+    views = events.filter("event_type = 'view'").select("event_id", "user_id", "ts")
+    user = {"user": F.col("user_id")}
+    exists = c.FileExists(path="/users/{user}/signup")
+    four = c.GlobExists(pattern="/users/{user}/*", min_matches=4)
+    options = {"markers": versions, "variables": user, "markers_at": "ts"}
+    first = c.evaluate(views, exists, ["user_id"], ORDER, **options)
+    second = c.evaluate(
+        first.select("event_id", "user_id", "ts", F.col("passed").alias("file_there")), four, ["user_id"], ORDER, **options
+    )
+    return second.select("event_id", "file_there", F.col("passed").alias("four_there"))
+
+
 @query(
     "cooldown_greedy",
     """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.operators.actions import Action
 from tidewatch.operators.conditions import Cooldown, MaxAttempts
@@ -17,8 +20,10 @@ from tidewatch.operators.lifecycle import (
     trigger_rows,
 )
 from tidewatch.operators.matching import match_triggers
+from tidewatch.operators.registry_replay import replay_registry
 from tidewatch.operators.rules import LogRule
 from tidewatch.plans.tables import query, table, turn_chunks
+from tidewatch.schemas import LOG_EVENT, STATE_EVENT
 
 RESTART, FINISH, CANCEL = Action("RestartAction"), Action("FinishAction"), Action("CancelAction")
 NOTE = Action("LogAction", "{match}")
@@ -125,3 +130,54 @@ def lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = replay(_rows(spark, sf_dir, GATED), GATED)
     all_jobs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"))
     return job_outcomes(done, all_jobs)
+
+
+SHORT_RULES = [
+    {
+        "name": "stuck",
+        "pattern": "^Er",
+        "pattern_type": "regex",
+        "action": {"class_name": "RestartAction"},
+        "condition": {"class_name": "MaxAttemptsCondition", "max_attempts": 3},
+    },
+    {"name": "done", "pattern": "heit", "action": {"class_name": "FinishAction"}},
+]
+LONG_RULES = [
+    {"name": "fatal", "pattern": "^Un", "pattern_type": "regex", "action": {"class_name": "CancelAction"}},
+    {
+        "name": "progress",
+        "pattern": "tion",
+        "action": {"class_name": "LogAction"},
+        "condition": {"class_name": "CooldownCondition", "cooldown_seconds": 2},
+    },
+]
+# The same recursion; hits of rules that are not the job's own are left out.
+REGISTRY_SQL = REPLAY_SQL.replace(
+    "FROM hits)",
+    """FROM hits JOIN (SELECT conv_id AS job_id, count(*) > 5 AS long FROM conversations GROUP BY 1) USING (job_id)
+    WHERE long = (rule_idx >= 2))""",
+)
+
+
+@query("registry_replay", REGISTRY_SQL)
+def registry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long conversations have other rules than short ones; all are replayed in one pass."""
+    turns = turn_chunks(spark, sf_dir)
+    none = F.lit(None).cast("string")
+
+    def rules(items: list[dict]):
+        return F.from_json(F.lit(json.dumps(items)), T.ArrayType(LOG_EVENT))
+
+    jobs = turns.groupBy("job_id").agg(F.count("*").alias("turns")).select(
+        "job_id",
+        F.lit("talk").alias("name"),
+        F.lit("LocalJob").alias("class_name"),
+        F.create_map().cast("map<string,string>").alias("metadata"),
+        F.when(F.col("turns") > 5, rules(LONG_RULES)).otherwise(rules(SHORT_RULES)).alias("log_events"),
+        F.lit(None).cast(T.ArrayType(STATE_EVENT)).alias("state_events"),
+        *[none.alias(f"{label}_condition") for label in ("start", "cancel", "finish")],
+        F.lit(True).alias("submitted"),
+        F.lit(1).alias("attempts"),
+    )
+    polls = turns.select("job_id", "chunk_seq", "ts", F.lit("RUNNING").alias("status"), F.lit(True).alias("submit_ok"))
+    return job_outcomes(replay_registry(jobs, turns, polls))
