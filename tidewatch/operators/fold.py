@@ -52,6 +52,10 @@ class Kernel:
     def restore(self, state: Any, rest: Any) -> Any:
         return state
 
+    def guess(self, entry: Any, other: Any, end: Any) -> Any:
+        """Where ``entry`` may lead, given that the same rows led from state ``other`` to ``end``."""
+        return end
+
 
 def _columns(batch: pa.RecordBatch, kernel: Kernel, numeric: set[str]) -> dict[str, Any]:
     found = {name: batch.column(batch.schema.get_field_index(name)) for name in ("__key", "__pid", *kernel.needs)}
@@ -138,18 +142,17 @@ def _resolve(kernel: Kernel, parts: list[int], reports: dict[int, dict], fold) -
         core, rest = kernel.reduce(state, reports[pid]["row"])
         return json.dumps(core, sort_keys=True), core, rest
 
+    latest: dict[int, tuple[Any, Any]] = {}
     for pid in parts:
         if reports[pid]["single"]:
             known[pid] = {json.dumps(None): reports[pid]["exit"]}
-    guess: dict[int, Any] = {}
+            latest[pid] = (None, reports[pid]["exit"])
     for round_no in range(len(parts) + 1):
         ask: dict[int, Any] = {}
         certain, carry = True, None
         for at, pid in enumerate(parts):
             report = reports[pid]
-            before = reports[parts[at - 1]] if at else None
-            inherits = before is not None and before["last"] == report["first"]
-            if not inherits:
+            if not at or reports[parts[at - 1]]["last"] != report["first"]:
                 # The key starts here, so the first fold of this partition already had the right entry.
                 certain, carry = True, report["exit"]
                 continue
@@ -158,24 +161,18 @@ def _resolve(kernel: Kernel, parts: list[int], reports: dict[int, dict], fold) -
             if not report["single"]:
                 certain, carry = True, report["exit"]
                 continue
-            entry = carry if certain else guess.get(parts[at - 1])
-            name, core, rest = token(pid, entry)
+            name, core, rest = token(pid, carry)
             if name in known[pid]:
-                found = kernel.restore(known[pid][name], rest)
-                guess[pid] = found
-                if certain:
-                    carry = found
+                carry = kernel.restore(known[pid][name], rest)
                 continue
             if certain or round_no < GUESS_ROUNDS:
                 ask[pid] = core
-            guess.setdefault(pid, report["exit"])
-            certain = False
+            carry, certain = kernel.guess(carry, *latest[pid]), False
         if not ask:
             return entries
         for pid, exit_state in fold(ask).items():
-            name = json.dumps(ask[pid], sort_keys=True)
-            known[pid][name] = exit_state
-            guess[pid] = exit_state
+            known[pid][json.dumps(ask[pid], sort_keys=True)] = exit_state
+            latest[pid] = (ask[pid], exit_state)
     return entries
 
 

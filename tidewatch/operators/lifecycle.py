@@ -267,6 +267,27 @@ class LifecycleKernel(Kernel):
             return rest["whole"]
         return {**state, "a": state["a"] + rest["more"]}
 
+    def guess(self, entry: Any, other: Any, end: Any) -> Any:
+        """Earlier starts, latches and outcomes stay; attempts add up; the last firing is the newer one."""
+        if entry is None or entry["o"] is not None:
+            return end if entry is None else entry
+        before = self.spec.fresh() if other is None else other
+        memories = {}
+        for key in {**entry["m"], **end["m"]}:
+            mine, theirs = (side["m"].get(key) or (None, None, None) for side in (entry, end))
+            memories[key] = [_first(mine[0], theirs[0]), _first(theirs[1], mine[1]), _first(mine[2], theirs[2])]
+        return {
+            "a": entry["a"] + end["a"] - before["a"],
+            "s": entry["s"] or end["s"],
+            "o": end["o"],
+            "c": end["c"],
+            "m": memories,
+        }
+
+
+def _first(*values: Any) -> Any:
+    return next((value for value in values if value is not None), None)
+
 
 def bits_of(gate: Gate, scope: Scope, offset: int = 0) -> Column:
     """The gate's leaf results as bits of one number."""

@@ -52,6 +52,10 @@ class DefinitionsKernel(Kernel):
     def restore(self, state: Any, rest: Any) -> Any:
         return self.kernels[0].restore(state, rest)
 
+    def guess(self, entry: Any, other: Any, end: Any) -> Any:
+        # A guess may be off by the attempts a definition starts with; it is folded again then.
+        return self.kernels[0].guess(entry, other, end)
+
 
 def number_definitions(jobs: DataFrame) -> tuple[DataFrame, list[lc.Spec]]:
     """``jobs`` with ``spec_no``, and the definitions by that number."""
