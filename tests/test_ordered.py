@@ -52,10 +52,30 @@ def by_key(rows):
 
 
 def test_only_hot_keys_are_cut(frame):
-    cut = ordered.cut_blocks(frame, ["key"], ["ts", "id"], LIMIT)
-    blocks = {r.key: (r.n, r.rows) for r in cut.groupBy("key").agg(F.countDistinct("__blk").alias("n"), F.count("*").alias("rows")).collect()}
-    assert blocks["hot"][0] > 3
-    assert all(n == 0 for key, (n, size) in blocks.items() if size <= LIMIT)
+    plain, crowded = ordered.split_hot(frame, ["key"], ["ts", "id"], LIMIT)
+    parts = crowded.groupBy("key", "__part").count().collect()
+    assert {r.key for r in parts} == {"hot"} and len(parts) > 3 and sum(r["count"] for r in parts) == 300
+    assert plain.filter("key = 'hot'").count() == 0 and plain.count() == 600
+    assert ordered.split_hot(frame, ["key"], ["ts", "id"], 1000)[1] is None
+
+
+def test_a_burst_and_an_instant_are_cut(spark):
+    """Nearly all rows of the key in one second of a year, half of them in one instant."""
+    data = [("k", at(0), 0), ("k", at(31_000_000), 1)]
+    data += [("k", EPOCH + datetime.timedelta(seconds=77, microseconds=0 if i % 2 else i), i) for i in range(2, 2000)]
+    frame = spark.createDataFrame(data, "key string, ts timestamp_ntz, id long")
+    _, crowded = ordered.split_hot(frame, ["key"], ["ts", "id"], 100)
+    sizes = [r["count"] for r in crowded.groupBy("__part").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 200
+    got = ordered.previous(frame, ["key"], ["ts", "id"], {"id": "old"}, 100).collect()
+    line = sorted(data, key=lambda r: r[1:])
+    assert {r.id: r.old for r in got} == {b[2]: a[2] for a, b in zip(line, line[1:])} | {0: None}
+
+
+def test_a_hot_null_key(spark):
+    frame = spark.createDataFrame([(None if i < 90 else "k", i) for i in range(120)], "key string, id long")
+    got = ordered.running_sum(frame, ["key"], ["id"], F.lit(1), "n", limit=40).collect()
+    assert {r.id: r.n for r in got} == {i: i + 1 if i < 90 else i - 89 for i in range(120)}
 
 
 @pytest.mark.parametrize("limit", [LIMIT, ordered.DEFAULT_LIMIT, 1])
@@ -93,12 +113,6 @@ def test_last_known(frame, rows, limit):
     assert {r.id: r.known for r in got} == want
 
 
-def test_input_already_partitioned_by_key_is_cut_anew(frame):
-    plan = ordered.previous(frame.repartition("key"), ["key"], ["ts", "id"], {"id": "old"}, LIMIT)
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(key" in text and "__blk" in text.split("hashpartitioning(key", 1)[1].split(")", 1)[0]
-
-
 @pytest.mark.parametrize("limit", [LIMIT, ordered.DEFAULT_LIMIT])
 def test_status_changes(frame, rows, limit):
     got = status_changes(frame.drop("v"), "key", ["ts", "id"], limit).collect()

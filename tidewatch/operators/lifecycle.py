@@ -442,7 +442,7 @@ def replay_windows(rows: DataFrame, spec: Spec, limit: int = DEFAULT_LIMIT) -> D
     closing = F.col("__effect").isin("finish", "cancel") & F.col("__pass")
     kept = close_jobs(kept, closing | natural)
     restart = F.when((F.col("__effect") == "restart") & F.col("__pass"), 1).otherwise(0)
-    counted = running_sum(kept, ["job_id"], list(REPLAY_ORDER), restart, "__restarts", limit=limit)
+    counted = running_sum(kept, ["job_id"], list(REPLAY_ORDER), restart, "__restarts", limit=limit, sized_by=rows)
     outcome = (
         F.when(natural | (closing & (F.col("__effect") == "finish")), "finished")
         .when(closing, "cancelled")

@@ -1,61 +1,82 @@
 """Ordered per-key operators that survive a hot key.
 
-A plain window sorts all rows of a key in one task. Here the rows of a key with more than ``limit`` rows are cut into
-blocks along the order column, the window runs per (key, block), and what a block needs from earlier ones comes
-from one summary row per block. Keys within the limit stay whole and take no part in the summaries.
-The cut depends only on counts, minima and maxima, so a recomputed task sees the same blocks.
+A plain window sorts all rows of a key in one task. So the rows of each key are counted first, one narrow pass. Keys
+within ``limit`` get the plain window. Rows of the others are range-partitioned on (key, order), which cuts a key, a
+burst or even one instant into parts of about ``limit`` rows, and kept with ``checkpoint()`` so that the parts stay the same. The
+window then runs per (key, part), and what a part needs from earlier ones comes from one summary row per part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-DEFAULT_LIMIT = 5_000_000
-# Blocks are this much finer than the limit asks for, so uneven spread along the order still fits.
-OVERSPLIT = 8
+from tidewatch.session import shared_dir
 
+DEFAULT_LIMIT = 5_000_000
 
-def position(df: DataFrame, column: str) -> Column:
-    """The first order column as a number."""
-    kind = dict(df.dtypes)[column]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    return F.col(column).cast("long")
 
+def split_hot(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, sized_by: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and those of hot keys with their part as ``__part`` (None when no key is hot).
 
-def cut_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Add ``__blk``: NULL for keys within the limit, else the number of the row's block along the order."""
-    at = position(df, order[0])
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("__n"), F.min(at).alias("__lo"), F.max(at).alias("__hi"))
-        .filter(F.col("__n") > limit)
-    )
-    blocks = F.ceil(F.col("__n") * OVERSPLIT / limit)
-    width = F.greatest(F.ceil((F.col("__hi") - F.col("__lo") + 1) / blocks), F.lit(1))
-    block = F.floor((at - F.col("__lo")) / width).cast("long")
-    # At most total rows / limit keys are hot, so this side stays small however large the data is.
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("__blk", block)
-        .drop("__n", "__lo", "__hi")
+    ``sized_by`` holds at least the rows of ``df`` per key and is counted in its place, where it is cheaper to read.
+    """
+    counts = (df if sized_by is None else sized_by).groupBy(*keys).agg(F.count("*").alias("__n"))
+    # At most total rows / limit keys come back.
+    hot = counts.filter(F.col("__n") > limit).collect()
+    if not hot:
+        return df, None
+    spark = df.sparkSession
+    shared_dir(spark)
+    names = [f"__hot_{i}" for i in range(len(keys))]
+    known = F.broadcast(spark.createDataFrame(hot, counts.schema).drop("__n").toDF(*names))
+    same = F.lit(True)
+    for key, name in zip(keys, names):
+        same = same & df[key].eqNullSafe(known[name])
+    parts = math.ceil(sum(row["__n"] for row in hot) / limit) + 1
+    crowded = (
+        df.join(known, same, "left_semi")
+        .repartitionByRange(parts, *keys, *order)
+        .checkpoint()
+        .withColumn("__part", F.spark_partition_id())
     )
+    return df.join(known, same, "left_anti"), crowded
 
 
-def _in_block(keys: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys, "__blk").orderBy(*order)
-
-
-def _with_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, carry) -> DataFrame:
-    """Join ``__carry``: what ``carry(column, window)`` makes of the summaries of earlier blocks."""
-    per_block = blocked.filter(F.col("__blk").isNotNull()).groupBy(*keys, "__blk").agg(summary.alias("__sum"))
-    along = Window.partitionBy(*keys).orderBy("__blk")
-    carried = per_block.select(*keys, "__blk", carry(F.col("__sum"), along).alias("__carry"))
-    # Without an explicit cut, input that is already partitioned by key would keep a hot key in one task.
-    return blocked.repartition(*keys, "__blk").join(carried, [*keys, "__blk"], "left")
+def _along(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    limit: int,
+    inside: Callable[[WindowSpec], Column],
+    summary: Column,
+    carry: Callable[[Column, WindowSpec], Column],
+    joined: Callable[[Column, Column], Column],
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
+    """Add ``__out``: ``inside`` a window, joined in hot keys with what ``carry`` makes of earlier summaries."""
+    plain, crowded = split_hot(df, keys, order, limit, sized_by)
+    out = plain.withColumn("__out", inside(Window.partitionBy(*keys).orderBy(*order)))
+    if crowded is None:
+        return out
+    per_part = crowded.groupBy(*keys, "__part").agg(summary.alias("__sum"))
+    carried = per_part.select(
+        *[F.col(key).alias(f"__k{i}") for i, key in enumerate(keys)],
+        F.col("__part").alias("__p"),
+        carry(F.col("__sum"), Window.partitionBy(*keys).orderBy("__part")).alias("__carry"),
+    )
+    same = F.col("__part") == F.col("__p")
+    for i, key in enumerate(keys):
+        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
+    wide = crowded.join(carried, same, "left")
+    here = inside(Window.partitionBy(*keys, "__part").orderBy(*order))
+    hot = wide.withColumn("__here", here).withColumn("__out", joined(F.col("__here"), F.col("__carry")))
+    return out.unionByName(hot.select(*out.columns))
 
 
 def previous(
@@ -66,16 +87,20 @@ def previous(
     Also adds ``has_previous``, since an earlier value may itself be NULL.
     """
     seen = F.struct(*columns)
-    blocked = cut_blocks(df, keys, order, limit)
-    wide = _with_carry(
-        blocked, keys, F.max_by(seen, F.struct(*order)), lambda s, w: F.lag(s).over(w)
+    out = _along(
+        df,
+        keys,
+        order,
+        limit,
+        inside=lambda w: F.lag(seen).over(w),
+        summary=F.max_by(seen, F.struct(*order)),
+        carry=lambda s, w: F.lag(s).over(w),
+        joined=F.coalesce,
     )
-    before = F.coalesce(F.lag(seen).over(_in_block(keys, order)), F.col("__carry"))
-    wide = wide.withColumn("__prev", before)
-    return wide.select(
+    return out.select(
         *df.columns,
-        *[F.col(f"__prev.{source}").alias(target) for source, target in columns.items()],
-        F.col("__prev").isNotNull().alias("has_previous"),
+        *[F.col(f"__out.{source}").alias(target) for source, target in columns.items()],
+        F.col("__out").isNotNull().alias("has_previous"),
     )
 
 
@@ -87,33 +112,38 @@ def running_sum(
     out: str,
     include_current: bool = True,
     limit: int = DEFAULT_LIMIT,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Sum of ``value`` over the rows of the key up to this one (or up to the one before it)."""
-    blocked = cut_blocks(df.withColumn("__v", value), keys, order, limit)
-    wide = _with_carry(
-        blocked,
+    last = Window.currentRow if include_current else -1
+    start = Window.unboundedPreceding
+    summed = _along(
+        df.withColumn("__v", value),
         keys,
-        F.sum("__v"),
-        lambda s, w: F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        order,
+        limit,
+        inside=lambda w: F.coalesce(F.sum("__v").over(w.rowsBetween(start, last)), F.lit(0)),
+        summary=F.sum("__v"),
+        carry=lambda s, w: F.sum(s).over(w.rowsBetween(start, -1)),
+        joined=lambda here, before: here + F.coalesce(before, F.lit(0)),
+        sized_by=sized_by,
     )
-    last = Window.currentRow if include_current else -1
-    inside = F.sum("__v").over(_in_block(keys, order).rowsBetween(Window.unboundedPreceding, last))
-    total = F.coalesce(inside, F.lit(0)) + F.coalesce(F.col("__carry"), F.lit(0))
-    return wide.withColumn(out, total).select(*df.columns, out)
+    return summed.select(*df.columns, F.col("__out").alias(out))
 
 
 def last_known(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
     """Latest non-NULL ``value`` of the key up to and including this row."""
-    blocked = cut_blocks(df.withColumn("__v", value), keys, order, limit)
-    wide = _with_carry(
-        blocked,
+    start = Window.unboundedPreceding
+    known = _along(
+        df.withColumn("__v", value),
         keys,
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))),
-        lambda s, w: F.last(s, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-    )
-    inside = F.last("__v", ignorenulls=True).over(
-        _in_block(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order,
+        limit,
+        inside=lambda w: F.last("__v", ignorenulls=True).over(w.rowsBetween(start, Window.currentRow)),
+        summary=F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))),
+        carry=lambda s, w: F.last(s, ignorenulls=True).over(w.rowsBetween(start, -1)),
+        joined=F.coalesce,
     )
-    return wide.withColumn(out, F.coalesce(inside, F.col("__carry"))).select(*df.columns, out)
+    return known.select(*df.columns, F.col("__out").alias(out))
