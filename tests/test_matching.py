@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.actions import Action, action_results, job_requests, register_action
+from tidewatch.operators.conditions import MaxAttempts
 from tidewatch.operators.matching import match_registry_rules, match_triggers
 from tidewatch.operators.rules import LogRule, StateRule, active
 from tidewatch.operators.transitions import (
@@ -76,6 +77,18 @@ def test_once_means_once_per_chunk(spark):
     assert len(hits(spark, ["x x", "x"], rule("x"))) == 2
 
 
+def test_hits_past_a_certain_effect_can_be_cut(spark):
+    rules = [
+        rule("a", match_once=False),
+        LogRule("gated", "b", action=Action("CancelAction"), condition=MaxAttempts(max_attempts=2), match_once=False),
+        LogRule("sure", "c", action=Action("RestartAction"), match_once=False),
+        rule("d"),
+    ]
+    found = match_triggers(chunks(spark, "d c b a c a", "d b", ""), rules, ["chunk_seq"], False, cut_after_effect=True)
+    got = sorted((r.chunk_seq, r.rule_idx, r.match_seq) for r in found.collect())
+    assert got == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 2, 0), (1, 1, 0), (1, 3, 0)]
+
+
 def test_rules_without_action_keep_their_number(spark):
     got = hits(spark, ["x"], LogRule("silent", "x"), rule("x"))
     assert [r.rule_idx for r in got] == [1]

@@ -109,19 +109,34 @@ def all_hits(text: Column, rules: Sequence[tuple[int, LogRule]], payload: bool =
     return F.concat(*arrays)
 
 
+def _up_to_effect(hits: Column, rules: Sequence[tuple[int, LogRule]]) -> Column:
+    """Hits up to the first that surely ends its chunk: a rule with a special effect and no condition."""
+    ending = [idx for idx, rule in rules if rule.action.effect != "noop" and rule.condition is None]
+    if not ending:
+        return hits
+    first = F.array_position(F.transform(hits, lambda hit: hit["rule_idx"].isin(ending)), True)
+    return F.slice(hits, F.lit(1), F.when(first > 0, first.cast("int")).otherwise(F.size(hits)))
+
+
 def match_triggers(
-    chunks: DataFrame, rules: Sequence[LogRule], keep: Sequence[str] = ("job_id", "chunk_seq", "ts"), payload: bool = True
+    chunks: DataFrame,
+    rules: Sequence[LogRule],
+    keep: Sequence[str] = ("job_id", "chunk_seq", "ts"),
+    payload: bool = True,
+    cut_after_effect: bool = False,
 ) -> DataFrame:
     """One row per hit of each rule that has an action.
 
     Matching is map-only. ``payload=False`` leaves out the metadata map and skips group extraction.
+    ``cut_after_effect`` drops, before any shuffle, hits that a replay would never get to in their chunk.
     """
-    hits = all_hits(F.col("text"), active(list(rules)), payload)
-    return (
-        chunks.filter(F.col("text") != "")
-        .select(*keep, F.explode(hits).alias("hit"))
-        .select(*keep, "hit.*")
-    )
+    chosen = active(list(rules))
+    hits = all_hits(F.col("text"), chosen, payload)
+    new_text = chunks.filter(F.col("text") != "")
+    if cut_after_effect:
+        new_text = new_text.withColumn("__hits", hits)
+        hits = _up_to_effect(F.col("__hits"), chosen)
+    return new_text.select(*keep, F.explode(hits).alias("hit")).select(*keep, "hit.*")
 
 
 @F.pandas_udf(T.StringType())

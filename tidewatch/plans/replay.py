@@ -60,8 +60,8 @@ def _hits(once: bool) -> str:
     return "hits AS (" + " UNION ALL ".join(parts) + ")"
 
 
-def _rows(spark: SparkSession, sf_dir: str, spec: Spec) -> DataFrame:
-    hits = match_triggers(turn_chunks(spark, sf_dir), spec.log_rules, payload=False)
+def _rows(spark: SparkSession, sf_dir: str, spec: Spec, cut: bool = False) -> DataFrame:
+    hits = match_triggers(turn_chunks(spark, sf_dir), spec.log_rules, payload=False, cut_after_effect=cut)
     return trigger_rows(hits, spec)
 
 
@@ -101,7 +101,7 @@ def lifecycle_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lifecycle_replay_stateless(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules without remembered state: answered by windows and aggregates alone."""
-    done = replay(_rows(spark, sf_dir, PLAIN), PLAIN)
+    done = replay(_rows(spark, sf_dir, PLAIN, cut=True), PLAIN)
     return done.select("job_id", "chunk_seq", "rule_idx", "match_seq", "attempts", "outcome")
 
 
@@ -127,7 +127,7 @@ FROM r GROUP BY 1"""
 @query("lifecycle_replay", REPLAY_SQL)
 def lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restarts limited to three attempts, a finish, a cancel, and a message with a cooldown of two turns."""
-    done = replay(_rows(spark, sf_dir, GATED), GATED)
+    done = replay(_rows(spark, sf_dir, GATED, cut=True), GATED)
     all_jobs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"))
     return job_outcomes(done, all_jobs)
 
