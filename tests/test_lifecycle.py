@@ -206,11 +206,11 @@ def test_fold_of_a_hot_job_that_never_ends(spark):
     assert max(r[2] for r in got.values()) > 100
 
 
-@pytest.mark.parametrize("limit", [20, 5_000_000])
-def test_windows_equal_model_on_evaluated_rows(spark, limit):
+@pytest.mark.parametrize("limit,polls", [(20, False), (5_000_000, False), (20, True)])
+def test_windows_equal_model_on_evaluated_rows(spark, limit, polls):
     assert lc.plan_kind(STATELESS) == "windows" and lc.plan_kind(STATEFUL) == "fold"
     # Mostly restarts and messages, so that jobs live on for a while.
-    rows = [r for r in random_rows(STATELESS, 9, polls=False) if r[2] != lc.LOG_TRIGGER or r[3] < 2 or r[1] % 17 == 3]
+    rows = [r for r in random_rows(STATELESS, 9, polls=polls) if r[2] != lc.LOG_TRIGGER or r[3] < 2 or r[1] % 17 == 3]
     frame = with_bits(spark.createDataFrame(rows, ROWS), STATELESS)
     want = {key: value for key, value in model(rows, STATELESS).items() if value[0]}
     got = as_dict(lc.replay(frame, STATELESS, limit=limit))

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -409,38 +409,52 @@ def effect_column(spec: Spec) -> Column:
     return expr
 
 
-def chunk_effects(rows: DataFrame, effect: Column, passed: Column) -> DataFrame:
-    """Keep what is evaluated in each chunk: up to its first passing special effect, named ``chunk_stop``.
+def chunk_stops(rows: DataFrame, effect: Column, passed: Column) -> DataFrame:
+    """Place and effect of the first special effect of each chunk that has one."""
+    place = F.struct("kind", "rule_idx", "match_seq")
+    special = rows.filter((effect != "noop") & passed)
+    return special.groupBy("job_id", "chunk_seq").agg(
+        F.min(F.struct(place.alias("place"), effect.alias("effect"))).alias("stop")
+    )
 
-    The window spans one chunk, that is the hits of a single text row.
-    """
+
+def chunk_effects(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """Keep what is evaluated in each chunk: up to its first special effect, marked ``chunk_stop``."""
     place = F.struct("kind", "rule_idx", "match_seq")
-    stops = F.min(F.when((effect != "noop") & passed, place)).over(Window.partitionBy("job_id", "chunk_seq"))
     return (
-        rows.withColumn("chunk_stop", stops)
-        .filter(F.coalesce(place <= F.col("chunk_stop"), F.lit(True)))
-        .withColumn("chunk_stop", F.coalesce(place == F.col("chunk_stop"), F.lit(False)))
+        rows.join(stops, ["job_id", "chunk_seq"], "left")
+        .filter(F.coalesce(place <= F.col("stop.place"), F.lit(True)))
+        .select(*rows.columns, F.coalesce(place == F.col("stop.place"), F.lit(False)).alias("chunk_stop"))
     )
 
 
-def close_jobs(rows: DataFrame, closes: Column) -> DataFrame:
-    """Drop what comes after the first closing row of a job."""
-    place = F.struct(*REPLAY_ORDER)
-    first = rows.filter(closes).groupBy("job_id").agg(F.min(place).alias("__end"))
-    return (
-        rows.join(first, "job_id", "left")
-        .filter(F.coalesce(place <= F.col("__end"), F.lit(True)))
-        .drop("__end")
+def job_ends(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """Where each job that ends does so: its first finish or cancel, or an end row no other effect comes before."""
+    forced = stops.filter(F.col("stop.effect").isin("finish", "cancel")).select(
+        "job_id", F.struct("chunk_seq", "stop.place.*").alias("end")
+    )
+    natural = (
+        rows.filter((F.col("kind") == NATURAL_END) & F.col("flag"))
+        .join(stops, ["job_id", "chunk_seq"], "left_anti")
+        .select("job_id", F.struct(*REPLAY_ORDER).alias("end"))
     )
+    return forced.unionByName(natural).groupBy("job_id").agg(F.min("end").alias("end"))
+
+
+def close_jobs(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Drop what comes after the end of a job."""
+    within = F.coalesce(F.struct(*REPLAY_ORDER) <= F.col("end"), F.lit(True))
+    return rows.join(ends, "job_id", "left").filter(within).drop("end")
 
 
 def replay_windows(rows: DataFrame, spec: Spec, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Replay without a fold; gives the evaluated rows only, with the same columns."""
-    kept = rows.withColumns({"__pass": _stateless_pass(spec), "__effect": effect_column(spec)})
+    passed, effect = _stateless_pass(spec), effect_column(spec)
+    stops = chunk_stops(rows, effect, passed)
+    kept = close_jobs(chunk_effects(rows, stops), job_ends(rows, stops)).drop("chunk_stop")
+    kept = kept.withColumns({"__pass": passed, "__effect": effect})
     natural = (F.col("kind") == NATURAL_END) & F.col("flag")
-    kept = chunk_effects(kept, F.col("__effect"), F.col("__pass"))
     closing = F.col("__effect").isin("finish", "cancel") & F.col("__pass")
-    kept = close_jobs(kept, closing | natural)
     restart = F.when((F.col("__effect") == "restart") & F.col("__pass"), 1).otherwise(0)
     counted = running_sum(kept, ["job_id"], list(REPLAY_ORDER), restart, "__restarts", limit=limit, sized_by=rows)
     outcome = (

@@ -318,8 +318,9 @@ def poll_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items stand for the status feed; jobs of priority 3 are about to finish."""
     status = (
         table(spark, sf_dir, "lineitem")
-        .groupBy(F.concat(F.lit("r"), F.col("l_orderkey")).alias("runtime_job_id"))
+        .groupBy("l_orderkey")
         .agg(F.max_by("l_returnflag", F.struct("l_shipdate", "l_linenumber", "l_returnflag")).alias("status"))
+        .select(F.concat(F.lit("r"), F.col("l_orderkey")).alias("runtime_job_id"), "status")
     )
     return reports.poll_snapshot(jobs(spark, sf_dir), status, F.col("attempts") == 3)
 

@@ -13,8 +13,10 @@ from tidewatch.operators.conditions import Cooldown, MaxAttempts
 from tidewatch.operators.lifecycle import (
     Spec,
     chunk_effects,
+    chunk_stops,
     close_jobs,
     effect_column,
+    job_ends,
     job_outcomes,
     replay,
     trigger_rows,
@@ -24,6 +26,7 @@ from tidewatch.operators.registry_replay import replay_registry
 from tidewatch.operators.rules import LogRule
 from tidewatch.plans.tables import query, table, turn_chunks
 from tidewatch.schemas import LOG_EVENT, STATE_EVENT
+from tidewatch.session import materialise
 
 RESTART, FINISH, CANCEL = Action("RestartAction"), Action("FinishAction"), Action("CancelAction")
 NOTE = Action("LogAction", "{match}")
@@ -74,7 +77,8 @@ kept AS (SELECT hits.*, coalesce((rule_idx, match_seq) = stop, false) AS stops F
 @query("chunk_effect", f"WITH {STOPS_SQL} SELECT job_id, chunk_seq, rule_idx, match_seq, stops FROM kept")
 def chunk_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is evaluated in each turn: everything up to the first restart, finish or cancel."""
-    kept = chunk_effects(_rows(spark, sf_dir, PLAIN), effect_column(PLAIN), F.lit(True))
+    rows = materialise(_rows(spark, sf_dir, PLAIN), "triggers")
+    kept = chunk_effects(rows, chunk_stops(rows, effect_column(PLAIN), F.lit(True)))
     return kept.select("job_id", "chunk_seq", "rule_idx", "match_seq", F.col("chunk_stop").alias("stops"))
 
 
@@ -86,9 +90,10 @@ open_rows AS (SELECT kept.* FROM kept LEFT JOIN ends USING (job_id)
 
 @query("lifecycle_close", f"WITH {CLOSED_SQL} SELECT job_id, chunk_seq, rule_idx, match_seq FROM open_rows")
 def lifecycle_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = chunk_effects(_rows(spark, sf_dir, PLAIN), effect_column(PLAIN), F.lit(True))
-    ends = F.col("chunk_stop") & F.col("rule_idx").isin(1, 2)
-    return close_jobs(kept, ends).select("job_id", "chunk_seq", "rule_idx", "match_seq")
+    rows = materialise(_rows(spark, sf_dir, PLAIN), "triggers")
+    stops = chunk_stops(rows, effect_column(PLAIN), F.lit(True))
+    kept = close_jobs(chunk_effects(rows, stops), job_ends(rows, stops))
+    return kept.select("job_id", "chunk_seq", "rule_idx", "match_seq")
 
 
 @query(

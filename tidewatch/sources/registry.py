@@ -142,7 +142,7 @@ def expand_arrays(jobs: DataFrame, returned: Column | None = None) -> DataFrame:
 def cleanup(jobs: DataFrame, done_only: bool = False, scope: str = "active") -> tuple[DataFrame, DataFrame]:
     """(removed, kept) rows of a retention run.
 
-    ``active`` looks at unfinished jobs only and so never removes what the monitor itself finished; ``all`` does.
+    ``active`` looks at unfinished jobs only and so never removes jobs that have ended; ``all`` does.
     """
     if scope not in ("active", "all"):
         raise ValueError("scope must be active or all")
