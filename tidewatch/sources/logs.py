@@ -36,8 +36,18 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG_CHUNKS).parquet(path)
 
 
+# One micro-batch takes this many bytes unless the caller says otherwise, so a job's share of it fits a task.
+MICRO_BATCH = str(512 * 1024 * 1024)
+
+
+def bounded(options: dict[str, str]) -> dict[str, str]:
+    """Source options with a limit on the size of a micro-batch."""
+    limits = {"maxfilespertrigger", "maxbytespertrigger"}
+    return options if limits & {name.lower() for name in options} else {**options, "maxBytesPerTrigger": MICRO_BATCH}
+
+
 def stream_chunks(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    return spark.readStream.schema(LOG_CHUNKS).options(**options).parquet(path)
+    return spark.readStream.schema(LOG_CHUNKS).options(**bounded(options)).parquet(path)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
@@ -45,4 +55,4 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_status(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    return spark.readStream.schema(STATUS_SNAPSHOTS).options(**options).parquet(path)
+    return spark.readStream.schema(STATUS_SNAPSHOTS).options(**bounded(options)).parquet(path)

@@ -2,7 +2,7 @@
 
 Matching is stateless and happens before the shuffle, so only triggers reach the keyed operators. Each operator keeps
 small per-key state and takes the rows of one micro-batch in order; feeds must bring a job's rows in order across
-micro-batches. Bound a micro-batch with the source's own option (``maxFilesPerTrigger`` for files).
+micro-batches. File sources are limited to a fixed size per micro-batch unless the caller sets another limit.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.lifecycle import Spec, step
 from tidewatch.session import STATE_STORE_PROVIDER, scratch_path
+from tidewatch.sources.logs import bounded
 from tidewatch.sources.sinks import write_stream
 
 RUNTIME = T.StructType(
@@ -246,7 +247,7 @@ def stream_inactivity(rows: DataFrame, key: str, gap_seconds: float, ts: str = "
 def read_stream(spark: SparkSession, folder: str, glob: str, **options: str) -> DataFrame:
     """Parquet files of a folder as a stream, with the schema of what is there."""
     schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).options(**options).parquet(folder)
+    return spark.readStream.schema(schema).option("pathGlobFilter", glob).options(**bounded(options)).parquet(folder)
 
 
 def drain(
