@@ -110,6 +110,12 @@ def test_latch_for_all_short_sequences(spark, keep_pass, keep_fail):
     assert got == {i: latched(s, keep_pass, keep_fail) for i, s in enumerate(sequences)}
 
 
+def test_rows_without_a_key_are_kept(spark):
+    frame = spark.createDataFrame([(None, 0, False), (None, 1, True), (None, 2, False), ("a", 0, False)], "job string, k int, raw boolean")
+    done = c.apply_latches(frame, {"out": ("raw", c.AlwaysTrue(persistent_pass=True))}, ["job"], ["k"])
+    assert sorted((r.job or "", r.k, r.out) for r in done.collect()) == [("", 0, False), ("", 1, True), ("", 2, True), ("a", 0, False)]
+
+
 def test_latched_fail_of_a_spent_timeout(spark):
     frame = rows(spark, (1,), (1,), schema="x int")
     assert [p for p, _ in judged(frame, c.Timeout(timeout_seconds=0, persistent_fail=True))] == [False, False]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.regex import glob_to_jvm, to_jvm
 from tidewatch.functions.render import parse_template, render
-from tidewatch.operators.ordered import DEFAULT_LIMIT, last_known, previous, running_sum
+from tidewatch.operators.ordered import DEFAULT_LIMIT, attach, last_known, previous, running_sum
 
 _custom: dict[str, Callable[[Custom, Scope], tuple[Column, Column]]] = {}
 
@@ -411,7 +411,7 @@ def _glob_then(
 def first_seen(rows: DataFrame, keys: list[str], ts: str = "ts", name: str = "first_ts") -> DataFrame:
     """Add the earliest ``ts`` of each key. Aggregated and joined back, so a hot key is no single task's work."""
     first = rows.groupBy(*keys).agg(F.min(ts).alias(name))
-    return rows.join(first, keys, "left")
+    return attach(rows, first, keys)
 
 
 def apply_latches(
@@ -438,7 +438,7 @@ def apply_latches(
             results[out] = F.col(raw)
     columns = rows.columns
     if firsts:
-        rows = rows.join(rows.groupBy(*keys).agg(*firsts), keys)
+        rows = attach(rows, rows.groupBy(*keys).agg(*firsts), keys)
     return rows.select(*columns, *[result.alias(out) for out, result in results.items()])
 
 

@@ -19,6 +19,15 @@ from tidewatch.session import shared_dir
 DEFAULT_LIMIT = 5_000_000
 
 
+def attach(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of ``side``, one row per key; a NULL key meets a NULL key."""
+    names = {key: f"__of_{key}" for key in keys}
+    same = F.lit(True)
+    for key, name in names.items():
+        same = same & F.col(key).eqNullSafe(F.col(name))
+    return rows.join(side.withColumnsRenamed(names), same, "left").drop(*names.values())
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int, sized_by: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
@@ -65,15 +74,11 @@ def _along(
     if crowded is None:
         return out
     per_part = crowded.groupBy(*keys, "__part").agg(summary.alias("__sum"))
+    parts = [*keys, "__part"]
     carried = per_part.select(
-        *[F.col(key).alias(f"__k{i}") for i, key in enumerate(keys)],
-        F.col("__part").alias("__p"),
-        carry(F.col("__sum"), Window.partitionBy(*keys).orderBy("__part")).alias("__carry"),
+        *parts, carry(F.col("__sum"), Window.partitionBy(*keys).orderBy("__part")).alias("__carry")
     )
-    same = F.col("__part") == F.col("__p")
-    for i, key in enumerate(keys):
-        same = same & F.col(key).eqNullSafe(F.col(f"__k{i}"))
-    wide = crowded.join(carried, same, "left")
+    wide = attach(crowded, carried, parts)
     here = inside(Window.partitionBy(*keys, "__part").orderBy(*order))
     hot = wide.withColumn("__here", here).withColumn("__out", joined(F.col("__here"), F.col("__carry")))
     return out.unionByName(hot.select(*out.columns))
