@@ -12,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Fixed value that stands for a null doc_id, below all others.
+NO_ID = -(2**63)
 #: Rows of a bucket that one window sorts.
 BUCKET_ROWS = 10_000
 
@@ -37,6 +39,16 @@ def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def row_key(docs: DataFrame, text: Column) -> list[Column]:
+    """(_id, _x): the doc_id, with the least number for null, and a hash that tells rows of one id apart."""
+    return [F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_x")]
+
+
+def as_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one, so that no column added beside it can clash."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+
+
 def bucket_count(rows: int) -> int:
     """Buckets that keep a bucket of evenly hashed rows near BUCKET_ROWS."""
     return max(1, -(-rows // BUCKET_ROWS))
@@ -49,15 +61,18 @@ def numbered(
     buckets: int,
     number: str,
     total: tuple[str, str] | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add ``number``, gapless from 0 within ``keys``, and for ``total=(size, name)`` the sum of sizes before the row.
 
-    A key may hold most rows, so its rows are dealt by a hash of ``order`` to ``buckets`` buckets. Each bucket is
+    A key may hold most rows, so its rows are dealt by a hash of ``order`` (or ``bucket``) to ``buckets`` buckets. Each bucket is
     numbered by itself and starts where the buckets before it end; only one row per key and bucket is summed up per key.
     The numbers follow (bucket, ``order``). ``keys`` must not be null; ``order`` should tell rows apart, rows equal in
     it are numbered in any order.
     """
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    if bucket is None:
+        bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    dealt = rows.withColumn("_bucket", bucket.cast("int"))
     group = [*keys, "_bucket"]
     sums = [F.count("*").alias("_rows")] + ([F.sum(total[0]).alias("_size")] if total else [])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

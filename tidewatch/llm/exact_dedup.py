@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import BUCKET_ROWS
+from tidewatch.llm.common import BUCKET_ROWS, NO_ID, as_row, row_key
 from tidewatch.session import materialise
 
 #: Characters of a chunk.
@@ -92,15 +92,12 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 PRINT = ["f0", "f1", "n_bytes"]
-#: Fixed value that stands for a null doc_id, below all others.
-NO_ID = -(2**63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """(_id, _x, _t): the id without nulls, a hash that tells rows of one id apart, the normalised text."""
     text = normalised(docs["text"])
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"), text.alias("_t"))
-    return rows.select("_id", F.xxhash64("_t").alias("_x"), "_t")
+    return docs.select(*row_key(docs, text), text.alias("_t"))
 
 
 def fingerprints(docs: DataFrame, chunk: int = CHUNK, spread: bool = False, digest: bool = False) -> DataFrame:
@@ -186,10 +183,5 @@ def _compare(texts: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     kept = exact_groups(docs, chunk).filter("kept").select("_id", "_x")
-    text = normalised(docs["text"])
-    marked = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
-        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(NO_ID)).alias("_id"),
-        F.xxhash64(text).alias("_x"),
-    )
+    marked = docs.select(as_row(docs), *row_key(docs, normalised(docs["text"])))
     return marked.join(kept, ["_id", "_x"]).dropDuplicates(["_id", "_x"]).select("_row.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, packing, sharding, token_counts, token_ids
+from tidewatch.llm import exact_dedup, mixing, packing, quality, sharding, token_counts, token_ids
 from tidewatch.llm.common import ORACLES, QUERIES, Query, query, table
 from tidewatch.session import materialise, scratch_path
 
@@ -63,3 +63,45 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+#: Parts of a period shared among the sources, and bytes of a block.
+MIX_PARTS, MIX_BLOCK = 1000, 1 << 16
+
+
+@query(
+    "op5_mixing",
+    f"""WITH RECURSIVE rows_ AS (
+      SELECT doc_id, coalesce(source, '') AS source, strlen(coalesce(text, '')) AS size, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    roots AS (SELECT source, sqrt(sum(size)) AS root FROM rows_ GROUP BY source),
+    weights AS (SELECT source, CAST(greatest(round(root / sum(root) OVER () * {MIX_PARTS}), 1) AS BIGINT) AS parts FROM roots),
+    all_ AS (SELECT list(source ORDER BY source) AS names, list(parts ORDER BY source) AS a, CAST(sum(parts) AS BIGINT) AS period FROM weights),
+    edf AS (
+      SELECT CAST(-1 AS BIGINT) AS t, list_transform(a, lambda x: CAST(0 AS BIGINT)) AS given, CAST(0 AS BIGINT) AS pick FROM all_
+      UNION ALL
+      SELECT t, list_transform(range(1, len(a) + 1), lambda i: given[i] + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+        SELECT t + 1 AS t, given, a, list_min(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN (given[i] * period) // a[i] <= t + 1
+          THEN (((given[i] + 1) * period + a[i] - 1) // a[i]) * 1000000 + i ELSE 9000000000000000 END)) % 1000000 AS pick
+        FROM edf, all_ WHERE t + 1 < period)),
+    plan AS (SELECT names[pick] AS source, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM edf, all_ WHERE t >= 0),
+    ranked AS (SELECT *, row_number() OVER w - 1 AS place,
+      coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_
+      FROM rows_ WINDOW w AS (PARTITION BY source ORDER BY h, doc_id)),
+    blocks AS (SELECT *, CAST(before_ AS BIGINT) // {MIX_BLOCK} AS block FROM ranked),
+    placed AS (SELECT b.*, (block // parts) * period + t AS slot FROM blocks b JOIN weights USING (source), all_, plan p
+      WHERE p.source = b.source AND p.j = b.block % parts),
+    nexts AS (SELECT source, max(block) + 1 AS nb FROM blocks GROUP BY source),
+    horizon AS (SELECT min((nb // parts) * period + t) AS h FROM nexts n JOIN weights USING (source), all_, plan p
+      WHERE p.source = n.source AND p.j = nb % parts)
+    SELECT doc_id, p.source, size, block, slot, place, slot < horizon.h AS on_target FROM placed p, horizon""",
+)
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    places = mixing.mix(docs, mixing.damped_weights(docs, MIX_PARTS), MIX_BLOCK)
+    return places.select(F.col("_id").alias("doc_id"), "source", "size", "block", "slot", "place", "on_target")
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.drop("_id", "_x")
