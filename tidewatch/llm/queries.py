@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, mixing, packing, quality, sharding, token_counts, token_ids
+from tidewatch.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, token_ids
 from tidewatch.llm.common import ORACLES, QUERIES, Query, query, table
 from tidewatch.session import materialise, scratch_path
 
@@ -105,3 +105,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return verdicts.drop("_id", "_x")
+
+
+@query(
+    "op2_ngram_join",
+    """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+    k AS (SELECT doc_id, w, md5(array_to_string(w, ' ')) AS c FROM w),
+    classes AS (SELECT c, any_value(w) AS w, max(doc_id) AS class_id, count(*) AS n_copies FROM k GROUP BY c),
+    sh AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM classes WHERE len(w) > 0),
+    sizes AS (SELECT class_id, count(*) AS n FROM sh GROUP BY class_id),
+    shared AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS n FROM sh a JOIN sh b USING (s) WHERE a.class_id <> b.class_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.class_id = a JOIN sizes y ON y.class_id = b WHERE 5 * shared.n >= 4 * (x.n + y.n - shared.n)),
+    reach AS (SELECT class_id AS a, class_id AS b FROM classes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    heads AS (SELECT a, max(b) AS group_id FROM reach GROUP BY a),
+    degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT doc_id, class_id, n_copies, coalesce(degree.n, 0) AS n_links, group_id, doc_id = group_id AS kept
+    FROM k JOIN classes USING (c) JOIN heads ON heads.a = class_id LEFT JOIN degree ON degree.a = class_id""",
+)
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents")).drop("_id", "_x")
