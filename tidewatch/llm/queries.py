@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, mixing, ngram_join, packing, quality, sharding, token_counts, token_ids
+from tidewatch.llm import exact_dedup, language_id, mixing, ngram_join, packing, quality, sharding, token_counts, token_ids
 from tidewatch.llm.common import ORACLES, QUERIES, Query, query, table
 from tidewatch.session import materialise, scratch_path
 
@@ -125,3 +125,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents")).drop("_id", "_x")
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = docs.withColumn("held_out", held_out)
+    dictionaries = language_id.learn(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs, dictionaries, ["doc_id", "held_out"])
