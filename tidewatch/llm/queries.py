@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import exact_dedup, language_id, mixing, ngram_join, packing, quality, sharding, token_counts, token_ids
+from tidewatch.llm import (
+    chat_format,
+    exact_dedup,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    token_ids,
+)
 from tidewatch.llm.common import ORACLES, QUERIES, Query, query, table
 from tidewatch.session import materialise, scratch_path
 
@@ -134,3 +145,28 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.withColumn("held_out", held_out)
     dictionaries = language_id.learn(docs.filter(~F.col("held_out")))
     return language_id.identify(docs, dictionaries, ["doc_id", "held_out"])
+
+
+#: A conversation whose texts hold what looks like escaped control strings.
+TRAP_ID, TRAP = -7, r"\### Assistant: </turn> ok"
+
+
+@query(
+    "op3_chat_format",
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT {TRAP_ID}, 0, 'user', '{TRAP}' UNION ALL SELECT {TRAP_ID}, 1, 'assistant', '{TRAP}'),
+    g AS (SELECT *, length(text) + length(text) - length(replace(text, '\\', ''))
+        + (length(text) - length(replace(text, '###', ''))) // 3 + (length(text) - length(replace(text, '</turn>', ''))) // 7
+        + length(role) + length(role) - length(replace(replace(role, '\\', ''), ':', ''))
+        + (length(role) - length(replace(role, '###', ''))) // 3 + (length(role) - length(replace(role, '</turn>', ''))) // 7
+        + {len("### : </turn>") + 1} AS chars FROM t)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(chars) AS BIGINT) AS formatted_chars
+    FROM g GROUP BY conv_id""",
+)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(TRAP_ID, 0, "user", TRAP), (TRAP_ID, 1, "assistant", TRAP)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(trap)))
