@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.render import render_from_map
 
-# Effect of each action class and the job outcome of each effect.
+# Effect and default text of each action class, and the job outcome of each effect.
 EFFECTS = {
     "RestartAction": "restart",
     "FinishAction": "finish",
@@ -18,6 +18,13 @@ EFFECTS = {
     "LogAction": "noop",
     "NewJobAction": "noop",
 }
+DEFAULT_TEXTS = {
+    "RestartAction": "restarting job",
+    "FinishAction": "finished",
+    "CancelAction": "cancelled",
+    "LogAction": "Event {event_name} triggered",
+    "NewJobAction": "Submitting local command job",
+}
 OUTCOMES = {"restart": "restart", "finish": "finished", "cancel": "cancelled", "noop": "continue"}
 LEVELS = ("debug", "warning", "error")
 
@@ -26,16 +33,18 @@ _custom: dict[str, Callable[[Action, Column], tuple[str, Column]]] = {}
 
 @dataclass(frozen=True)
 class Action:
-    """``kind`` names the class; ``text`` is the message template or the reason."""
+    """``kind`` names the class; ``text`` is the message template or the reason, by default that of the class."""
 
     kind: str
-    text: str = ""
+    text: str | None = None
     level: str = "info"
     job_config: str | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in EFFECTS and self.kind not in _custom:
             raise ValueError(f"unknown action {self.kind!r}")
+        if self.text is None or self.kind == "NewJobAction":
+            object.__setattr__(self, "text", DEFAULT_TEXTS.get(self.kind, ""))
 
     @property
     def effect(self) -> str:

@@ -163,7 +163,7 @@ def _variables():
 
 
 MESSAGE_SQL = """CASE rule_name WHEN 'license' THEN job_id || ': ' || match
-      WHEN 'heading' THEN rule_name || ' in ' || job_id || ' {x}' WHEN 'token' THEN ''
+      WHEN 'heading' THEN rule_name || ' in ' || job_id || ' {x}' WHEN 'token' THEN 'Submitting local command job'
       WHEN 'address' THEN 'address' WHEN 'released' THEN 'released' ELSE 'full stop' END"""
 
 

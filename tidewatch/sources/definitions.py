@@ -58,7 +58,7 @@ def action_from(value: Any) -> Action | None:
     config = value.get("job_config")
     return Action(
         value["class_name"],
-        text=value.get("message") or value.get("reason") or "",
+        text=next((value[k] for k in ("message", "reason") if value.get(k) is not None), None),
         level=value.get("level") or "info",
         job_config=config if config is None or isinstance(config, str) else json.dumps(config),
     )
