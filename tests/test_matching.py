@@ -108,6 +108,9 @@ def test_rules_of_each_job(spark, limit, sent):
         ("b", 0, "n", "x", "substring", True),
         ("b", 3, "dot", ".", "substring", False),
         ("b", 4, "quiet", "x", "inactivity", False),
+        ("b", 5, "unset", "x", None, None),
+        ("b", 6, "nothing", None, "substring", True),
+        ("b", 7, "empty", "", "regex", True),
     ]
     table = spark.createDataFrame(rules, "job_id string, rule_idx int, name string, pattern string, pattern_type string, match_once boolean")
     text = spark.createDataFrame([("a", 0, "xx 12 3"), ("b", 0, "x.x."), ("c", 0, "x1"), ("a", 1, "")], "job_id string, chunk_seq int, text string")
@@ -119,15 +122,26 @@ def test_rules_of_each_job(spark, limit, sent):
         ("b", 0, "n", 0, "x"),
         ("b", 3, "dot", 0, "."),
         ("b", 3, "dot", 1, "."),
+        ("b", 5, "unset", 0, "x"),
     ]
 
 
 def test_messages_and_requests(spark):
-    rules = [rule("x"), LogRule("spawn", "SPAWN", action=Action("NewJobAction", job_config="child"))]
-    found = match_triggers(chunks(spark, "x SPAWN"), rules, ["job_id"]).withColumn("event_name", F.lit("evt"))
+    kinds = ("LogAction", "RestartAction", "FinishAction", "CancelAction")
+    rules = [rule("x"), LogRule("more", "MORE", action=Action("NewJobAction", job_config="sub"))]
+    rules += [LogRule(kind, "x", action=Action(kind)) for kind in kinds] + [LogRule("mute", "x", action=Action("LogAction", ""))]
+    found = match_triggers(chunks(spark, "x MORE"), rules, ["job_id"]).withColumn("event_name", F.lit("spill"))
     done = action_results(found, active(rules), F.create_map(F.lit("event_name"), F.col("event_name"))).orderBy("rule_idx").collect()
-    assert [(r.effect, r.outcome, r.message) for r in done] == [("noop", "continue", "event evt"), ("noop", "continue", "")]
-    assert [(r.job_id, r.job_config) for r in job_requests(found, active(rules)).collect()] == [("j", "child")]
+    assert [(r.effect, r.outcome, r.message) for r in done] == [
+        ("noop", "continue", "event spill"),
+        ("noop", "continue", "Submitting local command job"),
+        ("noop", "continue", "Event spill triggered"),
+        ("restart", "restart", "restarting job"),
+        ("finish", "finished", "finished"),
+        ("cancel", "cancelled", "cancelled"),
+        ("noop", "continue", ""),
+    ]
+    assert [(r.job_id, r.job_config) for r in job_requests(found, active(rules)).collect()] == [("j", "sub")]
 
 
 def test_unknown_actions_and_kinds_are_refused():

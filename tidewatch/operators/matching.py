@@ -155,10 +155,16 @@ def match_registry_rules(
 
     Jobs mostly share a few patterns. While the distinct ones are few they are matched as literals in one
     map-only pass and the narrow hits meet the rule table afterwards; if the jobs are few enough to send, a chunk is
-    only searched for its own job's patterns. With many patterns, each chunk meets its own job's rules first.
+    only searched for its own job's patterns. With many patterns, each chunk meets its own job's rules, held in one array,
+    and is searched for them within its row, so text moves once at most. Both plans give the same rows: a missing
+    ``pattern_type`` is substring, a missing ``match_once`` true, rules without a pattern never match.
     """
     shape = ["pattern", "pattern_type", "match_once"]
-    usable = rules.filter(F.col("pattern_type").isin("substring", "regex"))
+    given = {
+        "pattern_type": F.coalesce("pattern_type", F.lit("substring")),
+        "match_once": F.coalesce("match_once", F.lit(True)),
+    }
+    usable = rules.withColumns(given).filter(F.col("pattern_type").isin("substring", "regex") & (F.col("pattern") != ""))
     distinct = usable.select(*shape).distinct().limit(max_literal_patterns + 1).collect()
     new_text = chunks.filter(F.col("text") != "").select("job_id", *keep, "text")
     wanted = usable.select("job_id", "rule_idx", F.col("name").alias("rule_name"), *shape)
@@ -193,17 +199,20 @@ def match_registry_rules(
             "job_id", *keep, "rule_idx", "rule_name", "match_seq", "match"
         )
 
-    compiled = wanted.withColumn("jvm", _jvm_patterns("pattern", "pattern_type"))
-    found = F.regexp_extract_all("text", F.col("jvm"), F.lit(0))
-    return (
-        new_text.join(compiled, "job_id")
-        .select(
-            "job_id",
-            *keep,
-            "rule_idx",
-            "rule_name",
-            F.posexplode(F.when(F.col("match_once"), F.slice(found, 1, 1)).otherwise(found)).alias(
-                "match_seq", "match"
-            ),
-        )
-    )
+    ready = wanted.withColumn("jvm", F.when(F.col("pattern_type") == "regex", _jvm_patterns("pattern", "pattern_type")))
+    rule = F.struct("rule_idx", "rule_name", "pattern", "jvm", "match_once")
+    own = ready.groupBy("job_id").agg(F.collect_list(rule).alias("__rules"))
+    text = F.col("text")
+
+    def found(r: Column) -> Column:
+        length = F.length(text) - F.length(F.replace(text, r["pattern"], F.lit("")))
+        times = (length / F.length(r["pattern"])).cast("int")
+        literal = F.array_repeat(r["pattern"], F.when(r["match_once"], F.least(times, F.lit(1))).otherwise(times))
+        regex = F.regexp_extract_all(text, r["jvm"], F.lit(0))
+        regex = F.when(r["match_once"], F.slice(regex, 1, 1)).otherwise(regex)
+        matches = F.when(r["jvm"].isNull(), literal).otherwise(regex)
+        return F.struct(r["rule_idx"].alias("rule_idx"), r["rule_name"].alias("rule_name"), matches.alias("m"))
+
+    hits = F.filter(F.transform("__rules", found), lambda r: F.size(r["m"]) > 0)
+    narrow = new_text.join(own, "job_id").select("job_id", *keep, F.inline(hits))
+    return narrow.select("job_id", *keep, "rule_idx", "rule_name", F.posexplode("m").alias("match_seq", "match"))
