@@ -81,13 +81,18 @@ def test_remove_and_finish(spark):
 
 
 def test_arrays(spark):
-    jobs = spark.createDataFrame([("jobA", 2, 1), ("solo", 1, 0), ("none", None, 0)], "job_id string, array_len int, attempts int")
-    got = {(r.job_id, r.array_idx, r.attempts) for r in registry.expand_arrays(jobs).collect()}
-    assert got == {("jobA_0", 0, 1), ("jobA_1", 1, 1), ("solo", None, 0), ("none", None, 0)}
-    fewer = registry.expand_arrays(jobs, F.lit(1)).collect()
-    assert {r.job_id for r in fewer} == {"jobA_0", "solo", "none"}
-    failed = registry.expand_arrays(jobs, F.lit(0)).collect()
-    assert {r.job_id for r in failed} == {"jobA", "solo", "none"}
+    data = [("sweep", 3, 4, False, None), ("solo", 1, 0, False, None), ("none", None, 0, True, "r9")]
+    jobs = spark.createDataFrame(data, "job_id string, array_len int, attempts int, submitted boolean, runtime_job_id string")
+    ids = F.array(F.lit("p"), F.lit("q"), F.lit("r"))
+    got = {tuple(r)[:1] + tuple(r)[2:] for r in registry.expand_arrays(jobs, ids).collect()}
+    assert got == {
+        ("sweep_0", 5, True, "p", 0), ("sweep_1", 5, True, "q", 1), ("sweep_2", 5, True, "r", 2),
+        ("solo", 0, False, None, None), ("none", 0, True, "r9", None),
+    }
+    fewer = registry.expand_arrays(jobs, F.array(F.lit("p"))).collect()
+    assert {r.job_id for r in fewer} == {"sweep_0", "solo", "none"}
+    failed = registry.expand_arrays(jobs, F.array().cast("array<string>")).collect()
+    assert {(r.job_id, r.attempts) for r in failed} == {("sweep", 4), ("solo", 0), ("none", 0)}
     lengths = spark.createDataFrame([([["a"], ["b"]],), ([],), (None,)], "x array<array<string>>")
     assert [r[0] for r in lengths.select(registry.array_len(F.col("x"))).collect()] == [2, 1, 1]
 

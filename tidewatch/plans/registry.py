@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,15 +11,31 @@ from tidewatch.functions import render
 from tidewatch.operators import reports
 from tidewatch.operators.lifecycle import start_results
 from tidewatch.plans.tables import JOBS_SQL, jobs, query, table
+from tidewatch.session import scratch_path
 from tidewatch.sources import registry
 
 SCAN = ("job_id", "name", "last_status", "submitted", "attempts", "runtime_job_id")
 SCAN_SQL = ", ".join(SCAN)
 
 
-@query("registry_scan", f"WITH {JOBS_SQL} SELECT {SCAN_SQL} FROM jobs WHERE final_state IS NULL")
+@query(
+    "registry_scan",
+    f"""WITH {JOBS_SQL} SELECT CAST(job_id AS VARCHAR) AS job_id, name, last_status, submitted, attempts, runtime_job_id
+    FROM jobs WHERE final_state IS NULL AND attempts <> 4""",
+)
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(spark, sf_dir).filter(F.col("final_state").isNull()).select(*SCAN)
+    """Jobs as written records, those of priority 4 cut off while written; older records use the older key."""
+    path = scratch_path(spark, "records")
+    definition = F.struct("name", "log_path", "array_len")
+    runtime = F.struct("submitted", "attempts", "runtime_job_id", "last_status", "final_state")
+    record = {"job_id": F.col("job_id").cast("string"), "runtime": runtime}
+    now = F.to_json(F.struct(*[v.alias(k) for k, v in record.items()], definition.alias("definition")))
+    old = F.to_json(F.struct(*[v.alias(k) for k, v in record.items()], definition.alias("registration")))
+    line = F.when(F.col("attempts") == 5, old).otherwise(now)
+    line = F.when(F.col("attempts") == 4, F.substring(line, 1, 40)).otherwise(line)
+    jobs(spark, sf_dir).select(line.alias("value")).write.text(path)
+    records = registry.read_records(spark, path, files="*.txt", lines=True)
+    return registry.flatten(registry.scan(records)).select(*SCAN)
 
 
 @query(
@@ -33,14 +51,46 @@ def registry_valid_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "registry_lookup",
-    f"""WITH {JOBS_SQL} SELECT {SCAN_SQL} FROM jobs WHERE final_state IS NULL
-      AND job_id = (SELECT max(l_orderkey) FROM lineitem WHERE l_returnflag = 'R')""",
+    f"""WITH {JOBS_SQL}, last AS (SELECT max(job_id) FILTER (final_state IS NULL) AS open, max(job_id) FILTER
+      (final_state IS NOT NULL) AS finished, max(job_id) + 1 AS nobody FROM jobs),
+    asked AS (SELECT open AS wanted, false AS every FROM last UNION ALL SELECT finished, false FROM last
+      UNION ALL SELECT finished, true FROM last UNION ALL SELECT nobody, true FROM last)
+    SELECT wanted, every, {SCAN_SQL} FROM asked LEFT JOIN jobs ON job_id = wanted AND (every OR final_state IS NULL)""",
 )
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job of the latest returned item, if it is unfinished."""
-    items = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
-    wanted = items.select(F.max("l_orderkey")).scalar()
-    return registry.lookup(jobs(spark, sf_dir), wanted).select(*SCAN)
+    """The newest open job, the newest finished one without and with finished jobs, and one that does not exist."""
+    known, is_open = jobs(spark, sf_dir), F.col("final_state").isNull()
+    keys = known.agg(
+        F.max(F.when(is_open, F.col("job_id"))).alias("open"),
+        F.max(F.when(~is_open, F.col("job_id"))).alias("finished"),
+        (F.max("job_id") + 1).alias("nobody"),
+    ).first()
+    parts = []
+    for wanted, every in ((keys.open, False), (keys.finished, False), (keys.finished, True), (keys.nobody, True)):
+        found = registry.lookup(known, wanted, every).select(*SCAN)
+        asked = spark.range(1).select(F.lit(wanted).cast("bigint").alias("wanted"), F.lit(every).alias("every"))
+        parts.append(asked.join(found, F.col("job_id") == F.col("wanted"), "left"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "registry_submit",
+    f"""WITH {JOBS_SQL}, sent AS (SELECT c_custkey AS job_id, c_name AS name, c_nationkey AS attempts FROM customer)
+    SELECT job_id, coalesce(sent.name, jobs.name) AS name, coalesce(sent.attempts, jobs.attempts) AS attempts,
+      CASE WHEN sent.job_id IS NULL THEN jobs.last_status END AS last_status
+    FROM jobs FULL JOIN sent USING (job_id)""",
+)
+def registry_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for payloads: those with the id of a job replace it, the others are new jobs."""
+    known = jobs(spark, sf_dir).select("job_id", "name", "attempts", "last_status", F.lit(0).alias("ts"), F.lit(0).alias("seq"))
+    sent = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("job_id"),
+        F.col("c_name").alias("name"),
+        F.col("c_nationkey").cast("int").alias("attempts"),
+        F.lit(1).alias("ts"),
+        F.lit(0).alias("seq"),
+    )
+    return registry.submit(known, sent).select("job_id", "name", "attempts", "last_status")
 
 
 @query(
@@ -138,10 +188,19 @@ def rules_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "array_expand",
     f"""WITH {JOBS_SQL} SELECT CASE WHEN array_len > 1 THEN job_id || '_' || i ELSE CAST(job_id AS VARCHAR) END AS job_id,
-      CASE WHEN array_len > 1 THEN i END AS array_idx, attempts, start_ts FROM jobs, range(array_len) t(i)""",
+      CASE WHEN array_len > 1 THEN i END AS array_idx, CASE WHEN array_len > 1 THEN attempts + 1 ELSE attempts END AS attempts,
+      array_len > 1 OR submitted AS submitted, CASE WHEN array_len > 1 THEN group_id || '-' || i ELSE runtime_job_id END AS runtime_job_id,
+      CASE WHEN array_len > 1 THEN 0 ELSE 7 END AS log_cursor,
+      CASE WHEN array_len > 1 THEN CAST('2030-01-01' AS TIMESTAMP) ELSE start_ts END AS start_ts
+    FROM jobs, range(array_len) t(i) WHERE array_len = 1 OR i < 3""",
 )
 def array_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.expand_arrays(jobs(spark, sf_dir)).select("job_id", "array_idx", "attempts", "start_ts")
+    """Three ids come back at most."""
+    ids = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat_ws("-", "group_id", i.cast("string")))
+    waiting = jobs(spark, sf_dir).withColumn("log_cursor", F.lit(7))
+    started = F.lit("2030-01-01").cast("timestamp_ntz")
+    tasks = registry.expand_arrays(waiting, ids, started)
+    return tasks.select("job_id", "array_idx", "attempts", "submitted", "runtime_job_id", "log_cursor", "start_ts")
 
 
 @query(

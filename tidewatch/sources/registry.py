@@ -11,14 +11,17 @@ from tidewatch.operators.lifecycle import TERMINAL
 from tidewatch.schemas import JOB_RECORD
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.job.json`` record below ``path``, readable or not. Older records are mapped to the present shape."""
+def read_records(spark: SparkSession, path: str, files: str = "*.job.json", lines: bool = False) -> DataFrame:
+    """Every record below ``path``, readable or not: one per file, or one per line with ``lines``.
+
+    Older records are mapped to the present shape. Many jobs are better kept as lines of few files.
+    """
     raw = (
         spark.read.schema(JOB_RECORD)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.job.json")
+        .option("pathGlobFilter", files)
         .option("recursiveFileLookup", True)
         .json(path)
     )
@@ -85,7 +88,7 @@ def remove(jobs: DataFrame, doomed: DataFrame, key: str = "job_id") -> DataFrame
 
 def mark_finished(jobs: DataFrame, completions: DataFrame) -> DataFrame:
     """Set final_state and end_ts from ``completions(job_id, state, at)``; finished jobs stay as they are."""
-    done = completions.groupBy("job_id").agg(F.min_by(F.struct("state", "at"), F.col("at")).alias("__c"))
+    done = completions.groupBy("job_id").agg(F.min_by(F.struct("state", "at"), F.struct("at", "state")).alias("__c"))
     takes = F.col("final_state").isNull() & F.col("__c.state").isNotNull()
     return (
         jobs.join(done, "job_id", "left")
@@ -124,17 +127,32 @@ def array_len(array_args: Column) -> Column:
     return F.greatest(F.lit(1), F.coalesce(F.size(array_args), F.lit(0)))
 
 
-def expand_arrays(jobs: DataFrame, returned: Column | None = None) -> DataFrame:
+def expand_arrays(jobs: DataFrame, ids: Column | None = None, started: Column | None = None) -> DataFrame:
     """One row per array task with id ``job_idx``; plain jobs pass through.
 
-    ``returned`` is the number of ids the submission gave; tasks beyond it do not come to be. An array job for which
-    none came back stays as it is.
+    ``ids`` are the runtime ids the submission gave, in order; tasks beyond them do not come to be, and an array job for
+    which none came back stays as it is. A task is submitted and at the next attempt, with its own runtime id, its log
+    unread and ``started`` as its start, as far as the jobs have these columns.
     """
     length = F.greatest(F.lit(1), F.coalesce(F.col("array_len"), F.lit(1)))
-    count = length if returned is None else F.least(length, returned)
+    count = length if ids is None else F.least(length, F.coalesce(F.size(ids), F.lit(0)))
     splits = (length > 1) & (count > 0)
     index = F.explode(F.when(splits, F.sequence(F.lit(0), count - 1)).otherwise(F.array(F.lit(None).cast("int"))))
-    rows = jobs.withColumn("array_idx", index)
+    rows = jobs.withColumns({"__ids": F.lit(None).cast("array<string>") if ids is None else ids, "array_idx": index})
+    task = F.col("array_idx").isNotNull()
+    fresh = {
+        "attempts": F.col("attempts") + 1 if "attempts" in jobs.columns else None,
+        "submitted": F.lit(True),
+        "runtime_job_id": F.get("__ids", F.col("array_idx")),
+        "log_cursor": F.lit(0),
+        "start_ts": started,
+    }
+    changed = {
+        name: F.when(task, value.cast(jobs.schema[name].dataType)).otherwise(F.col(name))
+        for name, value in fresh.items()
+        if name in jobs.columns and value is not None
+    }
+    rows = rows.withColumns(changed).drop("__ids")
     task_id = F.concat_ws("_", F.col("job_id").cast("string"), F.col("array_idx").cast("string"))
     return rows.withColumn("job_id", task_id)
 
