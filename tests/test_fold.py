@@ -53,11 +53,11 @@ def test_entries_are_proven_in_few_rounds(name):
     for pid in range(70):
         hot = 5 <= pid < 65
         size = 20
-        cols = {k: [] for k in ("__key", "__us", "chunk_seq", "kind", "rule_idx", "us", "bits", "flag")}
+        cols = {k: [] for k in ("__key", "__us", "chunk_seq", "kind", "rule_idx", "us", "held", "flag")}
         for i in range(size):
             now += rng.choice([1, 1, 3])
             key = "hot" if hot or pid == 4 and i > 10 or pid == 65 and i < 7 else f"k{pid}-{i // 9}"
-            values = (key, now * 1_000_000, pid * size + i, lc.LOG_TRIGGER, rng.randrange(2), now * 1_000_000, 0, True)
+            values = (key, now * 1_000_000, pid * size + i, lc.LOG_TRIGGER, rng.randrange(2), now * 1_000_000, [], True)
             for column, value in zip(cols, values):
                 cols[column].append(value)
         rows.append(cols)

@@ -166,20 +166,20 @@ def random_rows(spec, seed, polls=True, hot=400):
     return rows
 
 
-def with_bits(frame, spec):
-    """Leaf bits of every row, by its kind and rule."""
-    bits = F.lit(0).cast("long")
+def with_held(frame, spec):
+    """Leaves that hold on every row, by its kind and rule."""
+    held = []
     scope = c.Scope()
     for key, gate in spec.gates.items():
         if key in lc.LABELS:
             here = F.col("kind") == lc.DECISION
-            found = lc.bits_of(gate, scope, lc.MAX_LEAVES * lc.LABELS.index(key))
+            found = lc.held_leaves(gate, scope, lc.LABEL_STEP * lc.LABELS.index(key))
         else:
             kind, rule = (int(x) for x in key.split(":"))
             here = (F.col("kind") == kind) & (F.col("rule_idx") == rule)
-            found = lc.bits_of(gate, scope)
-        bits = bits + F.when(here, found).otherwise(F.lit(0))
-    return frame.withColumn("bits", bits)
+            found = lc.held_leaves(gate, scope)
+        held.append(F.when(here, found).otherwise(lc.numbers_of([])))
+    return frame.withColumn("held", F.concat(*held))
 
 
 def as_dict(frame):
@@ -193,14 +193,14 @@ def as_dict(frame):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_fold_equals_model(spark, partitions, seed):
     rows = random_rows(STATEFUL, seed)
-    frame = with_bits(spark.createDataFrame(rows, ROWS), STATEFUL)
+    frame = with_held(spark.createDataFrame(rows, ROWS), STATEFUL)
     assert as_dict(lc.replay_fold(frame, STATEFUL, partitions)) == model(rows, STATEFUL)
 
 
 def test_fold_of_a_hot_job_that_never_ends(spark):
     """Attempts grow without bound, so entry states agree only after they are reduced."""
     rows = random_rows(FREE, 5, polls=False, hot=900)
-    frame = with_bits(spark.createDataFrame(rows, ROWS), FREE)
+    frame = with_held(spark.createDataFrame(rows, ROWS), FREE)
     got = as_dict(lc.replay_fold(frame, FREE, 30))
     assert got == model(rows, FREE)
     assert max(r[2] for r in got.values()) > 100
@@ -211,7 +211,7 @@ def test_windows_equal_model_on_evaluated_rows(spark, limit, polls):
     assert lc.plan_kind(STATELESS) == "windows" and lc.plan_kind(STATEFUL) == "fold"
     # Mostly restarts and messages, so that jobs live on for a while.
     rows = [r for r in random_rows(STATELESS, 9, polls=polls) if r[2] != lc.LOG_TRIGGER or r[3] < 2 or r[1] % 17 == 3]
-    frame = with_bits(spark.createDataFrame(rows, ROWS), STATELESS)
+    frame = with_held(spark.createDataFrame(rows, ROWS), STATELESS)
     want = {key: value for key, value in model(rows, STATELESS).items() if value[0]}
     got = as_dict(lc.replay(frame, STATELESS, limit=limit))
     assert {k: v[:3] for k, v in got.items()} == {k: v[:3] for k, v in want.items()}
@@ -306,3 +306,14 @@ def test_start_results(spark):
     ids = spark.createDataFrame([("a", "pid1")], "job_id string, runtime_job_id string")
     got = {r.job_id: (r.attempts, r.submitted, r.log_cursor) for r in lc.start_results(starts, ids).collect()}
     assert got == {"a": (1, True, 0), "b": (3, False, None)}
+
+
+def test_a_tree_may_have_any_number_of_leaves(spark):
+    many = c.And(*[BIG] * 70, c.Not(condition=c.And(*[BIG, c.Not(condition=BIG)])))
+    spec = lc.Spec([LogRule("r", "x", action=act("LogAction"), condition=many)], cancel=c.And(*[BIG] * 40))
+    rows = [("j", k, kind, 0, 0, k, True, value) for k, (kind, value) in enumerate([(2, 9), (2, 1), (1, 2), (2, 7), (1, 8), (2, 9)])]
+    frame = with_held(spark.createDataFrame(rows, ROWS), spec)
+    got = lc.replay_fold(frame, spec).orderBy("chunk_seq").collect()
+    assert [(r.evaluated, r.fired, r.outcome) for r in got] == [
+        (True, True, None), (True, False, None), (True, False, None), (True, True, None), (True, True, "cancelled"), (False, False, "cancelled"),
+    ]

@@ -6,7 +6,7 @@ remembered state need no fold and are answered by aggregates and short windows (
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -35,14 +35,14 @@ TERMINAL = ("COMPLETED", "FAILED", "CANCELLED")
 STATE_TRIGGER, DECISION, LOG_TRIGGER, NATURAL_END = 0, 1, 2, 3
 LONG_AGO = -(2**62)
 LABELS = ("start", "cancel", "finish")
-# Leaf results of the three job conditions share one 64-bit number.
-MAX_LEAVES = 20
+# Leaves of the three job conditions are numbered this far apart, so that one list holds the results of all.
+LABEL_STEP = 1 << 24
 STATEFUL = (MaxAttempts, Cooldown, Timeout)
 
 
 @dataclass(frozen=True)
 class Gate:
-    """A condition tree cut into remembered parts and bits computed as columns."""
+    """A condition tree cut into remembered parts and leaves computed as columns."""
 
     tree: tuple | None
     leaves: tuple[Condition, ...] = ()
@@ -84,11 +84,9 @@ def compile_gate(condition: Condition | None, offset: int = 0) -> Gate:
         if isinstance(node, Not):
             return ("not", build(node.condition))
         leaves.append(node)
-        return ("bit", offset + len(leaves) - 1)
+        return ("leaf", offset + len(leaves) - 1)
 
     tree = build(condition)
-    if len(leaves) > MAX_LEAVES:
-        raise ValueError("too many leaf conditions in one tree")
     return Gate(tree, tuple(leaves), condition.persistent_pass, condition.persistent_fail)
 
 
@@ -116,7 +114,7 @@ class Spec:
                 # State rules never steer the lifecycle.
                 effects[name] = rule.action.effect if kind == LOG_TRIGGER else "noop"
         for place, label in enumerate(LABELS):
-            gates[label] = compile_gate(getattr(self, label), MAX_LEAVES * place)
+            gates[label] = compile_gate(getattr(self, label), LABEL_STEP * place)
         object.__setattr__(self, "gates", gates)
         object.__setattr__(self, "effects", effects)
 
@@ -124,10 +122,10 @@ class Spec:
         return {"a": self.attempts, "s": self.submitted, "o": None, "c": None, "m": {}}
 
 
-def _holds(node: tuple, bits: int, attempts: int, now: int, memory: list) -> bool:
+def _holds(node: tuple, held: Collection[int], attempts: int, now: int, memory: list) -> bool:
     kind, arg = node
-    if kind == "bit":
-        return bool(bits >> arg & 1)
+    if kind == "leaf":
+        return arg in held
     if kind == "attempts":
         return attempts < arg
     if kind == "cooldown":
@@ -135,18 +133,18 @@ def _holds(node: tuple, bits: int, attempts: int, now: int, memory: list) -> boo
     if kind == "timeout":
         return now - memory[0] < arg
     if kind == "not":
-        return not _holds(arg, bits, attempts, now, memory)
+        return not _holds(arg, held, attempts, now, memory)
     # Children only read, so stopping early changes nothing.
     test = all if kind == "all" else any
-    return test(_holds(child, bits, attempts, now, memory) for child in arg)
+    return test(_holds(child, held, attempts, now, memory) for child in arg)
 
 
-def _passes(gate: Gate, key: str, state: dict[str, Any], bits: int, now: int) -> bool:
+def _passes(gate: Gate, key: str, state: dict[str, Any], held: Collection[int], now: int) -> bool:
     """Evaluate a gate and remember its first evaluation and its latch."""
     memory = list(state["m"].get(key) or (None, None, None))
     if memory[0] is None:
         memory[0] = now
-    passed = _holds(gate.tree, bits, state["a"], now, memory)
+    passed = _holds(gate.tree, held, state["a"], now, memory)
     if memory[2] is not None:
         passed = memory[2]
     elif passed and gate.persistent_pass or not passed and gate.persistent_fail:
@@ -156,16 +154,16 @@ def _passes(gate: Gate, key: str, state: dict[str, Any], bits: int, now: int) ->
 
 
 def step(
-    spec: Spec, state: dict[str, Any], chunk: int, kind: int, rule: int, now: int, bits: int, flag: bool
+    spec: Spec, state: dict[str, Any], chunk: int, kind: int, rule: int, now: int, held: Collection[int], flag: bool
 ) -> tuple[bool, bool]:
     """Apply one row to ``state`` in place; returns (evaluated, fired).
 
-    ``flag`` tells of a decision row whether a submission would succeed, of an end row whether the status is terminal.
+    ``held`` are the numbers of the leaves that hold. ``flag`` tells of a decision row whether a submission would succeed, of an end row whether the status is terminal.
     """
     if state["o"] is not None:
         return False, False
     if kind == DECISION:
-        return True, _decide(spec, state, chunk, now, bits, flag)
+        return True, _decide(spec, state, chunk, now, held, flag)
     if kind != STATE_TRIGGER and (not state["s"] or state["c"] == chunk):
         return False, False
     if kind == NATURAL_END:
@@ -174,7 +172,7 @@ def step(
         return True, flag
     key = f"{kind}:{rule}"
     gate = spec.gates[key]
-    if gate.tree is not None and not _passes(gate, key, state, bits, now):
+    if gate.tree is not None and not _passes(gate, key, state, held, now):
         return True, False
     memory = list(state["m"].get(key) or (None, None, None))
     memory[1] = now
@@ -188,17 +186,17 @@ def step(
     return True, True
 
 
-def _decide(spec: Spec, state: dict[str, Any], chunk: int, now: int, bits: int, submit_ok: bool) -> bool:
+def _decide(spec: Spec, state: dict[str, Any], chunk: int, now: int, held: Collection[int], submit_ok: bool) -> bool:
     for label, outcome in (("cancel", "cancelled"), ("finish", "finished")):
         gate = spec.gates[label]
-        if gate.tree is not None and _passes(gate, label, state, bits, now):
+        if gate.tree is not None and _passes(gate, label, state, held, now):
             state["o"] = outcome
             return True
     if state["s"]:
         return False
     state["c"] = chunk
     gate = spec.gates["start"]
-    if gate.tree is not None and not _passes(gate, "start", state, bits, now):
+    if gate.tree is not None and not _passes(gate, "start", state, held, now):
         return False
     state["a"] += 1
     state["s"] = submit_ok
@@ -206,7 +204,7 @@ def _decide(spec: Spec, state: dict[str, Any], chunk: int, now: int, bits: int,
 
 
 class LifecycleKernel(Kernel):
-    needs = ("chunk_seq", "kind", "rule_idx", "us", "bits", "flag")
+    needs = ("chunk_seq", "kind", "rule_idx", "us", "held", "flag")
     outputs = T.StructType(
         [
             T.StructField("evaluated", T.BooleanType()),
@@ -227,10 +225,10 @@ class LifecycleKernel(Kernel):
     def run(self, state: Any, cols: dict[str, Any], lo: int, hi: int, out: dict[str, list] | None) -> Any:
         state = self.spec.fresh() if state is None else {**state, "m": dict(state["m"])}
         chunk, kind, rule = cols["chunk_seq"], cols["kind"], cols["rule_idx"]
-        us, bits, flag = cols["us"], cols["bits"], cols["flag"]
+        us, held, flag = cols["us"], cols["held"], cols["flag"]
         for i in range(lo, hi):
             seen, fired = step(
-                self.spec, state, int(chunk[i]), int(kind[i]), int(rule[i]), int(us[i]), int(bits[i]), bool(flag[i])
+                self.spec, state, int(chunk[i]), int(kind[i]), int(rule[i]), int(us[i]), held[i] or (), bool(flag[i])
             )
             if out is not None:
                 out["evaluated"].append(seen)
@@ -289,22 +287,26 @@ def _first(*values: Any) -> Any:
     return next((value for value in values if value is not None), None)
 
 
-def bits_of(gate: Gate, scope: Scope, offset: int = 0) -> Column:
-    """The gate's leaf results as bits of one number."""
-    total = F.lit(0).cast("long")
-    for i, leaf in enumerate(gate.leaves):
-        total = total + F.when(leaf.compile(scope)[0], F.lit(1 << (offset + i)).cast("long")).otherwise(F.lit(0))
-    return total
+def held_leaves(gate: Gate, scope: Scope, offset: int = 0) -> Column:
+    """Numbers of the gate's leaves that hold."""
+    return numbers_of([(offset + i, leaf.compile(scope)[0]) for i, leaf in enumerate(gate.leaves)])
+
+
+def numbers_of(tests: Sequence[tuple[int, Column]]) -> Column:
+    """The numbers whose test is true."""
+    if not tests:
+        return F.array().cast("array<int>")
+    return F.array_compact(F.array(*[F.when(test, F.lit(number)) for number, test in tests]))
 
 
 def trigger_rows(triggers: DataFrame, spec: Spec, scope: Scope | None = None, kind: int = LOG_TRIGGER) -> DataFrame:
     """Triggers in the shape the replay reads. ``scope`` is needed when gates have leaf conditions."""
     scope = scope or Scope()
     rules = active(list(spec.log_rules if kind == LOG_TRIGGER else spec.state_rules))
-    bits = F.lit(0).cast("long")
+    held = numbers_of([])
     if any(spec.gates[f"{kind}:{idx}"].leaves for idx, _ in rules):
         names = {id(rule): spec.gates[f"{kind}:{idx}"] for idx, rule in rules}
-        bits = per_rule(rules, F.col("rule_idx"), lambda rule: bits_of(names[id(rule)], scope))
+        held = per_rule(rules, F.col("rule_idx"), lambda rule: held_leaves(names[id(rule)], scope))
     seq = F.col("match_seq") if "match_seq" in triggers.columns else F.lit(0)
     return triggers.select(
         "job_id",
@@ -313,7 +315,7 @@ def trigger_rows(triggers: DataFrame, spec: Spec, scope: Scope | None = None, ki
         F.coalesce(F.col("rule_idx"), F.lit(0)).alias("rule_idx"),
         F.coalesce(seq.cast("int"), F.lit(0)).alias("match_seq"),
         F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("us"),
-        F.coalesce(bits, F.lit(0)).alias("bits"),
+        F.coalesce(held, numbers_of([])).alias("held"),
         F.lit(True).alias("flag"),
     )
 
@@ -321,14 +323,12 @@ def trigger_rows(triggers: DataFrame, spec: Spec, scope: Scope | None = None, ki
 def poll_rows(polls: DataFrame, spec: Spec, scope: Scope | None = None) -> DataFrame:
     """A decision row and an end row per poll; ``polls(job_id, chunk_seq, ts, status, submit_ok)``."""
     scope = scope or Scope()
-    bits = F.lit(0).cast("long")
-    for place, label in enumerate(LABELS):
-        bits = bits + bits_of(spec.gates[label], scope, MAX_LEAVES * place)
+    held = F.concat(*[held_leaves(spec.gates[x], scope, LABEL_STEP * place) for place, x in enumerate(LABELS)])
     shaped = polls.select(
         "job_id",
         F.coalesce(F.col("chunk_seq").cast("long"), F.lit(0)).alias("chunk_seq"),
         F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("us"),
-        F.coalesce(bits, F.lit(0)).alias("bits"),
+        held.alias("held"),
         F.coalesce(F.col("submit_ok"), F.lit(True)).alias("submit_ok"),
         F.coalesce(F.col("status").isin(*TERMINAL), F.lit(False)).alias("ended"),
     )
@@ -345,7 +345,7 @@ def poll_rows(polls: DataFrame, spec: Spec, scope: Scope | None = None) -> DataF
         F.lit(0).alias("rule_idx"),
         F.lit(0).alias("match_seq"),
         "us",
-        "bits",
+        "held",
         "row.flag",
     )
 
@@ -378,12 +378,12 @@ def replay(rows: DataFrame, spec: Spec, partitions: int | None = None, limit: in
 
 
 def _stateless_pass(spec: Spec) -> Column:
-    """Pass flag of a row from its bits alone."""
+    """Pass flag of a row from its leaves alone."""
 
     def expr(node: tuple) -> Column:
         kind, arg = node
-        if kind == "bit":
-            return F.col("bits").bitwiseAND(F.lit(1 << arg)) != 0
+        if kind == "leaf":
+            return F.array_contains("held", arg)
         if kind == "not":
             return ~expr(arg)
         out = F.lit(kind == "all")

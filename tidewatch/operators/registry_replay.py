@@ -70,38 +70,37 @@ def number_definitions(jobs: DataFrame) -> tuple[DataFrame, list[lc.Spec]]:
     return numbered, [spec_from(b) for b in bodies]
 
 
-def _leaf_bits(rows: DataFrame, specs: list[lc.Spec], scope: Scope, markers: DataFrame | None) -> DataFrame:
-    """Add ``bits``: the leaf results of each row's gate."""
+def _leaf_results(rows: DataFrame, specs: list[lc.Spec], scope: Scope, markers: DataFrame | None) -> DataFrame:
+    """Add ``held``: the numbers of the leaves of each row's gate that hold."""
     uses_of: dict[str, tuple[Condition, dict[tuple[str, int], list[int]]]] = {}
     for no, spec in enumerate(specs):
         for key, gate in spec.gates.items():
-            offset = lc.MAX_LEAVES * lc.LABELS.index(key) if key in lc.LABELS else 0
+            offset = lc.LABEL_STEP * lc.LABELS.index(key) if key in lc.LABELS else 0
             for i, leaf in enumerate(gate.leaves):
                 _, places = uses_of.setdefault(repr(leaf), (leaf, {}))
                 places.setdefault((key, offset + i), []).append(no)
     columns = rows.columns
-    bits = F.lit(0).cast("long")
+    tests = []
     for leaf, places in uses_of.values():
         flags = {}
         if uses(leaf, *FILES):
             if markers is None:
                 raise ValueError("these definitions need a table of markers")
             rows, flags = attach_markers(rows, leaf, markers, scope.variables, "ts")
-            held = f"__leaf_{len(rows.columns)}"
+            result = f"__leaf_{len(rows.columns)}"
             passed = leaf.compile(Scope(scope.ts, metadata=scope.metadata, variables=scope.variables, marker=flags))[0]
-            rows = rows.withColumn(held, passed).drop(*[c for c in rows.columns if c.startswith("__marker_")])
-            passed = F.col(held)
+            rows = rows.withColumn(result, passed).drop(*[c for c in rows.columns if c.startswith("__marker_")])
+            passed = F.col(result)
         else:
             passed = leaf.compile(scope)[0]
-        for (key, bit), numbers in places.items():
+        for (key, number), specs_with in places.items():
             if key in lc.LABELS:
                 here = F.col("kind") == lc.DECISION
             else:
                 kind, rule = (int(x) for x in key.split(":"))
                 here = (F.col("kind") == kind) & (F.col("rule_idx") == rule)
-            here = here & F.col("spec_no").isin(numbers) & passed
-            bits = bits + F.when(here, F.lit(1 << bit).cast("long")).otherwise(F.lit(0))
-    return rows.select(*columns, F.coalesce(bits, F.lit(0)).alias("bits"))
+            tests.append((number, here & F.col("spec_no").isin(specs_with) & passed))
+    return rows.select(*columns, lc.numbers_of(tests).alias("held"))
 
 
 def _shaped(rows: DataFrame, kind: int, flag: Column, rule: str | None = None) -> DataFrame:
@@ -167,9 +166,9 @@ def replay_registry(
     names = {k: F.element_at("job_metadata", k) for k in keys}
     scope = Scope(ts=F.col("ts"), metadata=F.col("event_md"), variables=names)
     us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))
-    ready = _leaf_bits(rows, specs, scope, markers).withColumn("us", us).drop("job_metadata", "event_md")
+    ready = _leaf_results(rows, specs, scope, markers).withColumn("us", us).drop("job_metadata", "event_md")
     if any(uses(leaf, *FILES) for spec in specs for gate in spec.gates.values() for leaf in gate.leaves):
-        ready = materialise(ready, "registry-bits")
+        ready = materialise(ready, "registry-leaves")
     return ordered_fold(ready, "job_id", lc.REPLAY_ORDER, DefinitionsKernel(specs), partitions)
 
 
