@@ -140,6 +140,9 @@ def test_markers(spark, files):
     assert passes(c.GlobExists(pattern="/{dir}/*.done", min_matches=0)) == [True] * 4
     assert passes(c.GlobExists(pattern="/{dir}/step_{n}*.pt", min_matches=2)) == [False, False, True, False]
     assert passes(c.GlobExists(pattern="/{dir}/step_{n}?.p[a-t]")) == [False, False, True, False]
+    assert passes(c.GlobExists(pattern="/{dir}/*_{n}.*")) == [False, False, True, False]
+    assert passes(c.GlobExists(pattern="/{dir}/*[{n}].done")) == [True, True, False, False]
+    assert passes(c.GlobExists(pattern="/{dir}/[!{n}]*")) == [True, True, True, False]
     assert passes(c.FileContent(path="/{dir}/{n}.done", pattern=r"step=\d+", mode="regex")) == [True, False, False, False]
     assert passes(c.FileContent(path="/{dir}/b.done", pattern="match")) == [True, True, False, False][:1] + [False] * 3
     both = c.And(c.FileExists(path="/{dir}/{n}.done"), c.Not(condition=c.FileExists(path="/{dir}/b.txt")))
@@ -199,3 +202,15 @@ def test_markers_from_a_folder(spark, tmp_path):
     got = {r.path: r.content for r in read_markers(spark, str(tmp_path)).collect()}
     assert got[str(tmp_path / "ready.txt")] == "step=1"
     assert got[str(tmp_path / "sub" / "x.done")].endswith(" ok")
+
+
+def test_odd_globs_are_plain_characters(spark):
+    files = spark.createDataFrame([("/r/a[b",), ("/r/x]y",), ("/r/[]",), ("/r/a.b+c",), ("/r/k^",)], "path string")
+    globs = ("a[b", "[", "*[*", "[!]", "[]]*", "*.b+?", "*[^]", "?]?", "*", "[a-", "aXb")
+    frame = rows(spark, *[(g,) for g in globs], schema="g string")
+    got = judged(frame, c.GlobExists(pattern="/r/{g}"), markers=files, variables={"g": F.col("g")})
+    import fnmatch
+
+    names = [p.path[3:] for p in files.collect()]
+    want = [any(fnmatch.fnmatchcase(name, g) for name in names) for g in globs]
+    assert [p for p, _ in got] == want and want.count(True) > 5

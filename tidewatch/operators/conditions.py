@@ -349,6 +349,11 @@ def _take_out(line: DataFrame, columns: list[str], *made: Column) -> DataFrame:
     return line.filter(F.col("__kind") == 1).select(*back, *made)
 
 
+#: Wildcards of a glob segment, and the characters of a piece that globs and files are met by.
+GLOB_WILD = r"(?:\[!?+\]?+[^\]]*+\]|[*?])"
+PIECE = 3
+
+
 def _in_folder(files: DataFrame) -> DataFrame:
     folder = F.regexp_extract("path", r"(?s)^(.*)/", 1)
     base = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
@@ -358,8 +363,10 @@ def _in_folder(files: DataFrame) -> DataFrame:
 def _meet_globs(rows: DataFrame, node: GlobExists, files: DataFrame, path: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows with the key of their glob, and the files that fit each glob.
 
-    A last segment without variables filters the files before they are grouped by folder. One with variables
-    meets only files that share its literal start, once per distinct pattern.
+    A last segment without variables filters the files before they are grouped by folder. One with variables is looked
+    up by a piece of up to PIECE characters of its longest literal stretch: files are listed under all their pieces of such
+    lengths, so a glob only meets files of its folder that hold its piece, once per distinct pattern. Only patterns
+    without any literal character, few as distinct ones, meet a folder's files all.
     """
     last = node.pattern.rsplit("/", 1)[-1]
     rows = rows.withColumn("__dir", F.regexp_extract(path, r"(?s)^(.*)/", 1))
@@ -367,20 +374,35 @@ def _meet_globs(rows: DataFrame, node: GlobExists, files: DataFrame, path: str)
     if all(kind == "text" for kind, _ in parse_template(last)):
         return rows, files.filter(F.regexp_like("__base", F.lit(glob_to_jvm(last)))), ["__dir"]
     rows = rows.withColumn("__glob", F.regexp_extract(path, r"(?s)([^/]*)$", 1))
-    start = F.regexp_extract("__glob", r"^([^*?\[]*)", 1)
-    globs = rows.select("__dir", "__glob").distinct().withColumn("__start", start)
-    lengths = globs.select(F.collect_set(F.length("__start"))).scalar()
-    starts = (
-        files.withColumn("__lens", lengths)
-        .select("*", F.explode(F.filter("__lens", lambda n: n <= F.length("__base"))).alias("__len"))
-        .withColumn("__start", F.expr("substring(__base, 1, __len)"))
-        .drop("__lens", "__len")
-    )
-    body = F.regexp_replace("__glob", r"([\\.^$|()+{}])", r"\\$1")
-    body = F.regexp_replace(F.regexp_replace(body, r"\[!", "[^"), r"\*", "[^/]*")
-    body = F.regexp_replace(body, r"(?<!\[\^/\]\*)\?", "[^/]")
-    fits = F.regexp_like("__base", F.concat(F.lit("(?s)^"), body, F.lit(r"\z")))
-    return rows, globs.join(starts, ["__dir", "__start"]).filter(fits), ["__dir", "__glob"]
+    stretches = F.transform(F.split("__glob", GLOB_WILD), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
+    piece = F.substring(F.array_max(stretches)["s"], 1, PIECE)
+    globs = rows.select("__dir", "__glob").distinct().withColumn("__piece", piece)
+    lengths = globs.select(F.collect_set(F.length("__piece"))).scalar()
+    every = F.flatten(F.transform("__lens", lambda n: _pieces(F.col("__base"), n)))
+    listed = files.withColumn("__lens", lengths).withColumn("__piece", F.explode(F.array_distinct(every))).drop("__lens")
+    fits = F.regexp_like("__base", _glob_pattern(F.col("__glob")))
+    return rows, globs.join(listed, ["__dir", "__piece"]).filter(fits), ["__dir", "__glob"]
+
+
+def _pieces(name: Column, length: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(name) - length + 1, F.lit(1)))
+    found = F.transform(starts, lambda i: F.substring(name, i, length))
+    return F.when(F.length(name) >= length, found).otherwise(F.array().cast("array<string>"))
+
+
+def _glob_pattern(glob: Column) -> Column:
+    """JVM pattern of a glob segment held in a column; a bracket that nothing closes is a plain character."""
+
+    def part(token: Column) -> Column:
+        negated = F.startswith(token, F.lit("[!"))
+        body = F.substring(token, F.when(negated, 3).otherwise(2), F.length(token) - F.when(negated, 3).otherwise(2))
+        body = F.regexp_replace(body, r"([\[\]\\&^])", r"\\$1")
+        klass = F.concat(F.when(negated, "[^").otherwise("["), body, F.lit("]"))
+        plain = F.regexp_replace(token, r"([\\.^$|(){}+\[\]])", r"\\$1")
+        return F.when(token == "*", "[^/]*").when(token == "?", "[^/]").when(F.length(token) > 2, klass).otherwise(plain)
+
+    tokens = F.regexp_extract_all(glob, F.lit(rf"(?s){GLOB_WILD}|."), F.lit(0))
+    return F.concat(F.lit("(?s)^"), F.array_join(F.transform(tokens, part), ""), F.lit(r"\z"))
 
 
 def _glob_now(rows: DataFrame, node: GlobExists, markers: DataFrame, name: str, path: str) -> DataFrame:
