@@ -112,3 +112,12 @@ def test_timers_fire_without_input(spark, tmp_path):
 def test_late_rows_are_counted():
     progress = [{"stateOperators": [{"numRowsDroppedByWatermark": 2}]}, {"stateOperators": []}, {}]
     assert streaming.late_rows(progress) == 2
+
+
+def test_a_stream_reads_a_file_and_a_table_of_several_files(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many.parquet")
+    spark.range(40).repartition(1).write.parquet(one)
+    spark.range(40).repartition(5).write.parquet(many)
+    file = next(str(p) for p in (tmp_path / "one").glob("part-*.parquet"))
+    for table in (file, many):
+        assert streaming.drain(spark, streaming.read_stream(spark, table), "ids").count() == 40

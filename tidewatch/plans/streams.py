@@ -23,7 +23,7 @@ SPEC = Spec(
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streaming.read_stream(spark, sf_dir, "events.parquet")
+    return streaming.read_stream(spark, f"{sf_dir}/events.parquet")
 
 
 @query(

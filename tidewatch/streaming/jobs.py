@@ -93,7 +93,7 @@ class JobProcessor(StatefulProcessor):
         memories = state["m"] = _Memories(self.memory)
         for row in sorted(rows, key=lambda r: (r.chunk_seq, r.kind, r.rule_idx, r.match_seq)):
             seen, fired = step(
-                self.spec, state, row.chunk_seq, row.kind, row.rule_idx, row.us, row.bits, row.flag
+                self.spec, state, row.chunk_seq, row.kind, row.rule_idx, row.us, row.held, row.flag
             )
             yield DECISION(
                 key[0],
@@ -244,10 +244,12 @@ def stream_inactivity(rows: DataFrame, key: str, gap_seconds: float, ts: str = "
     )
 
 
-def read_stream(spark: SparkSession, folder: str, glob: str, **options: str) -> DataFrame:
-    """Parquet files of a folder as a stream, with the schema of what is there."""
-    schema = spark.read.option("pathGlobFilter", glob).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).options(**bounded(options)).parquet(folder)
+def read_stream(spark: SparkSession, table: str, **options: str) -> DataFrame:
+    """A parquet table, one file or a folder of files, as a stream with the schema it has now."""
+    schema = spark.read.parquet(table).schema
+    # A stream takes a plain path for a folder only; as a pattern it may be a file as well.
+    pattern = f"{table[:-1]}[{table[-1]}]"
+    return spark.readStream.schema(schema).options(**bounded(options)).parquet(pattern)
 
 
 def drain(
