@@ -60,29 +60,35 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path, chunks):
     def stream():
         text = stream_chunks(spark, src, maxFilesPerTrigger="1")
         hits = match_triggers(text, SPEC.log_rules, payload=False)
-        return streaming.job_decisions(lc.trigger_rows(hits, SPEC), SPEC)
+        return streaming.job_decisions(lc.trigger_rows(hits, SPEC), SPEC, late="1 minute")
 
     for low, high in ((0, 10), (10, 20)):
         write(spark, [r for r in chunks if low <= r[1] < high], LOG_CHUNKS, src)
     streaming.drain(spark, stream(), "jobs", out, check)
     write(spark, [r for r in chunks if r[1] >= 20], LOG_CHUNKS, src)
+    # A last row of another job moves the watermark past all others.
+    write(spark, [("end", 0, at(9000), "tick")], LOG_CHUNKS, src)
     got = decisions(streaming.drain(spark, stream(), "jobs", out, check))
 
     hits = match_triggers(spark.createDataFrame(chunks, LOG_CHUNKS), SPEC.log_rules, payload=False)
     want = decisions(lc.replay(lc.trigger_rows(hits, SPEC), SPEC))
+    got = {k: v for k, v in got.items() if k[0] != "end"}
     assert got == want
     assert {v[3] for v in want.values()} == {None, "finished"} and max(v[2] for v in want.values()) == 4
 
 
 def test_transitions_over_files(spark, tmp_path):
     rng = random.Random(4)
-    rows = [(f"k{i % 5}", i * 1000, i, rng.choice(["a", "b", None])) for i in range(120)]
+    rows = [(f"k{i % 5}", 1_000_000 + i * 1000, i, rng.choice(["a", "b", None])) for i in range(120)]
     schema = "runtime_job_id string, us long, seq long, status string"
     src = str(tmp_path / "in")
+    # The files' times interleave, by up to 50 ms.
+    mixed = sorted(rows, key=lambda r: r[1] + rng.randrange(50_000))
     for part in range(3):
-        write(spark, rows[part * 40 : part * 40 + 40], schema, src)
+        write(spark, mixed[part * 40 : part * 40 + 40], schema, src)
+    write(spark, [("end", 10**9, 0, None)], schema, src)
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = streaming.drain(spark, streaming.stream_transitions(feed), "t")
+    got = streaming.drain(spark, streaming.stream_transitions(feed, "100 milliseconds"), "t")
     want = status_changes(spark.createDataFrame(rows, schema), order=["us", "seq"])
     key = ("runtime_job_id", "seq", "old_status", "new_status", "transition")
     assert {tuple(r[k] for k in key) for r in got.collect()} == {tuple(r[k] for k in key) for r in want.collect()}
@@ -109,6 +115,17 @@ def test_timers_fire_without_input(spark, tmp_path):
     assert ("b", 10_000_000, 100_000_000) in found
 
 
+def test_silences_do_not_depend_on_the_files(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "job_id string, ts timestamp_ntz"
+    write(spark, [("a", at(0)), ("a", at(600))], schema, src)
+    write(spark, [("a", at(300)), ("a", at(900))], schema, src)
+    write(spark, [("z", at(90_000))], schema, src)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    quiet = streaming.drain(spark, streaming.stream_inactivity(feed, "job_id", 400, late="1000 seconds"), "quiet")
+    base = int(EPOCH.replace(tzinfo=datetime.timezone.utc).timestamp() * 1e6)
+    assert [(r.key, r.since_us - base, r.until_us) for r in quiet.collect()] == [("a", 900_000_000, None)]
+
+
 def test_late_rows_are_counted():
     progress = [{"stateOperators": [{"numRowsDroppedByWatermark": 2}]}, {"stateOperators": []}, {}]
     assert streaming.late_rows(progress) == 2

@@ -36,10 +36,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN event_type = 'error' AND (last IS NULL OR ts - last >= INTERVAL 24 HOUR) THEN ts ELSE last END,
         n.event_id, CASE WHEN event_type = 'signup' THEN attempts < 3 ELSE last IS NULL OR ts - last >= INTERVAL 24 HOUR END
       FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
-    SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, fired, attempts FROM r WHERE k > 0""",
+    SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, fired, attempts FROM r JOIN n USING (user_id, k, event_id)
+    WHERE epoch_us(n.ts) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM n)""",
 )
 def job_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors fire once a day, signups restart up to three attempts; each event is a poll of its own."""
+    """Errors fire once a day, signups restart up to three attempts; each event is a poll of its own, up to the watermark."""
     idx = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "signup", 1)
     # The place of an event in its user's log is its time; ids are unique and come after it.
     triggers = (
@@ -60,7 +61,8 @@ def job_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_transitions",
     f"""WITH {CHANGES_SQL} SELECT CAST(runtime_job_id AS VARCHAR) AS runtime_job_id, epoch_us(ts) AS us,
-      event_id AS seq, old_status, new_status, transition FROM changes""",
+      event_id AS seq, old_status, new_status, transition FROM changes
+    WHERE epoch_us(ts) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events)""",
 )
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _events(spark, sf_dir).select(
@@ -86,7 +88,8 @@ def timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_inactivity",
     f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS since_us,
-      lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until_us FROM events)
+      lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until_us FROM events
+      WHERE epoch_us(ts) // 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events))
     SELECT key, since_us, until_us FROM t WHERE until_us - since_us > {DAY * 1000000} OR (until_us IS NULL
       AND (since_us + {DAY * 1000000}) // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 - 3600000 FROM events))""",
 )

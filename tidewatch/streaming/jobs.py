@@ -1,8 +1,9 @@
 """The same job logic on live feeds, with keyed state in the state store.
 
-Matching is stateless and happens before the shuffle, so only triggers reach the keyed operators. Each operator keeps
-small per-key state and takes the rows of one micro-batch in order; feeds must bring a job's rows in order across
-micro-batches. File sources are limited to a fixed size per micro-batch unless the caller sets another limit.
+Matching is stateless and happens before the shuffle, so only triggers reach the keyed operators. Rows wait in the state
+store until the watermark has passed their time and are then taken in order, so the result does not depend on how a feed
+is cut into micro-batches. A key's state is its small memory and the rows of the last ``late`` stretch of time; rows later
+than that are dropped and counted. File sources are limited to a fixed size per micro-batch unless the caller sets another.
 """
 
 from __future__ import annotations
@@ -76,22 +77,92 @@ class _Memories:
             self.stored.updateValue((key,), tuple(self.seen[key]))
 
 
-class JobProcessor(StatefulProcessor):
-    """One job's lifecycle: its runtime as a value, its rules' memories as a map."""
+class OrderedProcessor(StatefulProcessor):
+    """Hands a key's rows to ``take`` in order, once the watermark has passed them.
+
+    ``waiting`` is the shape of the rows, with their time as ``us``; ``due`` may name one more time to be called at.
+    """
+
+    waiting: T.StructType
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", self.waiting)
+
+    def order(self, row: Row) -> tuple:
+        raise NotImplementedError
+
+    def take(self, key: Any, ready: list[Row], mark: int) -> Iterator[Row]:
+        raise NotImplementedError
+
+    def due(self) -> int | None:
+        return None
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        names = self.waiting.names
+        self.pending.appendList([tuple(row[name] for name in names) for row in rows])
+        yield from self._release(key, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        yield from self._release(key, timerValues)
+
+    def _release(self, key: Any, timerValues: Any) -> Iterator[Row]:
+        make, mark = Row(*self.waiting.names), timerValues.getCurrentWatermarkInMs()
+        held = [make(*row) for row in self.pending.get()]
+        rest = [row for row in held if row.us // 1000 > mark]
+        if len(rest) < len(held):
+            self.pending.clear()
+            if rest:
+                self.pending.put([tuple(row) for row in rest])
+        yield from self.take(key, sorted((row for row in held if row.us // 1000 <= mark), key=self.order), mark)
+        wanted = {min(row.us for row in rest) // 1000} if rest else set()
+        if (due := self.due()) is not None:
+            wanted.add(due)
+        known = set(self.handle.listTimers())
+        for timer in known - wanted:
+            self.handle.deleteTimer(timer)
+        for timer in wanted - known:
+            self.handle.registerTimer(timer)
+
+    def close(self) -> None:
+        pass
+
+
+class JobProcessor(OrderedProcessor):
+    """One job's lifecycle: its runtime as a value, its rules' memories as a map, cleared when the job ends."""
+
+    waiting = T.StructType(
+        [
+            T.StructField("chunk_seq", T.LongType()),
+            T.StructField("kind", T.IntegerType()),
+            T.StructField("rule_idx", T.IntegerType()),
+            T.StructField("match_seq", T.IntegerType()),
+            T.StructField("us", T.LongType()),
+            T.StructField("held", T.ArrayType(T.IntegerType())),
+            T.StructField("flag", T.BooleanType()),
+        ]
+    )
 
     def __init__(self, spec: Spec) -> None:
         self.spec = spec
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.runtime = handle.getValueState("runtime", RUNTIME)
         self.memory = handle.getMapState("memory", MEMORY_KEY, MEMORY)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def order(self, row: Row) -> tuple:
+        return row.chunk_seq, row.kind, row.rule_idx, row.match_seq
+
+    def take(self, key: Any, ready: list[Row], mark: int) -> Iterator[Row]:
+        if not ready:
+            return
         state = self.spec.fresh()
         if self.runtime.exists():
             state.update(zip("asoc", self.runtime.get()))
+        open_before = state["o"] is None
         memories = state["m"] = _Memories(self.memory)
-        for row in sorted(rows, key=lambda r: (r.chunk_seq, r.kind, r.rule_idx, r.match_seq)):
+        for row in ready:
             seen, fired = step(
                 self.spec, state, row.chunk_seq, row.kind, row.rule_idx, row.us, row.held, row.flag
             )
@@ -108,16 +179,20 @@ class JobProcessor(StatefulProcessor):
                 state["o"],
             )
         self.runtime.update((state["a"], state["s"], state["o"], state["c"]))
-        memories.flush()
+        if state["o"] is None:
+            memories.flush()
+        elif open_before:
+            self.memory.clear()
 
-    def close(self) -> None:
-        pass
 
+def _keyed(rows: DataFrame, key: str, at: str, late: str) -> Any:
+    timed = rows.withColumns({key: F.col(key).cast("string"), "at": F.timestamp_micros(at)})
+    return timed.withWatermark("at", late).groupBy(key)
 
-def job_decisions(rows: DataFrame, spec: Spec) -> DataFrame:
-    """Replay rows of a stream (see ``trigger_rows`` and ``poll_rows``) with what came of each."""
-    keyed = rows.withColumn("job_id", F.col("job_id").cast("string")).groupBy("job_id")
-    return keyed.transformWithState(JobProcessor(spec), DECISIONS, "Append", "None")
+
+def job_decisions(rows: DataFrame, spec: Spec, late: str = "1 hour") -> DataFrame:
+    """Replay rows of a stream (see ``trigger_rows`` and ``poll_rows``) with what came of each, up to the watermark."""
+    return _keyed(rows, "job_id", "us", late).transformWithState(JobProcessor(spec), DECISIONS, "Append", "EventTime")
 
 
 TRANSITIONS = T.StructType(
@@ -133,28 +208,38 @@ TRANSITIONS = T.StructType(
 TRANSITION = Row(*TRANSITIONS.names)
 
 
-class TransitionProcessor(StatefulProcessor):
+class TransitionProcessor(OrderedProcessor):
     """Last status of a key, to tell a change from a repetition."""
 
+    waiting = T.StructType(
+        [
+            T.StructField("us", T.LongType()),
+            T.StructField("seq", T.LongType()),
+            T.StructField("status", T.StringType()),
+        ]
+    )
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.last = handle.getValueState("last", T.StructType([T.StructField("status", T.StringType())]))
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+    def order(self, row: Row) -> tuple:
+        return row.us, row.seq
+
+    def take(self, key: Any, ready: list[Row], mark: int) -> Iterator[Row]:
         old = self.last.get()[0] if self.last.exists() else None
-        for row in sorted(rows, key=lambda r: (r.us, r.seq)):
+        for row in ready:
             if row.status != old:
                 yield TRANSITION(key[0], row.us, row.seq, old, row.status, f"{old} -> {row.status}")
             old = row.status
-        self.last.update((old,))
-
-    def close(self) -> None:
-        pass
+        if ready:
+            self.last.update((old,))
 
 
-def stream_transitions(snapshots: DataFrame) -> DataFrame:
-    """Status changes of a stream of ``(runtime_job_id, us, seq, status)``."""
-    keyed = snapshots.withColumn("runtime_job_id", F.col("runtime_job_id").cast("string")).groupBy("runtime_job_id")
-    return keyed.transformWithState(TransitionProcessor(), TRANSITIONS, "Append", "None")
+def stream_transitions(snapshots: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Status changes of a stream of ``(runtime_job_id, us, seq, status)``, up to the watermark."""
+    keyed = _keyed(snapshots, "runtime_job_id", "us", late)
+    return keyed.transformWithState(TransitionProcessor(), TRANSITIONS, "Append", "EventTime")
 
 
 SILENCE = T.StructType(
@@ -166,6 +251,7 @@ SILENCE = T.StructType(
 )
 SILENT = Row(*SILENCE.names)
 _MICROS = T.StructType([T.StructField("us", T.LongType())])
+OPEN = T.StructType([T.StructField("us", T.LongType()), T.StructField("told", T.BooleanType())])
 
 
 class TimeoutProcessor(StatefulProcessor):
@@ -180,7 +266,11 @@ class TimeoutProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         first = min(row.us for row in rows)
-        if not self.started.exists():
+        known = self.started.get()[0] if self.started.exists() else None
+        # An earlier row may come in a later micro-batch, as long as the watermark has not passed it.
+        if known is None or first < known:
+            if known is not None:
+                self.handle.deleteTimer(known // 1000 + self.millis)
             self.started.update((first,))
             self.handle.registerTimer(first // 1000 + self.millis)
         return iter(())
@@ -193,32 +283,39 @@ class TimeoutProcessor(StatefulProcessor):
         pass
 
 
-class InactivityProcessor(StatefulProcessor):
+class InactivityProcessor(OrderedProcessor):
     """Reports each silence of more than ``gap_seconds``: when the next row ends it, or when its time is up."""
 
+    waiting = _MICROS
+
     def __init__(self, gap_seconds: float) -> None:
         self.micros = int(gap_seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", _MICROS)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for us in sorted(row.us for row in rows):
-            if last is not None and us - last > self.micros:
-                yield SILENT(key[0], last, us)
-            last = us
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((last + self.micros) // 1000 + 1)
-        self.last.update((last,))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        yield SILENT(key[0], self.last.get()[0], None)
-
-    def close(self) -> None:
-        pass
+        super().init(handle)
+        self.last = handle.getValueState("last", OPEN)
+
+    def order(self, row: Row) -> tuple:
+        return (row.us,)
+
+    def take(self, key: Any, ready: list[Row], mark: int) -> Iterator[Row]:
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        for row in ready:
+            if last is not None and row.us - last > self.micros:
+                yield SILENT(key[0], last, row.us)
+            last, told = row.us, False
+        if last is not None and not told and self._time_up(last) <= mark:
+            yield SILENT(key[0], last, None)
+            told = True
+        if last is not None:
+            self.last.update((last, told))
+
+    def due(self) -> int | None:
+        last, told = self.last.get() if self.last.exists() else (None, True)
+        return None if told else self._time_up(last)
+
+    def _time_up(self, last: int) -> int:
+        return (last + self.micros) // 1000 + 1
 
 
 def _timed(rows: DataFrame, key: str, ts: str, late: str) -> Any:
