@@ -95,3 +95,51 @@ def test_definitions_are_read_whole():
     assert spec.log_rules[0].action is None and not spec.submitted
     with pytest.raises(ValueError):
         spec_from({"log_events": [{"name": "n", "pattern": "x", "action": {"class_name": "Unknown"}}]})
+
+
+def test_conditions_of_rules_see_the_event(spark, tmp_path, monkeypatch):
+    """Each job's rule waits for a file whose name comes from another part of the scope."""
+    from tidewatch.operators import registry_replay as rr
+
+    paths = {
+        "group": "/out/{shard}.ok", "name": "/out/{event_name}.ok", "unknown": "/out/{nope}.ok", "own_id": "/out/{job_id}.ok",
+        "match": "/out/{match}.ok", "meta": "/out/{kind}.ok", "id": "/out/{event_id}.ok",
+    }
+    files = ["/out/07.ok", "/out/hit.ok", "/out/{nope}.ok", "/out/own_id.ok", "/out/shard 07.ok", "/out/rule.ok", "/out/id:hit:1704067201000.ok"]
+    for job, path in paths.items():
+        gate = {"class_name": "FileExistsCondition", "path": path}
+        more = {"pattern_type": "regex", "extract_groups": {"shard": "1"}, "metadata": {"kind": "rule"}}
+        body = {"name": job, "metadata": {"job_id": "mine"}, "log_events": [rule("hit", r"shard (\d+)", "FinishAction", gate, **more)]}
+        (tmp_path / f"{job}.job.json").write_text(json.dumps({"job_id": job, "definition": body, "runtime": {"submitted": True, "attempts": 1}}))
+    jobs = registry.flatten(registry.scan(registry.read_records(spark, str(tmp_path))))
+    chunks = spark.createDataFrame([(j, 1, at(1), "shard 07 done") for j in paths], "job_id string, chunk_seq int, ts timestamp_ntz, text string")
+    polls = spark.createDataFrame([], "job_id string, chunk_seq int, ts timestamp_ntz, status string, submit_ok boolean")
+    shape = "path string, content string, ts timestamp_ntz"
+
+    def fired(names):
+        markers = spark.createDataFrame([(p, "", at(0)) for p in names], shape)
+        return {r.job_id for r in rr.replay_registry(jobs, chunks, polls, markers, partitions=2).collect() if r.fired}
+
+    assert fired(files) == set(paths)
+    assert fired(["/out/None.ok", "/out/mine.ok"]) == set()
+    # One definition at a time gives the same.
+    monkeypatch.setattr(rr, "BATCH_DEFINITIONS", 3)
+    assert fired(files) == set(paths)
+
+
+def test_a_restart_that_is_not_submitted_waits_for_its_start(spark):
+    spec = lc.Spec([lc_rule("oom", "RestartAction"), lc_rule("note", "LogAction")])
+    hits = [("j", 1, 0, False), ("j", 1, 1, True), ("j", 2, 1, True), ("j", 4, 1, True)]
+    frame = spark.createDataFrame([(j, c, r, 0, at(c), ok) for j, c, r, ok in hits], "job_id string, chunk_seq long, rule_idx int, match_seq int, ts timestamp_ntz, submit_ok boolean")
+    polls = spark.createDataFrame([("j", c, at(c), "RUNNING", c >= 3) for c in (1, 2, 3, 4)], "job_id string, chunk_seq long, ts timestamp_ntz, status string, submit_ok boolean")
+    rows = lc.trigger_rows(frame, spec).unionByName(lc.poll_rows(polls, spec))
+    got = lc.replay(rows, spec).filter("fired").orderBy(*lc.REPLAY_ORDER).collect()
+    # The failed start of chunk 2 counts as an attempt too; chunk 3 starts, chunk 4 is read again.
+    assert [(r.chunk_seq, r.kind, r.rule_idx, r.attempts) for r in got] == [(1, 2, 0, 2), (2, 1, 0, 3), (3, 1, 0, 4), (4, 2, 1, 4)]
+
+
+def lc_rule(name, action):
+    from tidewatch.operators.actions import Action
+    from tidewatch.operators.rules import LogRule
+
+    return LogRule(name, "x", action=Action(action))

@@ -71,7 +71,7 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path, chunks):
     got = decisions(streaming.drain(spark, stream(), "jobs", out, check))
 
     hits = match_triggers(spark.createDataFrame(chunks, LOG_CHUNKS), SPEC.log_rules, payload=False)
-    want = decisions(lc.replay(lc.trigger_rows(hits, SPEC), SPEC))
+    want = decisions(lc.replay_fold(lc.trigger_rows(hits, SPEC), SPEC))
     got = {k: v for k, v in got.items() if k[0] != "end"}
     assert got == want
     assert {v[3] for v in want.values()} == {None, "finished"} and max(v[2] for v in want.values()) == 4

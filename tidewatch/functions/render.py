@@ -28,8 +28,13 @@ def parse_template(template: str) -> list[tuple[str, str]]:
     return parts
 
 
-def render(template: str, scope: Mapping[str, Column]) -> Column:
-    """Render a constant template; a key the scope lacks stays as written, a null value reads ``None``."""
+def render(template: str, scope: Mapping[str, Column] | Column) -> Column:
+    """Render a constant template; a key the scope lacks stays as written, a null value reads ``None``.
+
+    The scope maps names to columns, or is a map column whose keys may differ by row.
+    """
+    if isinstance(scope, Column):
+        return render_from_map(template, scope)
     pieces = []
     for kind, text in parse_template(template):
         if kind == "key" and text in scope:

@@ -29,7 +29,7 @@ class Scope:
     attempts: Column | None = None
     metadata: Column | None = None
     payload: Column | None = None
-    variables: Mapping[str, Column] = field(default_factory=dict)
+    variables: Mapping[str, Column] | Column = field(default_factory=dict)
     marker: Mapping[int, Column] = field(default_factory=dict)
 
 
@@ -280,7 +280,7 @@ def attach_markers(
     rows: DataFrame,
     condition: Condition,
     markers: DataFrame,
-    variables: Mapping[str, Column],
+    variables: Mapping[str, Column] | Column,
     at: str | None = None,
     limit: int = DEFAULT_LIMIT,
 ) -> tuple[DataFrame, dict[int, Column]]:

@@ -158,7 +158,8 @@ def step(
 ) -> tuple[bool, bool]:
     """Apply one row to ``state`` in place; returns (evaluated, fired).
 
-    ``held`` are the numbers of the leaves that hold. ``flag`` tells of a decision row whether a submission would succeed, of an end row whether the status is terminal.
+    ``held`` are the numbers of the leaves that hold. ``flag`` tells of a
+    decision or trigger row whether a submission would succeed then, of an end row whether the status is terminal.
     """
     if state["o"] is not None:
         return False, False
@@ -179,8 +180,10 @@ def step(
     state["m"][key] = memory
     effect = spec.effects[key]
     if effect == "restart":
+        # A restart that can't be submitted leaves the job waiting for its start.
         state["a"] += 1
         state["c"] = chunk
+        state["s"] = flag
     elif effect != "noop":
         state["o"] = OUTCOMES[effect]
     return True, True
@@ -300,7 +303,10 @@ def numbers_of(tests: Sequence[tuple[int, Column]]) -> Column:
 
 
 def trigger_rows(triggers: DataFrame, spec: Spec, scope: Scope | None = None, kind: int = LOG_TRIGGER) -> DataFrame:
-    """Triggers in the shape the replay reads. ``scope`` is needed when gates have leaf conditions."""
+    """Triggers in the shape the replay reads. ``scope`` is needed when gates have leaf conditions.
+
+    A column ``submit_ok`` tells whether a restart would be submitted; without it all are.
+    """
     scope = scope or Scope()
     rules = active(list(spec.log_rules if kind == LOG_TRIGGER else spec.state_rules))
     held = numbers_of([])
@@ -316,7 +322,7 @@ def trigger_rows(triggers: DataFrame, spec: Spec, scope: Scope | None = None, ki
         F.coalesce(seq.cast("int"), F.lit(0)).alias("match_seq"),
         F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("us"),
         F.coalesce(held, numbers_of([])).alias("held"),
-        F.lit(True).alias("flag"),
+        (F.coalesce("submit_ok", F.lit(True)) if "submit_ok" in triggers.columns else F.lit(True)).alias("flag"),
     )
 
 
@@ -369,12 +375,16 @@ def plan_kind(spec: Spec) -> str:
 
 
 def replay(rows: DataFrame, spec: Spec, partitions: int | None = None, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Replay by the cheaper plan that is exact for ``spec``; with windows only evaluated rows come back.
+    """The evaluated rows, by the cheaper plan that is exact for ``spec`` and these rows.
 
-    The rows are written first: both plans read them more than once, and they are a small part of the text.
+    The rows are written first: both plans read them more than once, and they are a small part of the text. A restart
+    that can't be submitted leaves a job waiting, which only the fold knows of.
     """
     rows = materialise(rows, "triggers")
-    return replay_windows(rows, spec, limit) if plan_kind(spec) == "windows" else replay_fold(rows, spec, partitions)
+    failing = rows.filter((F.col("kind") == LOG_TRIGGER) & ~F.col("flag"))
+    if plan_kind(spec) == "windows" and ("restart" not in spec.effects.values() or failing.isEmpty()):
+        return replay_windows(rows, spec, limit)
+    return replay_fold(rows, spec, partitions).filter("evaluated")
 
 
 def _stateless_pass(spec: Spec) -> Column:

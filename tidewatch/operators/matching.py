@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.render import merge_maps
 from tidewatch.functions.regex import quote, reads_context, required_literal, to_jvm
 from tidewatch.operators.rules import LogRule, active
 
@@ -150,57 +152,72 @@ def match_registry_rules(
     keep: Sequence[str] = ("chunk_seq", "ts"),
     max_literal_patterns: int = MAX_LITERAL_PATTERNS,
     max_sent_jobs: int = MAX_SENT_JOBS,
+    payload: bool = False,
 ) -> DataFrame:
     """Hits of per-job rules: ``rules(job_id, rule_idx, name, pattern, pattern_type, match_once)``.
 
+    With ``payload`` the rules also have ``metadata`` and ``extract_groups``, and each hit a payload: the rule's metadata,
+    then match and line, then the extracted groups, later entries winning.
+
     Jobs mostly share a few patterns. While the distinct ones are few they are matched as literals in one
     map-only pass and the narrow hits meet the rule table afterwards; if the jobs are few enough to send, a chunk is
     only searched for its own job's patterns. With many patterns, each chunk meets its own job's rules, held in one array,
     and is searched for them within its row, so text moves once at most. Both plans give the same rows: a missing
     ``pattern_type`` is substring, a missing ``match_once`` true, rules without a pattern never match.
     """
-    shape = ["pattern", "pattern_type", "match_once"]
+    shape = ["pattern", "pattern_type", "match_once", *(["groups"] if payload else [])]
     given = {
         "pattern_type": F.coalesce("pattern_type", F.lit("substring")),
         "match_once": F.coalesce("match_once", F.lit(True)),
     }
+    if payload:
+        given["groups"] = F.coalesce(F.to_json("extract_groups"), F.lit("{}"))
     usable = rules.withColumns(given).filter(F.col("pattern_type").isin("substring", "regex") & (F.col("pattern") != ""))
     distinct = usable.select(*shape).distinct().limit(max_literal_patterns + 1).collect()
     new_text = chunks.filter(F.col("text") != "").select("job_id", *keep, "text")
-    wanted = usable.select("job_id", "rule_idx", F.col("name").alias("rule_name"), *shape)
+    about = [F.col("metadata").alias("rule_metadata")] if payload else []
+    wanted = usable.select("job_id", "rule_idx", F.col("name").alias("rule_name"), *shape, *about)
+    names = ["rule_metadata"] if payload else []
 
     if len(distinct) <= max_literal_patterns:
-        shapes = sorted(distinct, key=lambda r: (r.pattern, r.pattern_type, r.match_once))
+        shapes = sorted(distinct, key=tuple)
+        groups = [json.loads(r.groups) if payload else {} for r in shapes]
         literal = [
-            (i, LogRule("", r.pattern, r.pattern_type, match_once=r.match_once)) for i, r in enumerate(shapes)
+            (i, LogRule("", r.pattern, r.pattern_type, match_once=r.match_once, extract_groups=groups[i]))
+            for i, r in enumerate(shapes)
         ]
         number = F.lit(None).cast("int")
         for i, r in enumerate(shapes):
-            same = (
-                (F.col("pattern") == r.pattern)
-                & (F.col("pattern_type") == r.pattern_type)
-                & (F.col("match_once") == r.match_once)
-            )
+            same = F.lit(True)
+            for column in shape:
+                same = same & (F.col(column) == r[column])
             number = F.when(same, i).otherwise(number)
-        by_shape = wanted.select("job_id", "rule_idx", "rule_name", number.alias("shape"))
+        by_shape = wanted.select("job_id", "rule_idx", "rule_name", *names, number.alias("shape"))
         own = by_shape.groupBy("job_id").agg(F.collect_set("shape").alias("__own"))
         few = own.limit(max_sent_jobs + 1).count() <= max_sent_jobs
         searched = new_text.join(F.broadcast(own), "job_id") if few else new_text
-        none = F.array().cast(_hit_type(False))
+        none = F.array().cast(_hit_type(payload))
         arrays = []
         for i, rule in literal:
-            found = rule_hits(F.col("text"), i, rule, payload=False)
+            found = rule_hits(F.col("text"), i, rule, payload=payload)
             arrays.append(F.when(F.array_contains("__own", i), found).otherwise(none) if few else found)
         hit = F.explode(F.concat(none, *arrays)).alias("hit")
         hits = searched.select("job_id", *keep, hit).select(
-            "job_id", *keep, F.col("hit.rule_idx").alias("shape"), "hit.match_seq", "hit.match"
+            "job_id",
+            *keep,
+            F.col("hit.rule_idx").alias("shape"),
+            "hit.match_seq",
+            "hit.match",
+            *(["hit.payload"] if payload else []),
         )
         return hits.join(by_shape, ["job_id", "shape"]).select(
-            "job_id", *keep, "rule_idx", "rule_name", "match_seq", "match"
+            "job_id", *keep, "rule_idx", "rule_name", "match_seq", "match", *_with_metadata(payload)
         )
 
     ready = wanted.withColumn("jvm", F.when(F.col("pattern_type") == "regex", _jvm_patterns("pattern", "pattern_type")))
-    rule = F.struct("rule_idx", "rule_name", "pattern", "jvm", "match_once")
+    if payload:
+        ready = ready.withColumn("groups", _group_numbers("pattern", "pattern_type", "groups"))
+    rule = F.struct("rule_idx", "rule_name", "pattern", "jvm", "match_once", *(["groups"] if payload else []), *names)
     own = ready.groupBy("job_id").agg(F.collect_list(rule).alias("__rules"))
     text = F.col("text")
 
@@ -211,8 +228,60 @@ def match_registry_rules(
         regex = F.regexp_extract_all(text, r["jvm"], F.lit(0))
         regex = F.when(r["match_once"], F.slice(regex, 1, 1)).otherwise(regex)
         matches = F.when(r["jvm"].isNull(), literal).otherwise(regex)
-        return F.struct(r["rule_idx"].alias("rule_idx"), r["rule_name"].alias("rule_name"), matches.alias("m"))
+        fields = [r["rule_idx"].alias("rule_idx"), r["rule_name"].alias("rule_name"), matches.alias("m")]
+        if payload:
+            fields += [r["rule_metadata"].alias("rule_metadata"), _group_values(text, r, matches).alias("g")]
+        return F.struct(*fields)
 
     hits = F.filter(F.transform("__rules", found), lambda r: F.size(r["m"]) > 0)
     narrow = new_text.join(own, "job_id").select("job_id", *keep, F.inline(hits))
-    return narrow.select("job_id", *keep, "rule_idx", "rule_name", F.posexplode("m").alias("match_seq", "match"))
+    kept = ["job_id", *keep, "rule_idx", "rule_name"]
+    if not payload:
+        return narrow.select(*kept, F.posexplode("m").alias("match_seq", "match"))
+    each = narrow.select(*kept, "rule_metadata", "g", F.posexplode("m").alias("match_seq", "match"))
+    base = F.create_map(F.lit("match"), F.col("match"), F.lit("line"), F.col("match"))
+    extracted = F.map_from_entries(
+        F.transform("g", lambda g: F.struct(g["key"].alias("k"), F.get(g["values"], F.col("match_seq")).alias("v")))
+    )
+    full = each.withColumn("payload", merge_maps(base, extracted))
+    return full.select(*kept, "match_seq", "match", *_with_metadata(True))
+
+
+def _with_metadata(payload: bool) -> list[Column]:
+    if not payload:
+        return []
+    own = F.coalesce("rule_metadata", F.create_map().cast("map<string,string>"))
+    return [merge_maps(own, F.col("payload")).alias("payload")]
+
+
+GROUPS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("key", T.StringType()),
+            T.StructField("number", T.IntegerType()),
+            T.StructField("optional", T.BooleanType()),
+        ]
+    )
+)
+
+
+@F.pandas_udf(GROUPS)
+def _group_numbers(pattern: pd.Series, kind: pd.Series, groups: pd.Series) -> pd.Series:
+    def numbers(p: str, k: str, given: str) -> list[dict]:
+        rule = LogRule("", p, k, extract_groups=json.loads(given))
+        found = rule.groups()
+        optional = rule.optional() if found else set()
+        return [{"key": key, "number": n, "optional": n in optional} for key, n in found.items()]
+
+    return pd.Series([numbers(*x) for x in zip(pattern, kind, groups)])
+
+
+def _group_values(text: Column, rule: Column, matches: Column) -> Column:
+    """The values of each extracted group over all matches, in order."""
+
+    def values(g: Column) -> Column:
+        all_ = F.when(rule["jvm"].isNull(), matches).otherwise(F.regexp_extract_all(text, rule["jvm"], g["number"]))
+        seen = F.transform(all_, lambda v: F.when(~(g["optional"] & (v == "")), v))
+        return F.struct(g["key"].alias("key"), seen.alias("values"))
+
+    return F.transform(rule["groups"], values)

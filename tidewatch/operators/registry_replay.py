@@ -1,17 +1,18 @@
 """Replay of a whole registry, each job by its own definition.
 
-Jobs share definitions, so the distinct ones are compiled on the driver and a row only carries the number of its own.
-Text is searched once for all of them, and each distinct leaf condition is computed once.
+Jobs share definitions, so the distinct ones are compiled on the driver, a bounded batch at a time, and a row only carries
+the number of its own. Text is searched once for a batch, and each distinct leaf condition is computed once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.render import parse_template, with_job_defaults
+from tidewatch.functions.render import event_id, event_variables, parse_template, with_job_defaults
 from tidewatch.operators import lifecycle as lc
 from tidewatch.operators.conditions import (
     Condition,
@@ -29,8 +30,9 @@ from tidewatch.session import materialise
 from tidewatch.sources import registry
 from tidewatch.sources.definitions import spec_from
 
-STEERING = ("log_events", "state_events", "start_condition", "cancel_condition", "finish_condition", "submitted", "attempts")
-MAX_DEFINITIONS = 2_000
+STEERING = ("log_events", "state_events", "start_condition", "cancel_condition", "finish_condition")
+# Definitions compiled at once; jobs of more are dealt to batches by a hash of their definition.
+BATCH_DEFINITIONS = 2_000
 FILES = (FileExists, FileContent, GlobExists)
 
 
@@ -38,13 +40,16 @@ class DefinitionsKernel(Kernel):
     """Hands each job's rows to the kernel of its definition."""
 
     outputs = lc.LifecycleKernel.outputs
-    needs = (*lc.LifecycleKernel.needs, "spec_no")
+    needs = (*lc.LifecycleKernel.needs, "spec_no", "first_attempts", "first_submitted")
 
     def __init__(self, specs: list[lc.Spec]) -> None:
         self.kernels = [lc.LifecycleKernel(spec) for spec in specs]
 
     def run(self, state: Any, cols: dict[str, Any], lo: int, hi: int, out: dict[str, list] | None) -> Any:
-        return self.kernels[int(cols["spec_no"][lo])].run(state, cols, lo, hi, out)
+        kernel = self.kernels[int(cols["spec_no"][lo])]
+        if state is None:
+            state = kernel.spec.fresh() | {"a": int(cols["first_attempts"][lo]), "s": bool(cols["first_submitted"][lo])}
+        return kernel.run(state, cols, lo, hi, out)
 
     def reduce(self, state: Any, first: dict[str, Any]) -> tuple[Any, Any]:
         return self.kernels[int(first["spec_no"])].reduce(state, first)
@@ -60,14 +65,19 @@ class DefinitionsKernel(Kernel):
 def number_definitions(jobs: DataFrame) -> tuple[DataFrame, list[lc.Spec]]:
     """``jobs`` with ``spec_no``, and the definitions by that number."""
     body = F.to_json(F.struct(*STEERING))
-    tagged = jobs.withColumn("__body", body)
-    distinct = tagged.select("__body").distinct().limit(MAX_DEFINITIONS + 1).collect()
-    if len(distinct) > MAX_DEFINITIONS:
-        raise ValueError(f"more than {MAX_DEFINITIONS} distinct definitions; move what differs by job into its metadata")
-    bodies = sorted(row[0] for row in distinct)
-    numbers = jobs.sparkSession.createDataFrame([(b, i) for i, b in enumerate(bodies)], "__body string, spec_no int")
-    numbered = tagged.join(F.broadcast(numbers), "__body").drop("__body")
-    return numbered, [spec_from(b) for b in bodies]
+    tagged = jobs.withColumn("__body", F.coalesce(body, F.lit("{}"))).withColumn("__hash", F.sha2("__body", 256))
+    distinct = tagged.groupBy("__hash").agg(F.any_value("__body").alias("body")).collect()
+    bodies = sorted((row["__hash"], row["body"]) for row in distinct)
+    numbers = jobs.sparkSession.createDataFrame([(h, i) for i, (h, _) in enumerate(bodies)], "__hash string, spec_no int")
+    # At most a batch of hashes.
+    numbered = tagged.join(F.broadcast(numbers), "__hash").drop("__body", "__hash")
+    return numbered, [spec_from(body) for _, body in bodies]
+
+
+def _batches(jobs: DataFrame) -> int:
+    """Batches that hold at most BATCH_DEFINITIONS definitions each, but for the chance of an uneven hash."""
+    definitions = jobs.select(F.xxhash64(F.to_json(F.struct(*STEERING)))).distinct().count()
+    return 1 if definitions <= BATCH_DEFINITIONS else -(-2 * definitions // BATCH_DEFINITIONS)
 
 
 def _leaf_results(rows: DataFrame, specs: list[lc.Spec], scope: Scope, markers: DataFrame | None) -> DataFrame:
@@ -113,6 +123,8 @@ def _shaped(rows: DataFrame, kind: int, flag: Column, rule: str | None = None) -
         F.coalesce(seq.cast("int"), F.lit(0)).alias("match_seq"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
         flag.alias("flag"),
+        (F.col("rule_name") if "rule_name" in rows.columns else F.lit(None).cast("string")).alias("event_name"),
+        (F.col("payload") if "payload" in rows.columns else F.lit(None).cast("map<string,string>")).alias("payload"),
     )
 
 
@@ -128,8 +140,29 @@ def replay_registry(
 
     ``jobs`` is the flat registry, ``chunks(job_id, chunk_seq, ts, text)`` the log text,
     ``polls(job_id, chunk_seq, ts, status, submit_ok)`` the statuses seen, and ``changes(job_id, chunk_seq, ts,
-    old_status, new_status)`` the status changes for state rules.
+    old_status, new_status)`` the status changes for state rules. Beyond BATCH_DEFINITIONS distinct definitions the jobs
+    are replayed batch by batch, each with its own rows only.
     """
+    batches = _batches(jobs)
+    if batches == 1:
+        return _replay_batch(jobs, chunks, polls, markers, changes, partitions)
+    dealt = jobs.withColumn("__batch", F.pmod(F.xxhash64(F.to_json(F.struct(*STEERING))), F.lit(batches)))
+    done = []
+    for batch in range(batches):
+        mine = materialise(dealt.filter(F.col("__batch") == batch).drop("__batch"), "registry-batch")
+        rest = [None if t is None else t.join(mine.select("job_id"), "job_id", "left_semi") for t in (chunks, polls, changes)]
+        done.append(_replay_batch(mine, rest[0], rest[1], markers, rest[2], partitions))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _replay_batch(
+    jobs: DataFrame,
+    chunks: DataFrame,
+    polls: DataFrame,
+    markers: DataFrame | None,
+    changes: DataFrame | None,
+    partitions: int | None,
+) -> DataFrame:
     numbered, specs = number_definitions(jobs)
     rules = registry.log_rules(jobs).select(
         "job_id",
@@ -138,10 +171,14 @@ def replay_registry(
         "pattern",
         F.coalesce("pattern_type", F.lit("substring")).alias("pattern_type"),
         F.coalesce("match_once", F.lit(True)).alias("match_once"),
+        "metadata",
+        "extract_groups",
     )
     yes = F.lit(True)
+    submits = polls.groupBy("job_id", "chunk_seq").agg(F.bool_and("submit_ok").alias("submit_ok"))
+    hits = match_registry_rules(chunks, rules, payload=True).join(submits, ["job_id", "chunk_seq"], "left")
     parts = [
-        _shaped(match_registry_rules(chunks, rules), lc.LOG_TRIGGER, yes, "rule_idx"),
+        _shaped(hits, lc.LOG_TRIGGER, F.coalesce("submit_ok", yes), "rule_idx"),
         _shaped(polls, lc.DECISION, F.coalesce("submit_ok", yes)),
         _shaped(polls, lc.NATURAL_END, F.coalesce(F.col("status").isin(*lc.TERMINAL), F.lit(False))),
     ]
@@ -156,17 +193,23 @@ def replay_registry(
     about = numbered.select(
         "job_id",
         "spec_no",
+        F.coalesce("attempts", F.lit(1)).alias("first_attempts"),
+        F.coalesce("submitted", F.lit(True)).alias("first_submitted"),
         with_job_defaults(F.coalesce("metadata", empty), F.col("job_id"), F.col("name"), class_name).alias("job_metadata"),
         F.create_map(F.lit("job_id"), F.col("job_id").cast("string"), F.lit("job_name"), F.col("name")).alias("event_md"),
     )
-    # Written before the leaves are computed: marker leaves read the rows more than once, the text only once.
-    rows = rows.join(about, "job_id").withColumn("spec_no", F.coalesce("spec_no", F.lit(0)))
-    rows = materialise(rows, "registry-rows")
     keys = sorted({k for spec in specs for gate in spec.gates.values() for leaf in gate.leaves for k in _template_keys(leaf)})
-    names = {k: F.element_at("job_metadata", k) for k in keys}
-    scope = Scope(ts=F.col("ts"), metadata=F.col("event_md"), variables=names)
+    # What a rule's templates see; a job's own conditions see its metadata only. Only names that templates use are kept.
+    made_id = event_id(F.col("job_id"), F.col("event_name"), F.col("ts"), F.element_at("payload", "checkpoint_iteration"))
+    of_event = event_variables(F.col("job_metadata"), F.col("event_md"), F.coalesce("payload", empty), made_id, F.col("event_name"))
+    seen = F.when(F.col("kind") == lc.DECISION, F.col("job_metadata")).otherwise(of_event)
+    seen = F.map_filter(seen, lambda k, _: k.isin(*keys)) if keys else empty
+    # Written before the leaves are computed: marker leaves read the rows more than once, the text only once.
+    rows = rows.join(about, "job_id").withColumns({"spec_no": F.coalesce("spec_no", F.lit(0)), "seen": seen})
+    rows = materialise(rows.drop("job_metadata", "payload", "event_name"), "registry-rows")
+    scope = Scope(ts=F.col("ts"), metadata=F.col("event_md"), variables=F.col("seen"))
     us = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0))
-    ready = _leaf_results(rows, specs, scope, markers).withColumn("us", us).drop("job_metadata", "event_md")
+    ready = _leaf_results(rows, specs, scope, markers).withColumn("us", us).drop("seen", "event_md")
     if any(uses(leaf, *FILES) for spec in specs for gate in spec.gates.values() for leaf in gate.leaves):
         ready = materialise(ready, "registry-leaves")
     return ordered_fold(ready, "job_id", lc.REPLAY_ORDER, DefinitionsKernel(specs), partitions)
