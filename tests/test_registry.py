@@ -115,10 +115,10 @@ def test_cleanup(spark):
 
 
 def test_cursor_moves_without_a_match(spark):
-    logs = spark.createDataFrame([("a", "MISS\n"), ("b", "abcdef"), ("c", "ab")], "job_id string, text string")
-    cursors = spark.createDataFrame([("b", 4), ("c", 9)], "job_id string, log_cursor long")
+    logs = spark.createDataFrame([("a", "MISS\n"), ("b", "abcdef"), ("c", "ab"), ("d", "äöü"), ("e", "äöü")], "job_id string, text string")
+    cursors = spark.createDataFrame([("b", 4), ("c", 9), ("d", 2), ("e", 3)], "job_id string, log_cursor long")
     got = {r.job_id: (r.new_text, r.log_cursor) for r in log_increments(logs, cursors).collect()}
-    assert got == {"a": ("MISS\n", 5), "b": ("ef", 6), "c": ("", 9)}
+    assert got == {"a": ("MISS\n", 5), "b": ("ef", 6), "c": ("", 9), "d": ("öü", 6), "e": ("\ufffdü", 6)}
 
 
 def test_log_files_with_broken_bytes(spark, tmp_path):

@@ -75,6 +75,14 @@ def effect_of(kind: Column) -> Column:
     return expr
 
 
+def default_text(kind: Column) -> Column:
+    """Default text of an action class held in a column."""
+    expr = F.lit("")
+    for name, text in DEFAULT_TEXTS.items():
+        expr = F.when(kind == name, text).otherwise(expr)
+    return expr
+
+
 def outcome_of(effect: Column) -> Column:
     """What the effect means for the job; an unknown effect lets it continue."""
     expr = F.lit("continue")

@@ -12,8 +12,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.render import event_id, event_variables, parse_template, with_job_defaults
+from tidewatch.functions.render import (
+    event_id,
+    event_variables,
+    parse_template,
+    render_column,
+    with_job_defaults,
+)
 from tidewatch.operators import lifecycle as lc
+from tidewatch.operators.actions import default_text, effect_of, normal_level
 from tidewatch.operators.conditions import (
     Condition,
     FileContent,
@@ -113,6 +120,75 @@ def _leaf_results(rows: DataFrame, specs: list[lc.Spec], scope: Scope, markers:
     return rows.select(*columns, lc.numbers_of(tests).alias("held"))
 
 
+def registry_hits(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits of every job's own log rules, with their payload. Write them to use them in more than one place."""
+    rules = registry.log_rules(jobs).select(
+        "job_id", "rule_idx", "name", "pattern", "pattern_type", "match_once", "metadata", "extract_groups"
+    )
+    return match_registry_rules(chunks, rules, payload=True)
+
+
+def registry_actions(jobs: DataFrame, hits: DataFrame, replayed: DataFrame) -> DataFrame:
+    """What fired log rules do: effect, level, rendered message and the job they ask for, if any.
+
+    One row per firing: (job_id, chunk_seq, rule_idx, match_seq, ts, rule_name, action, effect, level, message, job_config).
+    """
+    place = ["job_id", "chunk_seq", "rule_idx", "match_seq"]
+    fired = replayed.filter((F.col("kind") == lc.LOG_TRIGGER) & F.col("fired")).select(*place, "attempts")
+    does = registry.log_rules(jobs).select("job_id", "rule_idx", F.col("action").alias("does"))
+    empty = F.create_map().cast("map<string,string>")
+    about = jobs.select(
+        "job_id",
+        with_job_defaults(
+            F.coalesce("metadata", empty), F.col("job_id"), F.col("name"), F.coalesce("class_name", F.lit(""))
+        ).alias("job_metadata"),
+        F.create_map(F.lit("job_id"), F.col("job_id").cast("string"), F.lit("job_name"), F.col("name")).alias("event_md"),
+    )
+    rows = hits.withColumn("chunk_seq", F.coalesce(F.col("chunk_seq").cast("long"), F.lit(0)))
+    rows = rows.join(fired, place).join(does, ["job_id", "rule_idx"]).join(about, "job_id")
+    made_id = event_id(F.col("job_id"), F.col("rule_name"), F.col("ts"), F.element_at("payload", "checkpoint_iteration"))
+    seen = event_variables(F.col("job_metadata"), F.col("event_md"), F.col("payload"), made_id, F.col("rule_name"), F.col("attempts"))
+    kind = F.col("does.class_name")
+    given = F.when(kind == "LogAction", F.col("does.message")).when(kind != "NewJobAction", F.col("does.reason"))
+    text = F.coalesce(given, default_text(kind))
+    return rows.select(
+        *place,
+        "ts",
+        "rule_name",
+        kind.alias("action"),
+        effect_of(kind).alias("effect"),
+        normal_level(F.coalesce("does.level", F.lit("info"))).alias("level"),
+        F.when(kind == "LogAction", render_column(text, seen)).otherwise(text).alias("message"),
+        F.when(kind == "NewJobAction", F.col("does.job_config")).alias("job_config"),
+    )
+
+
+def registry_after(jobs: DataFrame, replayed: DataFrame, polls: DataFrame) -> DataFrame:
+    """The registry after the replay: attempts, last_status, final_state and end_ts of every job."""
+    ended = F.col("outcome").isNotNull()
+    done = replayed.groupBy("job_id").agg(
+        F.max("attempts").alias("__attempts"), F.max("outcome").alias("__state"), F.min(F.when(ended, F.col("ts"))).alias("__end")
+    )
+    status = polls.groupBy("job_id").agg(F.max_by("status", F.struct("chunk_seq", "ts")).alias("__status"))
+
+    def kept(name: str, kind: str):
+        return F.col(name) if name in jobs.columns else F.lit(None).cast(kind)
+
+    return (
+        jobs.join(done, "job_id", "left")
+        .join(status, "job_id", "left")
+        .withColumns(
+            {
+                "attempts": F.coalesce("__attempts", "attempts"),
+                "last_status": F.coalesce(F.col("__status"), kept("last_status", "string")),
+                "final_state": F.coalesce(kept("final_state", "string"), F.col("__state")),
+                "end_ts": F.coalesce(kept("end_ts", "timestamp_ntz"), F.col("__end")),
+            }
+        )
+        .drop("__attempts", "__state", "__end", "__status")
+    )
+
+
 def _shaped(rows: DataFrame, kind: int, flag: Column, rule: str | None = None) -> DataFrame:
     seq = F.col("match_seq") if "match_seq" in rows.columns else F.lit(0)
     return rows.select(
@@ -135,23 +211,24 @@ def replay_registry(
     markers: DataFrame | None = None,
     changes: DataFrame | None = None,
     partitions: int | None = None,
+    hits: DataFrame | None = None,
 ) -> DataFrame:
     """Decisions of every job's polls by its own rules and conditions.
 
     ``jobs`` is the flat registry, ``chunks(job_id, chunk_seq, ts, text)`` the log text,
     ``polls(job_id, chunk_seq, ts, status, submit_ok)`` the statuses seen, and ``changes(job_id, chunk_seq, ts,
     old_status, new_status)`` the status changes for state rules. Beyond BATCH_DEFINITIONS distinct definitions the jobs
-    are replayed batch by batch, each with its own rows only.
+    are replayed batch by batch, each with its own rows only. ``hits`` may be given as written from ``registry_hits``.
     """
     batches = _batches(jobs)
     if batches == 1:
-        return _replay_batch(jobs, chunks, polls, markers, changes, partitions)
+        return _replay_batch(jobs, chunks, polls, markers, changes, partitions, hits)
     dealt = jobs.withColumn("__batch", F.pmod(F.xxhash64(F.to_json(F.struct(*STEERING))), F.lit(batches)))
     done = []
     for batch in range(batches):
         mine = materialise(dealt.filter(F.col("__batch") == batch).drop("__batch"), "registry-batch")
-        rest = [None if t is None else t.join(mine.select("job_id"), "job_id", "left_semi") for t in (chunks, polls, changes)]
-        done.append(_replay_batch(mine, rest[0], rest[1], markers, rest[2], partitions))
+        rest = [None if t is None else t.join(mine.select("job_id"), "job_id", "left_semi") for t in (chunks, polls, changes, hits)]
+        done.append(_replay_batch(mine, rest[0], rest[1], markers, rest[2], partitions, rest[3]))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -162,21 +239,12 @@ def _replay_batch(
     markers: DataFrame | None,
     changes: DataFrame | None,
     partitions: int | None,
+    hits: DataFrame | None,
 ) -> DataFrame:
     numbered, specs = number_definitions(jobs)
-    rules = registry.log_rules(jobs).select(
-        "job_id",
-        "rule_idx",
-        "name",
-        "pattern",
-        F.coalesce("pattern_type", F.lit("substring")).alias("pattern_type"),
-        F.coalesce("match_once", F.lit(True)).alias("match_once"),
-        "metadata",
-        "extract_groups",
-    )
     yes = F.lit(True)
     submits = polls.groupBy("job_id", "chunk_seq").agg(F.bool_and("submit_ok").alias("submit_ok"))
-    hits = match_registry_rules(chunks, rules, payload=True).join(submits, ["job_id", "chunk_seq"], "left")
+    hits = (registry_hits(jobs, chunks) if hits is None else hits).join(submits, ["job_id", "chunk_seq"], "left")
     parts = [
         _shaped(hits, lc.LOG_TRIGGER, F.coalesce("submit_ok", yes), "rule_idx"),
         _shaped(polls, lc.DECISION, F.coalesce("submit_ok", yes)),

@@ -142,13 +142,13 @@ def log_match_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "log_increment",
     """SELECT doc_id AS job_id, md5(substr(text, n_chars // 2 + 1)) AS new_text_md5,
-      length(substr(text, n_chars // 2 + 1)) AS new_chars, greatest(length(text), n_chars // 2) AS log_cursor
-    FROM documents""",
+      length(substr(text, n_chars // 2 + 1)) AS new_chars, strlen(text) AS log_cursor FROM documents""",
 )
 def log_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     logs = docs.select(F.col("doc_id").alias("job_id"), "text")
-    cursors = docs.select(F.col("doc_id").alias("job_id"), F.expr("n_chars div 2").alias("log_cursor"))
+    read = F.octet_length(F.expr("substring(text, 1, cast(n_chars div 2 as int))"))
+    cursors = docs.select(F.col("doc_id").alias("job_id"), read.alias("log_cursor"))
     return log_increments(logs, cursors).select(
         "job_id",
         F.md5("new_text").alias("new_text_md5"),

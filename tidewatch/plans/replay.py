@@ -22,7 +22,12 @@ from tidewatch.operators.lifecycle import (
     trigger_rows,
 )
 from tidewatch.operators.matching import match_triggers
-from tidewatch.operators.registry_replay import replay_registry
+from tidewatch.operators.registry_replay import (
+    registry_actions,
+    registry_after,
+    registry_hits,
+    replay_registry,
+)
 from tidewatch.operators.rules import LogRule
 from tidewatch.plans.tables import query, table, turn_chunks
 from tidewatch.schemas import LOG_EVENT, STATE_EVENT
@@ -164,9 +169,8 @@ REGISTRY_SQL = REPLAY_SQL.replace(
 )
 
 
-@query("registry_replay", REGISTRY_SQL)
-def registry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long conversations have other rules than short ones; all are replayed in one pass."""
+def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs, log text and polls: long conversations have other rules than short ones."""
     turns = turn_chunks(spark, sf_dir)
     none = F.lit(None).cast("string")
 
@@ -185,4 +189,48 @@ def registry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("attempts"),
     )
     polls = turns.select("job_id", "chunk_seq", "ts", F.lit("RUNNING").alias("status"), F.lit(True).alias("submit_ok"))
-    return job_outcomes(replay_registry(jobs, turns, polls))
+    return jobs, turns, polls
+
+
+@query("registry_replay", REGISTRY_SQL)
+def registry_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job_outcomes(replay_registry(*_registry(spark, sf_dir)))
+
+
+RULE_SQL = "CASE rule_idx WHEN 0 THEN '{}' WHEN 1 THEN '{}' WHEN 2 THEN '{}' ELSE '{}' END"
+
+
+@query(
+    "registry_messages",
+    REGISTRY_SQL.replace(
+        "SELECT job_id, arg_max(attempts, k) AS attempts, arg_max(outcome, k) AS final_state, CAST(max(fired) AS BIGINT) AS fired\nFROM r GROUP BY 1",
+        f"""SELECT r.job_id, chunk_seq, {RULE_SQL.format('stuck', 'done', 'fatal', 'progress')} AS rule_name,
+      {RULE_SQL.format('restart', 'finish', 'cancel', 'noop')} AS effect,
+      {RULE_SQL.format('restarting job', 'finished', 'cancelled', 'Event progress triggered')} AS message
+    FROM (SELECT *, fired - lag(fired, 1, 0) OVER (PARTITION BY job_id ORDER BY k) AS now FROM r) r JOIN n USING (job_id, k)
+    WHERE now = 1""",
+    ),
+)
+def registry_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of all actions that ran; the text is searched once."""
+    jobs, turns, polls = _registry(spark, sf_dir)
+    hits = materialise(registry_hits(jobs, turns), "registry-hits")
+    done = registry_actions(jobs, hits, replay_registry(jobs, turns, polls, hits=hits))
+    return done.select("job_id", "chunk_seq", "rule_name", "effect", "message")
+
+
+@query(
+    "registry_after",
+    REGISTRY_SQL.replace(
+        "SELECT job_id, arg_max(attempts, k) AS attempts, arg_max(outcome, k) AS final_state, CAST(max(fired) AS BIGINT) AS fired\nFROM r GROUP BY 1",
+        """SELECT r.job_id, arg_max(attempts, k) AS attempts, arg_max(outcome, k) AS final_state,
+      CASE WHEN max(r.job_id) IS NOT NULL THEN 'RUNNING' END AS last_status,
+      make_timestamp(min(chunk_seq * 1000000) FILTER (outcome IS NOT NULL)) AS end_ts
+    FROM r LEFT JOIN n USING (job_id, k) GROUP BY 1""",
+    ),
+)
+def registry_after_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the registry holds when the replay is over."""
+    jobs, turns, polls = _registry(spark, sf_dir)
+    done = registry_after(jobs, replay_registry(jobs, turns, polls), polls)
+    return done.select("job_id", "attempts", "final_state", "last_status", "end_ts")

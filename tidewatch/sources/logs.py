@@ -11,17 +11,19 @@ from tidewatch.schemas import LOG_CHUNKS, STATUS_SNAPSHOTS
 def log_increments(logs: DataFrame, cursors: DataFrame) -> DataFrame:
     """New text per job from ``logs(job_id, text)`` and ``cursors(job_id, log_cursor)``, with the next cursor.
 
-    A log shorter than its cursor gives no text and leaves the cursor where it is.
+    Cursors count bytes of UTF-8, as offsets into files do; a character cut by one reads as the replacement character. A log
+    shorter than its cursor gives no text and leaves the cursor where it is.
     """
-    at = F.coalesce(F.col("log_cursor"), F.lit(0)).cast("int")
-    length = F.length("text")
+    at = F.greatest(F.coalesce(F.col("log_cursor").cast("long"), F.lit(0)), F.lit(0))
+    length = F.octet_length("text").cast("long")
+    rest = F.substring(F.encode("text", "UTF-8"), F.when(at < length, at).otherwise(length).cast("int") + 1, length.cast("int"))
     return (
         logs.select("job_id", "text")
         .join(cursors.select("job_id", "log_cursor"), "job_id", "left")
         .select(
             "job_id",
-            F.expr("substring(text, cast(coalesce(log_cursor, 0) as int) + 1)").alias("new_text"),
-            F.greatest(length, at).cast("long").alias("log_cursor"),
+            F.make_valid_utf8(rest.cast("string")).alias("new_text"),
+            F.greatest(length, at).alias("log_cursor"),
         )
     )
 
