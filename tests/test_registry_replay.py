@@ -143,3 +143,24 @@ def lc_rule(name, action):
     from tidewatch.operators.rules import LogRule
 
     return LogRule(name, "x", action=Action(action))
+
+
+def test_a_replay_goes_on_from_what_records_remember(spark, tmp_path):
+    base = EPOCH.replace(tzinfo=datetime.timezone.utc).timestamp()
+    cool, late = {"class_name": "CooldownCondition", "cooldown_seconds": 60}, {"class_name": "TimeoutCondition", "timeout_seconds": 30}
+    never = {"class_name": "NotCondition", "condition": {"class_name": "AlwaysTrueCondition"}, "persistent_pass": True}
+    body = {"name": "n", "log_events": [rule("a", "x", "LogAction", cool), rule("b", "x", "LogAction", late), rule("c", "x", "LogAction", never)]}
+    kept = {
+        "log:a:0": {"last_action_ts": base + 5, "last_status": "success", "condition": {"started_ts": base}},
+        "log:b:1": {"condition": {"started_ts": base - 20}},
+        "log:c:2": {"condition": {"started_ts": base, "latched_pass": True}},
+    }
+    for job, state in (("fresh", {}), ("kept", kept)):
+        runtime = {"submitted": True, "attempts": 1, "action_state": state, "condition_state": {}}
+        (tmp_path / f"{job}.job.json").write_text(json.dumps({"job_id": job, "definition": body, "runtime": runtime}))
+    jobs = registry.flatten(registry.scan(registry.read_records(spark, str(tmp_path))))
+    chunks = spark.createDataFrame([(j, k, at(s), "x") for j in ("fresh", "kept") for k, s in enumerate((6, 15, 70))], "job_id string, chunk_seq int, ts timestamp_ntz, text string")
+    polls = spark.createDataFrame([], "job_id string, chunk_seq int, ts timestamp_ntz, status string, submit_ok boolean")
+    done = replay_registry(jobs, chunks, polls, partitions=2).filter("fired").collect()
+    got = {job: sorted((r.rule_idx, r.chunk_seq) for r in done if r.job_id == job) for job in ("fresh", "kept")}
+    assert got == {"fresh": [(0, 0), (0, 2), (1, 0), (1, 1)], "kept": [(0, 2), (1, 0), (2, 0), (2, 1), (2, 2)]}

@@ -122,6 +122,31 @@ class Spec:
         return {"a": self.attempts, "s": self.submitted, "o": None, "c": None, "m": {}}
 
 
+def remembered(spec: Spec, actions: Mapping[str, Any], conditions: Mapping[str, Any]) -> dict[str, list]:
+    """What a record's ``action_state`` and ``condition_state`` say: first evaluation, last firing and latch by gate.
+
+    Times in records are seconds since 1970.
+    """
+
+    def micros(seconds: Any) -> int | None:
+        return None if seconds is None else round(float(seconds) * 1_000_000)
+
+    memory = {}
+    for key in spec.gates:
+        last, about = None, conditions.get(key)
+        if key not in LABELS:
+            kind, idx = (int(x) for x in key.split(":"))
+            source, rules = ("log", spec.log_rules) if kind == LOG_TRIGGER else ("state", spec.state_rules)
+            held = actions.get(f"{source}:{rules[idx].name}:{idx}") or {}
+            last, about = micros(held.get("last_action_ts")), held.get("condition")
+        about = about or {}
+        latch = True if about.get("latched_pass") else False if about.get("latched_fail") else None
+        found = [micros(about.get("started_ts")), last, latch]
+        if found != [None, None, None]:
+            memory[key] = found
+    return memory
+
+
 def _holds(node: tuple, held: Collection[int], attempts: int, now: int, memory: list) -> bool:
     kind, arg = node
     if kind == "leaf":

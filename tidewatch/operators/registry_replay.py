@@ -6,6 +6,7 @@ the number of its own. Text is searched once for a batch, and each distinct leaf
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from typing import Any
 
@@ -47,7 +48,7 @@ class DefinitionsKernel(Kernel):
     """Hands each job's rows to the kernel of its definition."""
 
     outputs = lc.LifecycleKernel.outputs
-    needs = (*lc.LifecycleKernel.needs, "spec_no", "first_attempts", "first_submitted")
+    needs = (*lc.LifecycleKernel.needs, "spec_no", "first_attempts", "first_submitted", "first_memory")
 
     def __init__(self, specs: list[lc.Spec]) -> None:
         self.kernels = [lc.LifecycleKernel(spec) for spec in specs]
@@ -56,6 +57,8 @@ class DefinitionsKernel(Kernel):
         kernel = self.kernels[int(cols["spec_no"][lo])]
         if state is None:
             state = kernel.spec.fresh() | {"a": int(cols["first_attempts"][lo]), "s": bool(cols["first_submitted"][lo])}
+            if cols["first_memory"][lo]:
+                state["m"] = lc.remembered(kernel.spec, **json.loads(cols["first_memory"][lo]))
         return kernel.run(state, cols, lo, hi, out)
 
     def reduce(self, state: Any, first: dict[str, Any]) -> tuple[Any, Any]:
@@ -217,7 +220,8 @@ def replay_registry(
 
     ``jobs`` is the flat registry, ``chunks(job_id, chunk_seq, ts, text)`` the log text,
     ``polls(job_id, chunk_seq, ts, status, submit_ok)`` the statuses seen, and ``changes(job_id, chunk_seq, ts,
-    old_status, new_status)`` the status changes for state rules. Beyond BATCH_DEFINITIONS distinct definitions the jobs
+    old_status, new_status)`` the status changes for state rules. Cooldowns, timeouts and latches go on from what the
+    records remember (``action_state``, ``condition_state``). Beyond BATCH_DEFINITIONS distinct definitions the jobs
     are replayed batch by batch, each with its own rows only. ``hits`` may be given as written from ``registry_hits``.
     """
     batches = _batches(jobs)
@@ -263,6 +267,7 @@ def _replay_batch(
         "spec_no",
         F.coalesce("attempts", F.lit(1)).alias("first_attempts"),
         F.coalesce("submitted", F.lit(True)).alias("first_submitted"),
+        _memory(numbered).alias("first_memory"),
         with_job_defaults(F.coalesce("metadata", empty), F.col("job_id"), F.col("name"), class_name).alias("job_metadata"),
         F.create_map(F.lit("job_id"), F.col("job_id").cast("string"), F.lit("job_name"), F.col("name")).alias("event_md"),
     )
@@ -283,6 +288,14 @@ def _replay_batch(
     return ordered_fold(ready, "job_id", lc.REPLAY_ORDER, DefinitionsKernel(specs), partitions)
 
 
+def _memory(jobs: DataFrame) -> Column:
+    """The states a record holds, as one JSON text; NULL where it holds none."""
+    parts = [F.col(c) if c in jobs.columns else F.lit(None).cast("string") for c in ("action_state", "condition_state")]
+    actions, conditions = (F.coalesce(F.when(p.isin("", "null"), None).otherwise(p), F.lit("{}")) for p in parts)
+    both = F.concat(F.lit('{"actions":'), actions, F.lit(',"conditions":'), conditions, F.lit("}"))
+    return F.when((actions != "{}") | (conditions != "{}"), both)
+
+
 def _template_keys(leaf: Condition) -> list[str]:
     text = getattr(leaf, "path", "") if not isinstance(leaf, GlobExists) else leaf.pattern
     return [name for kind, name in parse_template(text or "") if kind == "key"]
