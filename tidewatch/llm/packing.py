@@ -46,7 +46,7 @@ def token_pieces(
                 rows.append(row)
                 piece.append(k)
                 ids.append(whole[at : at + step])
-        number = pa.array(piece, pa.int64())
+        number = pa.array(piece, pa.int32())
         columns = [c.take(pa.array(rows, pa.int32())) for c in kept.columns]
         start = pa.array([k * window for k in piece], pa.int64())
         length = pa.array([len(x) // 4 for x in ids], pa.int64())
@@ -54,7 +54,7 @@ def token_pieces(
         return pa.RecordBatch.from_arrays([*columns, number, start, length, pa.array(ids, pa.binary())], names)
 
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    schema = f"{fields}piece bigint, start bigint, length bigint, ids binary"
+    schema = f"{fields}piece int, start bigint, length bigint, ids binary"
     return map_texts(docs, list(keep), text, schema, cut)
 
 
