@@ -15,16 +15,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-#: White space before a space, and what else keeps a text from being cut at its spaces.
-UNSAFE = re.compile(r"\s |[\x1c-\x1f]|<\|")
+#: Control characters that are white space only here, and the beginning of special tokens.
 ODD = re.compile(r"[\x1c-\x1f]|<\|")
-#: A stretch of such a text: white space, then all up to the next white space.
+#: A stretch: white space, then all up to the next white space.
 STRETCH = re.compile(r"\s*\S+|\s+")
 NEXT_CUT = re.compile(r"(?<=\S)\s")
 #: Stretches kept per generation; two generations at most are held.
-KEEP = 300_000
+KEEP = 600_000
 #: Longer stretches are not kept.
 KEEP_CHARS = 64
 #: Characters of a long text cut into stretches at once.
@@ -44,6 +42,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: Ids of stretches that follow a space, by what follows the space.
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -56,62 +55,72 @@ class Encoder:
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn; a null text has none."""
-        waiting: list[list[str] | bytes] = []
+        waiting: list[str] = []
         for text in texts:
-            if not text:
-                waiting.append(b"")
-            elif len(text) > SPAN and not ODD.search(text):
-                yield from self._flush(waiting)
-                waiting = []
-                yield b"".join(part for span in _spans(text) for part in self._flush([_stretches(span)]))
-            elif not UNSAFE.search(text):
-                waiting.append(_words(text))
+            if text is None or len(text) <= SPAN:
+                waiting.append(text or "")
             else:
-                waiting.append(self.plain(text) if ODD.search(text) else STRETCH.findall(text))
-        yield from self._flush(waiting)
+                yield from self._encode(waiting)
+                waiting = []
+                yield b"".join(self._slow(text))
+        yield from self._encode(waiting)
 
-    def _flush(self, waiting: list[list[str] | bytes]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Cut at single spaces where every part is plain, else by stretches."""
         if len(self.new) > KEEP:
             self.new, self.old = {}, self.new
-        lacking = set().union(*[s for s in waiting if s.__class__ is list]).difference(self.new)
+        parts = [text.split(" ") for text in texts]
+        heads = [words.pop(0) for words in parts]
+        lacking = set().union(*parts).difference(self.new)
+        # A part that is empty or ends in white space stands before a longer gap; such texts are cut with more care.
+        hard = {s for s in lacking if not s or s[-1].isspace() or ODD.search(s)}
+        lacking -= hard
         self._learn(lacking)
-        ids = self.new.__getitem__
-        done = [item if item.__class__ is bytes else b"".join(map(ids, item)) for item in waiting]
+        ids, out = self.new.__getitem__, []  # the dictionary as it is now, also if a long text below starts a new one
+        for text, head, words in zip(texts, heads, parts, strict=True):
+            if not head or head[-1].isspace() or ODD.search(head) or (hard and not hard.isdisjoint(words)):
+                out.append(b"".join(self._slow(text)))
+            else:
+                out.append(self.plain(head) + b"".join(map(ids, words)))
+        self._forget(lacking)
+        return out
+
+    def _slow(self, text: str) -> Iterator[bytes]:
+        if ODD.search(text):
+            yield self.plain(text)
+            return
+        for span in _spans(text):
+            stretches = STRETCH.findall(span)
+            after_space = [s[0] == " " and len(s) > 1 and not s[1].isspace() for s in stretches]
+            lacking = {s[1:] for s, ok in zip(stretches, after_space, strict=True) if ok}.difference(self.new)
+            self._learn(lacking)
+            for s, ok in zip(stretches, after_space, strict=True):
+                yield self.new[s[1:]] if ok else self.plain(s)
+            self._forget(lacking)
+            if len(self.new) > 2 * KEEP:
+                self.new, self.old = {}, {}
+
+    def _forget(self, lacking: set[str]) -> None:
         for s in lacking:
             if len(s) > KEEP_CHARS:
-                del self.new[s]
-        return done
+                self.new.pop(s, None)
 
     def _learn(self, lacking: set[str]) -> None:
-        """Put the ids of unknown stretches into the dictionary."""
-        new, old = self.new, self.old
+        """Put the ids of unknown stretches, each after a space, into the dictionary."""
         joined = []
         for s in lacking:
-            if s in old:
-                new[s] = old[s]
-            elif s[0].isspace() and not s[-1].isspace():
-                joined.append(s)
+            if s in self.old:
+                self.new[s] = self.old[s]
             else:
-                new[s] = self.plain(s)
-        if joined:
-            done = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-            ids = np.array(done.ids, np.uint32)
-            at = np.array([first for first, _ in done.offsets], np.int64)
-            ends = np.cumsum([len(s) for s in joined])
-            cuts = np.searchsorted(at, ends).tolist()
-            first = 0
-            for s, cut in zip(joined, cuts, strict=True):
-                new[s] = ids[first:cut].tobytes()
-                first = cut
-
-
-def _stretches(text: str) -> list[str]:
-    return STRETCH.findall(text) if UNSAFE.search(text) else _words(text)
-
-
-def _words(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+                joined.append(s)
+        if not joined:
+            return
+        done = self.tokenizer.encode(" " + " ".join(joined), add_special_tokens=False)
+        data = array("I", done.ids).tobytes()
+        at = np.fromiter((first for first, _ in done.offsets), np.int64, len(done.ids))
+        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) + 1)
+        cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
+        self.new.update(zip(joined, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
 
 
 def _spans(text: str) -> Iterator[str]:
@@ -147,4 +156,4 @@ def map_texts(
                 yield fn(part.select(range(len(columns))), texts)
 
     source = df.select(*columns, df[text].alias("_text"))
-    return source.mapInArrow(run, T._parse_datatype_string(schema))
+    return source.mapInArrow(run, schema)
