@@ -257,7 +257,7 @@ THERE = c.Custom(kind="There")
 
 
 def replay_polls(spark, spec, rows):
-    done = lc.replay(lc.poll_rows(poll_frame(spark, rows), spec), spec)
+    done = lc.replay_fold(lc.poll_rows(poll_frame(spark, rows), spec), spec)
     return done.orderBy("chunk_seq", "kind").collect()
 
 
