@@ -422,6 +422,21 @@ def test_cutoffs_hold_their_bound(spark):
     assert abs(cdf - sum(comb(n, i) * 0.01**i * 0.99 ** (n - i) for i in range(8))) < 1e-9
 
 
+def test_cutoffs_reject_what_bad_labels_have_in_common(spark):
+    plain, heavy = " ".join(f"word{i}" for i in range(30)), " ".join(f"word{i}##" for i in range(30))
+    capital = " ".join(f"WORD{i}" for i in range(30))
+    data = [(i, plain, lang) for lang, n, at in (("de", 500, 0), ("en", 900, 1000), ("fr", 300, 2000)) for i in range(at, at + n)]
+    good = len(data)
+    # One good text of de is all capitals: steps of that rule would stop the path there if they came first.
+    data[0] = (0, capital, "de")
+    data += [(3000 + 100 * k + i, heavy, lang) for k, lang in enumerate(("de", "en", "fr")) for i in range(60)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    # Of the bad texts only the first half is labelled.
+    labels = [(i, 1) for i, *_ in data[:good]] + [(i, 0) for i, *_ in data[good:] if i % 100 < 30] + [(3099, None)]
+    got = quality.quality_verdicts(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {i for i, _, lang in data[good:] if lang != "fr"}  # 300 good labels are too few
+
+
 def test_language(spark, docs, nothing):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0

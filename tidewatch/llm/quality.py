@@ -1,9 +1,11 @@
 """Quality rules whose cutoffs are chosen so that few good texts are rejected, with a guarantee per stratum.
 
-For each rule and stratum the labelled good texts say how many a cutoff would reject. A cutoff qualifies when the exact
-binomial (Clopper-Pearson) bound on its false rejection rate, at a confidence corrected for all cutoffs tried, is within
-the rule's share of the limit. The strictest one that qualifies is used; where none does, as with few labels, the rule is
-not applied to that stratum.
+The cutoffs of all rules form one path per stratum, each step of which makes one rule stricter by one cutoff. Labelled bad
+texts order the path: steps that catch many of them come first. Labelled good texts say how many all cutoffs of the path up
+to a step would reject together. A stratum goes along its path as long as the exact binomial (Clopper-Pearson) bound on
+that rate is within the limit, and stops for good at the first step where it is not. The rates of a path only grow and the
+good labels have no part in its order, so the steps need no correction; the confidence is only corrected for the strata.
+With few labels the first step fails, and no rule is applied to that stratum.
 """
 
 from __future__ import annotations
@@ -150,40 +152,73 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(terms, start, add, lambda acc: F.exp(acc["s"]))
 
 
-def controlled_cutoffs(good: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, failure: float = FAILURE) -> DataFrame:
-    """(stratum, one cutoff column per rule, null where none qualifies) from the measures of labelled good texts.
+def _steps(rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
+    """(level, rule, cutoffs at least exceeded by a text it rejects) of every step; level 1 is the loosest cutoff of a rule."""
+    return [(j, r, len(rule.cutoffs) - j + 1) for r, rule in enumerate(rules) for j in range(1, len(rule.cutoffs) + 1)]
 
-    Each rule may falsely reject risk / rules; each of the rules x cutoffs x strata tests has the confidence
-    1 - failure / tests (Bonferroni), so all chosen cutoffs hold at once with a chance of 1 - failure.
-    """
-    counts = [
-        F.sum(_over(rule, F.lit(c)).cast("bigint")).alias(f"{rule.name}_{k}") for rule in rules for k, c in enumerate(rule.cutoffs)
-    ]
-    table = materialise(good.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "cutoff-counts")
-    tests = table.count() * sum(len(rule.cutoffs) for rule in rules)
-    share, level = risk / len(rules), failure / max(1, tests)
 
-    def chosen(rule: Rule) -> Column:
-        passing = []
-        for k, cutoff in enumerate(rule.cutoffs):
-            hits = F.col(f"{rule.name}_{k}")
-            within = (hits < F.col("n") * share) & (binomial_cdf(hits, F.col("n"), share) <= level)
-            passing.append(F.when(within, F.lit(cutoff)))
-        return F.coalesce(*passing).alias(rule.name)
+def _patterns(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(stratum, over, n): how many texts exceed how many cutoffs of each rule. Few rows, however many texts."""
+    over = [sum((_over(rule, F.lit(c)).cast("int") for c in rule.cutoffs), F.lit(0)) for rule in rules]
+    return found.groupBy("stratum", F.array(*over).alias("over")).agg(F.count("*").alias("n"))
+
+
+def _paths(bad: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(stratum, path) from the patterns of bad texts: most caught first, never a rule's stricter cutoff before a looser one."""
+    steps = _steps(rules)
+    caught = {(r, j): F.sum(F.when(F.get("over", F.lit(r)) == need, F.col("n")).otherwise(0)) for j, r, need in steps}
+    least = lambda r, j: F.least(*[caught[r, i] for i in range(1, j + 1)]) if j > 1 else caught[r, 1]
+    return bad.groupBy("stratum").agg(F.sort_array(F.array(*[_step(-least(r, j), j, r, n) for j, r, n in steps])).alias("path"))
+
 
-    return table.select("stratum", *[chosen(rule) for rule in rules])
+def _step(rank: Column, level: int, rule: int, need: int) -> Column:
+    return F.struct(rank.cast("bigint").alias("rank"), *[F.lit(x).alias(c) for x, c in ((level, "level"), (rule, "rule"), (need, "need"))])
+
+
+def controlled_cutoffs(
+    good: DataFrame, rules: tuple[Rule, ...] = RULES, risk: float = RISK, failure: float = FAILURE, bad: DataFrame | None = None
+) -> DataFrame:
+    """(stratum, one cutoff column per rule, null where none qualifies) from the measures of labelled good texts.
+
+    All rules together may falsely reject ``risk``; each stratum has the confidence 1 - failure / strata (Bonferroni), so
+    all of them hold at once with a chance of 1 - failure. A stratum needs ln(strata / failure) / -ln(1 - risk) good labels
+    at least. ``bad`` has the measures of labelled bad texts; without any in a stratum all rules get stricter by turns.
+    """
+    steps = _steps(rules)
+    table = materialise(_patterns(good, rules), "good-patterns")
+    level = failure / max(1, table.select("stratum").distinct().count())
+    by_turns = F.sort_array(F.array(*[_step(F.lit(0), j, r, n) for j, r, n in steps]))
+    if bad is None:
+        walked = table.withColumn("path", by_turns)
+    else:
+        paths = materialise(_paths(_patterns(bad, rules), rules), "cutoff-paths")
+        walked = table.join(paths, "stratum", "left").withColumn("path", F.coalesce("path", by_turns))
+    first = F.array_position(F.transform("path", lambda s: F.get("over", s["rule"]) >= s["need"]), True)
+    walked = walked.withColumn("first", first)
+    hits = [F.sum(F.when(F.col("first").between(1, p), F.col("n")).otherwise(0)) for p in range(1, len(steps) + 1)]
+    counts = walked.groupBy("stratum").agg(F.first("path").alias("path"), F.sum("n").alias("n"), F.array(*hits).alias("hits"))
+    within = lambda h: (h < F.col("n") * risk) & (binomial_cdf(h, F.col("n"), risk) <= level)
+    failed = F.array_position(F.transform("hits", within), False)
+    taken = F.when(failed == 0, F.col("path")).otherwise(F.slice("path", 1, (failed - 1).cast("int")))
+    counts = materialise(counts.select("stratum", taken.alias("taken")), "steps-taken")
+
+    def chosen(r: int, rule: Rule) -> Column:
+        strictness = F.size(F.filter("taken", lambda s: s["rule"] == r))
+        return F.get(F.array(*map(F.lit, rule.cutoffs)), len(rule.cutoffs) - strictness).alias(rule.name)
+
+    return counts.select("stratum", *[chosen(r, rule) for r, rule in enumerate(rules)])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, stratum: str = "lang") -> DataFrame:
     """The measures of every row with ``kept``: false when a base rule fails or a rule with a cutoff is above it.
 
     ``labels`` has doc_id and quality (1 good, 0 bad, null unknown); repeated labels count once and a document labelled both
-    ways is not taken for good. Documents without text fail the base rules. Empty tables give no rows.
+    ways is taken for bad. Documents without text fail the base rules. Empty tables give no rows.
     """
     found = materialise(measures(docs, stratum), "measures")
     marks = labels.groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.min("quality").alias("_q"))
-    good = found.join(marks.filter("_q = 1"), "_id", "left_semi").filter(~F.col("base_failed"))
-    cutoffs = materialise(controlled_cutoffs(good, rules), "cutoffs")
+    good, bad = (found.join(marks.filter(F.col("_q") == q), "_id", "left_semi").filter(~F.col("base_failed")) for q in (1, 0))
+    cutoffs = materialise(controlled_cutoffs(good, rules, bad=bad), "cutoffs")
     bad = F.col("base_failed")
     for rule in rules:
         bad = bad | _over(rule, F.col(rule.name))
