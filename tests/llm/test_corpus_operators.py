@@ -199,6 +199,24 @@ def ids_of(path, text, end):
     return [*tool.encode(text or "", add_special_tokens=False).ids, end]
 
 
+def test_queries_encode_special_tokens_as_the_plain_call(spark, tmp_path):
+    from tidewatch.llm import queries
+
+    given = ["one <|endoftext|> two", "<|startoftext|>a  b<|endoftext|><|endoftext|>", "a <| b", "plain text", "<|startoftext|>", None]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in enumerate(given)], "doc_id bigint, text string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {p: [Tokenizer.from_file(p).encode(t or "", add_special_tokens=False).ids for t in given] for p in (WORD, BYTE)}
+    assert plain[BYTE][0] == [505, 220, 50256, 734] and plain[WORD][0] != ids_of(WORD, given[0], 0)[:-1]
+    packed = queries.op8_best_fit_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in packed} == {i: (len(x) + 1, crc([*x, 0])) for i, x in enumerate(plain[WORD])}
+    stored, start = {r.doc_id: r for r in queries.op9_token_ids(spark, str(tmp_path)).collect()}, 0
+    for i, x in enumerate(plain[BYTE]):
+        assert tuple(stored[i]) == (i, start, len(x) + 1, crc([*x, 2]))
+        start += len(x) + 1
+    counts = queries.op10_token_counts(spark, str(tmp_path)).collect()
+    assert {r.n_tokens: r.n_docs for r in counts} == Counter(map(len, plain[BYTE]))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

@@ -28,19 +28,25 @@ PLAN = "length bigint, rank_from bigint, rank_to bigint, sequence_from bigint, a
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    window: int = WINDOW,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    special: bool = False,
 ) -> DataFrame:
     """Encode whole texts, end each with ``end_id`` and cut those longer than ``window``.
 
     One row per piece: ``keep``, ``piece`` from 0, ``start``, ``length`` and ``ids`` (little-endian unsigned 32-bit). A null
-    or empty text has one piece, the end id. No documents, no pieces.
+    or empty text has one piece, the end id. No documents, no pieces. ``special`` is that of ``Encoder``.
     """
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * window
 
     def cut(kept: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
         rows, piece, ids = [], [], []
-        for row, found in enumerate(encoder(tokenizer).encode_all(texts)):
+        for row, found in enumerate(encoder(tokenizer, special).encode_all(texts)):
             whole = found + end
             for k, at in enumerate(range(0, len(whole), step)):
                 rows.append(row)
@@ -119,8 +125,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc
     )
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, special: bool = False) -> DataFrame:
     """Pieces of all documents with their places and the crc32 of their ids; the ids stay out of the shuffle."""
-    pieces = token_pieces(docs, tokenizer, end_id, window)
+    pieces = token_pieces(docs, tokenizer, end_id, window, special=special)
     narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(materialise(narrow, "pieces"), window, ("doc_id", "piece", "ids_crc32"))

@@ -51,21 +51,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE), WORD_END_ID)
+    return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE), WORD_END_ID, special=True)
 
 
 @query("op9_token_ids")
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-ids")
     docs = table(spark, sf_dir, "documents")
-    files = token_ids.write_token_files(docs, folder, public_tokenizers.path(BYTE_BPE), BYTE_END_ID)
+    files = token_ids.write_token_files(docs, folder, public_tokenizers.path(BYTE_BPE), BYTE_END_ID, special=True)
     return token_ids.read_token_files(materialise(files, "token-files"), folder)
 
 
 @query("op10_token_counts")
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lengths = token_counts.token_lengths(docs, public_tokenizers.path(BYTE_BPE), ["source"])
+    lengths = token_counts.token_lengths(docs, public_tokenizers.path(BYTE_BPE), ["source"], special=True)
     histogram = materialise(token_counts.length_histogram(lengths, ["source"]), "length-histogram")
     return token_counts.limit_table(histogram, ["source"])
 

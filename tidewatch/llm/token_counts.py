@@ -12,12 +12,15 @@ from tidewatch.llm.tokens import encoder, map_texts
 LENGTH_BLOCK = 4096
 
 
-def token_lengths(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``n_tokens``, the encoded length of each whole text; null and empty texts have length 0."""
+def token_lengths(docs: DataFrame, path: str, keep: list[str], text: str = "text", special: bool = False) -> DataFrame:
+    """``keep`` and ``n_tokens``, the encoded length of each whole text; null and empty texts have length 0.
+
+    ``special`` is that of ``Encoder``.
+    """
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def count(kept: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
-        sizes = pa.array([len(ids) // 4 for ids in encoder(path).encode_all(texts)], pa.int64())
+        sizes = pa.array([len(ids) // 4 for ids in encoder(path, special).encode_all(texts)], pa.int64())
         return pa.RecordBatch.from_arrays([*kept.columns, sizes], [*keep, "n_tokens"])
 
     return map_texts(docs, keep, text, f"{fields + ', ' if fields else ''}n_tokens bigint", count)

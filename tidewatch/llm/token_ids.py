@@ -129,17 +129,18 @@ class Reader:
         return np.concatenate([np.empty(0, np.uint32), *self.pieces(number)])
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", special: bool = False) -> DataFrame:
     """Encode whole texts and write their ids, each document followed by ``end_id``, in ascending ``doc_id`` order.
 
     The documents are dealt by ranges of ``doc_id``; each task sorts its range and writes one file under a name of its
     own, so a repeated or second attempt harms nothing: only the files named in the result count. Lazy; one row per file
     (``part``, ``path``, ``n_docs``, ``n_ids``). Null text counts as empty and gives just ``end_id``; a null ``doc_id`` comes
     first; equal ids follow each other by text. No documents give no files. ``folder`` must be one that all executors reach.
+    ``special`` is that of ``Encoder``.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, special)
         bits = bits_for(max(encode.vocabulary, end_id + 1))
         end = np.array([end_id], np.uint32)
         part = TaskContext.get().partitionId()

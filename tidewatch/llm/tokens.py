@@ -30,18 +30,22 @@ SPAN = 1 << 20
 #: Rows of an Arrow batch encoded together.
 STEP = 128
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str):
+    With ``special`` the strings of special tokens in a text give these tokens, as they do by the tokenizer's plain call;
+    without it they are encoded like other characters.
+    """
+
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         #: Ids of stretches that follow a space, by what follows the space.
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -132,11 +136,11 @@ def _spans(text: str) -> Iterator[str]:
         at = end
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The encoder of a tokenizer file, one per process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 def map_texts(
