@@ -469,6 +469,16 @@ def test_language(spark, docs, nothing):
     assert {r.lang_pred for r in nobody.collect()} == {"und"}
 
 
+def test_every_language_gives_to_its_dictionary(spark):
+    copied = spark.createDataFrame([(f"l{k}", f"only text of language {k}") for k in range(6)], "lang string, text string")
+    copied = copied.crossJoin(spark.range(2000)).drop("id")
+    wide = spark.createDataFrame([("zh", chr(0x4E00 + i) * 512) for i in range(300)], "lang string, text string")
+    learned = language_id.learn(copied.unionByName(wide))
+    assert {k: v.decode() for k, v in learned.items() if k != "zh"} == {f"l{k}": f"only text of language {k}" for k in range(6)}
+    seen = {ord(c) - 0x4E00 for c in learned["zh"].decode(errors="ignore")} - {ord("\n") - 0x4E00}
+    assert min(seen) < 150 and len(learned["zh"]) == language_id.DICTIONARY_BYTES  # not only the last by content
+
+
 def test_empty_tables(spark, nothing):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     folder = scratch_path(spark, "ids")

@@ -33,19 +33,22 @@ MARGIN = 0.01
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, bytes]:
     """A dictionary per language from a bounded sample of the labelled rows, most frequent language first.
 
-    A language's rows are drawn by a hash of their text at a rate that gives about SAMPLE_DOCS of them; each gives its
-    first SAMPLE_CHARS characters. Only the sample is cut; predictions read whole texts. Rows without language or letters
-    are not used. No labelled rows, no dictionaries.
+    A text gives its first SAMPLE_CHARS characters; equal ones of a language count once, however often they are copied. The
+    SAMPLE_DOCS of them with the least hashes are drawn, so every language gives at least one. Only the sample is cut;
+    predictions read whole texts. Rows without language or letters are not used, nor are languages beyond the
+    MOST_LANGUAGES largest. No labelled rows, no dictionaries.
     """
     labelled = docs.filter(docs[lang].isNotNull() & has_letter(docs[text]))
-    rows = labelled.select(docs[lang].alias("lang"), docs[text].alias("text"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    rows = labelled.select(docs[lang].alias("lang"), F.substring(docs[text], 1, SAMPLE_CHARS).alias("text"))
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(2**31)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts"))
+    sizes = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     rate = F.lit(None).cast("double")
-    for r in sizes:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(SAMPLE_DOCS / r["count"])).otherwise(rate)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(2**31)) < rate * 2**31
-    sample = rows.filter(drawn).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
-    sample = sample.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts")).collect()
+    for r in sizes:  # twice as many as wanted, as the number of texts is an estimate
+        rate = F.when(F.col("lang") == r["lang"], F.lit(2 * SAMPLE_DOCS / max(1, r["texts"]))).otherwise(rate)
+    drawn = rows.filter(F.col("hash") < rate * 2**31).select("lang", "hash", "text").distinct()
+    least = F.slice(F.sort_array(F.collect_list(F.struct("hash", "text"))), 1, SAMPLE_DOCS)
+    sample = drawn.groupBy("lang").agg(least["text"].alias("texts")).collect()
     parts = {r["lang"]: "\n".join(r["texts"]).encode()[-DICTIONARY_BYTES:] for r in sample}
     return {r["lang"]: parts[r["lang"]] for r in sizes if r["lang"] in parts}
 
