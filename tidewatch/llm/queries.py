@@ -13,6 +13,7 @@ from tidewatch.llm import (
     mixing,
     ngram_join,
     packing,
+    prefix_trie,
     quality,
     sharding,
     token_counts,
@@ -170,3 +171,35 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(TRAP_ID, 0, "user", TRAP), (TRAP_ID, 1, "assistant", TRAP)], turns.schema)
     return chat_format.read_back(chat_format.format_conversations(turns.unionByName(trap)))
+
+
+#: Greatest head plus one of the rebuilt conversations, and conversations that share a base.
+HEADS, SHARERS = 9, 5
+CRC = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT)),
+      lambda a, b: list_reduce([CAST(xor(a, b) AS BIGINT)] || range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+
+
+@query(
+    "op11_prefix_trie",
+    f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS no FROM conversations),
+    ids AS (SELECT conv_id, conv_id - conv_id % {SHARERS} AS base, {CRC} % {HEADS} AS h FROM (SELECT DISTINCT conv_id FROM conversations)),
+    rebuilt AS (SELECT i.conv_id, 0 AS part, no, {{'r': role, 'x': text}} AS t FROM ids i JOIN t ON t.conv_id = i.base AND no < h
+      UNION ALL SELECT i.conv_id, 1, no, {{'r': role, 'x': text}} FROM ids i JOIN t USING (conv_id) WHERE no >= h),
+    seqs AS (SELECT conv_id, coalesce(list(t ORDER BY part, no) FILTER (t IS NOT NULL), []) AS s FROM ids LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+    prefixes AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM seqs),
+    nodes AS (SELECT s[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256 FROM prefixes GROUP BY 1, 2),
+    kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+    tree AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].x) END AS saved FROM nodes n LEFT JOIN kids USING (p)),
+    below AS (SELECT p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(range(d + 1)) AS a FROM tree) GROUP BY 1)
+    SELECT tree.conv_id, tree.d AS depth, up.conv_id AS parent_conv_id, tree.n_convs, tree.n_children, n_leaves, saved_tokens, tree.ends_sha256
+    FROM tree JOIN below USING (p) LEFT JOIN tree up ON tree.d > 0 AND up.p = tree.p[1:tree.d - 1]""",
+)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    c = F.col("conv_id")
+    head = F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(HEADS))
+    heads = turns.select("conv_id").distinct().select("conv_id", (c - c % SHARERS).alias("base"), head.alias("head"))
+    return prefix_trie.prefix_trie(turns, heads).drop("n_ends")
