@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
     chat_format,
     exact_dedup,
     language_id,
+    lexical,
     mixing,
     ngram_join,
     packing,
@@ -18,6 +19,7 @@ from tidewatch.llm import (
     sharding,
     token_counts,
     token_ids,
+    toxicity,
 )
 from tidewatch.llm.common import ORACLES, QUERIES, Query, query, table
 from tidewatch.session import materialise, scratch_path
@@ -139,11 +141,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents")).drop("_id", "_x")
 
 
+def _held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
 @query("op4_language_id")
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    docs = docs.withColumn("held_out", held_out)
+    docs = docs.withColumn("held_out", _held_out())
     dictionaries = language_id.learn(docs.filter(~F.col("held_out")))
     return language_id.identify(docs, dictionaries, ["doc_id", "held_out"])
 
@@ -203,3 +208,35 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(HEADS))
     heads = turns.select("conv_id").distinct().select("conv_id", (c - c % SHARERS).alias("base"), head.alias("head"))
     return prefix_trie.prefix_trie(turns, heads).drop("n_ends")
+
+
+#: Results of an item.
+TOP = 20
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op13_lexical_search",
+    f"""WITH tok AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents),
+    post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+    lens AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM post GROUP BY ALL),
+    c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM lens),
+    q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+      FROM post, c WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+    s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // l)))) AS BIGINT) AS score
+      FROM q JOIN post USING (term) JOIN w USING (term) JOIN lens USING (doc_id), c GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= {TOP}""",
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), TOP)
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _held_out())
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.learn(docs.filter(~F.col("held_out")), labels)
+    out = toxicity.score(docs, model, ["doc_id", "held_out"])
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
