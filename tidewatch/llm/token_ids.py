@@ -29,9 +29,11 @@ MAGIC = b"IDBITS01"
 NO_ID = -(2**63)
 #: Ids of a block.
 BLOCK = 1 << 16
+#: Characters that deal rows of one document id to several files.
+HEAD = 64
 
 WRITTEN = "part int, path string, n_docs bigint, n_ids bigint"
-INDEX = "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids_crc32 bigint"
+INDEX = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -40,19 +42,38 @@ def bits_for(vocabulary: int) -> int:
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
-    """Unsigned 32-bit ids to ``bits`` bits each, lowest bit first."""
+    """Unsigned 32-bit ids to ``bits`` bits each, lowest bit first: 64 ids at a time fill ``bits`` words of 64 bits."""
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
-    raw = np.unpackbits(np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(raw[:, :bits].ravel(), bitorder="little").tobytes()
+    if bits in (8, 16, 32):
+        return ids.astype(f"<u{bits // 8}").tobytes()
+    padded = np.zeros((-(-len(ids) // 64), 64), np.uint64)
+    padded.ravel()[: len(ids)] = ids
+    words = np.zeros((len(padded), bits), "<u8")
+    for i, word, shift in _places(bits):
+        words[:, word] |= padded[:, i] << np.uint64(shift)
+        if shift + bits > 64:
+            words[:, word + 1] |= padded[:, i] >> np.uint64(64 - shift)
+    return words.tobytes()[: -(-len(ids) * bits // 8)]
 
 
 def unpack_bits(packed: bytes, n: int, bits: int) -> np.ndarray:
     """The first ``n`` ids of a packed block."""
-    raw = np.unpackbits(np.frombuffer(packed, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    full = np.zeros((n, 32), np.uint8)
-    full[:, :bits] = raw
-    return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
+    if bits in (8, 16, 32):
+        return np.frombuffer(packed, f"<u{bits // 8}", n).astype("<u4")
+    rows = -(-n // 64)
+    words = np.frombuffer(packed.ljust(8 * bits * rows, b"\0"), "<u8", bits * rows).reshape(rows, bits)
+    ids = np.empty((rows, 64), np.uint64)
+    for i, word, shift in _places(bits):
+        ids[:, i] = words[:, word] >> np.uint64(shift)
+        if shift + bits > 64:
+            ids[:, i] |= words[:, word + 1] << np.uint64(64 - shift)
+    return (ids.ravel()[:n] & np.uint64((1 << bits) - 1)).astype("<u4")
+
+
+def _places(bits: int) -> Iterator[tuple[int, int, int]]:
+    """Word and shift of each of 64 ids."""
+    return ((i, i * bits // 64, i * bits % 64) for i in range(64))
 
 
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -66,16 +87,24 @@ class Writer:
         self.out, self.bits, self.at = out, bits, len(MAGIC)
         self.docs: list[int] = []
         self.first, self.blocks = [0], [self.at]
-        self.rest = np.empty(0, np.uint32)
+        self.waiting: list[np.ndarray] = []
+        self.held = 0
         out.write(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(NO_ID if doc_id is None else doc_id)
         self.first.append(self.first[-1] + len(ids))
-        self.rest = np.concatenate([self.rest, ids])
-        while len(self.rest) >= BLOCK:
-            self._block(self.rest[:BLOCK])
-            self.rest = self.rest[BLOCK:]
+        self.waiting.append(ids)
+        self.held += len(ids)
+        if self.held >= BLOCK:
+            self._flush(self.held // BLOCK * BLOCK)
+
+    def _flush(self, n: int) -> None:
+        """Write the first ``n`` of the ids that wait, put together once."""
+        ids = np.concatenate(self.waiting)
+        for at in range(0, n, BLOCK):
+            self._block(ids[at : min(at + BLOCK, n)])
+        self.waiting, self.held = [ids[n:].copy()], len(ids) - n
 
     def _block(self, ids: np.ndarray) -> None:
         packed = pack_bits(ids, self.bits)
@@ -84,8 +113,8 @@ class Writer:
         self.blocks.append(self.at)
 
     def close(self) -> tuple[int, int]:
-        if len(self.rest):
-            self._block(self.rest)
+        if self.held:
+            self._flush(self.held)
         for numbers in (self.docs, self.first, self.blocks, [self.bits, len(self.docs), len(self.blocks) - 1, BLOCK, self.at]):
             self.out.write(np.array(numbers, "<i8").tobytes())
         return len(self.docs), self.first[-1]
@@ -132,10 +161,10 @@ class Reader:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, text: str = "text", special: bool = False) -> DataFrame:
     """Encode whole texts and write their ids, each document followed by ``end_id``, in ascending ``doc_id`` order.
 
-    The documents are dealt by ranges of ``doc_id``; each task sorts its range and writes one file under a name of its
-    own, so a repeated or second attempt harms nothing: only the files named in the result count. Lazy; one row per file
-    (``part``, ``path``, ``n_docs``, ``n_ids``). Null text counts as empty and gives just ``end_id``; a null ``doc_id`` comes
-    first; equal ids follow each other by text. No documents give no files. ``folder`` must be one that all executors reach.
+    The documents are dealt by ranges of ``doc_id`` and the first HEAD characters, so that a doc_id which many rows share is cut
+    too; each task sorts its range and writes one file under a name of its own, so a repeated or second attempt harms nothing:
+    only the files named in the result count. Lazy; one row per file (``part``, ``path``, ``n_docs``, ``n_ids``). Null text
+    counts as empty and gives just ``end_id``; a null ``doc_id`` comes first; equal ids follow each other by text. No documents give no files. ``folder`` must be one that all executors reach.
     ``special`` is that of ``Encoder``.
     """
 
@@ -163,8 +192,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                 {"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]}
             )
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), docs[text].alias("_text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "_text")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), docs[text].alias("_text"), F.substring(docs[text], 1, HEAD).alias("_head"))
+    ordered = rows.repartitionByRange("doc_id", "_head").sortWithinPartitions("doc_id", "_text").select("doc_id", "_text")
     return ordered.mapInArrow(write, WRITTEN)
 
 
@@ -172,27 +201,26 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """Read every document of the files back: its place, length and crc32 of its ids as unsigned 32-bit integers.
 
     ``files`` is a written result of ``write_token_files``. ``start`` counts the ids of all documents before it, over all
-    files in order of ``part``.
+    files in order of ``part``; each file's row brings the count of the files before it, so nothing is joined to what is read.
+    There are as many reading tasks as files.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_file_start"))
+    placed = files.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("file_start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = _store(folder)
         for batch in batches:
-            for part, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as source:
                     reader = Reader(source)
                     for at in range(0, len(reader.docs), 4096):
-                        yield _index(reader, part, at, min(at + 4096, len(reader.docs)))
+                        yield _index(reader, start, at, min(at + 4096, len(reader.docs)))
 
-    spread = files.select("part", "path").repartition(F.col("part"))
-    return spread.mapInArrow(read, INDEX).join(starts, "part").select(
-        "doc_id", (F.col("_file_start") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    # With the number given, the table of a few rows isn't put into one partition.
+    return placed.repartition(max(1, files.count())).mapInArrow(read, INDEX)
 
 
-def _index(reader: Reader, part: int, at: int, end: int) -> pa.RecordBatch:
+def _index(reader: Reader, start: int, at: int, end: int) -> pa.RecordBatch:
     sums = []
     for number in range(at, end):
         crc = 0
@@ -203,10 +231,9 @@ def _index(reader: Reader, part: int, at: int, end: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(docs, pa.int64(), mask=docs == NO_ID),
-            pa.array([part] * (end - at), pa.int32()),
-            pa.array(first[:-1], pa.int64()),
+            pa.array(first[:-1] + start, pa.int64()),
             pa.array(np.diff(first), pa.int64()),
             pa.array(sums, pa.int64()),
         ],
-        ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"],
+        ["doc_id", "start", "n_tokens", "ids_crc32"],
     )
