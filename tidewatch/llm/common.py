@@ -72,7 +72,7 @@ def numbered(
     """
     if bucket is None:
         bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
-    dealt = rows.withColumn("_bucket", bucket.cast("int"))
+    dealt = rows.withColumn("_bucket", bucket)
     group = [*keys, "_bucket"]
     sums = [F.count("*").alias("_rows")] + ([F.sum(total[0]).alias("_size")] if total else [])
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,8 @@ from tidewatch.session import materialise
 NO_SOURCE = ""
 #: Hex digits of the order hash that deal rows to buckets.
 DIGITS = 7
+#: Slots of the schedule that are picked before they are put together.
+SEGMENT = 1024
 
 
 def damped_weights(docs: DataFrame, parts: int) -> DataFrame:
@@ -40,36 +42,44 @@ def _div(a: Column, b: Column) -> Column:
 def schedule(weights: DataFrame) -> DataFrame:
     """(source, parts, period, slots): the slots of each source's blocks within a period.
 
-    Earliest deadline first over one period, as a fold over its slots with one counter per source; ties go to the source
-    that comes first by name. The table has one row per source; its work is the period times the sources, whatever the data.
+    Earliest deadline first over one period, ties to the source that comes first by name, as a fold over its slots. Sources of
+    equal weight have equal releases and deadlines and take turns by name, so the fold keeps one counter per weight: sums
+    of different weights make up the period, so there are fewer of them than the root of twice the period. Slots are picked
+    SEGMENT at a time and then put together. The table has one row per source, whatever the data.
     """
-    named = F.sort_array(F.collect_list(F.struct("source", "parts")))
-    one = weights.agg(named.alias("s"), F.sum("parts").alias("period")).filter("period > 0")
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(
-        F.transform("s", lambda _: zero).alias("given"), F.array().cast("array<int>").alias("picks")
-    )
+    named = F.sort_array(F.collect_list(F.struct("parts", "names")))
+    classes = weights.groupBy("parts").agg(F.sort_array(F.collect_list("source")).alias("names"))
+    one = classes.agg(named.alias("s"), F.sum(F.col("parts") * F.size("names")).alias("period")).filter("period > 0")
+    zero, period = F.lit(0).cast("bigint"), F.col("period")
+    nothing = F.array().cast("array<struct<i:int,m:int>>")
+    start = F.struct(F.transform("s", lambda _: zero).alias("given"), nothing.alias("picks"))
 
     def step(state: Column, t: Column) -> Column:
-        def of(source: Column, i: Column) -> Column:
-            k, parts, period = F.get(state["given"], i), source["parts"], F.col("period")
-            released = _div(k * period, parts) <= t
-            return F.when(released, F.struct(_div((k + 1) * period + parts - 1, parts).alias("deadline"), i.alias("i")))
+        def of(each: Column, i: Column) -> Column:
+            given, parts, members = F.get(state["given"], i), each["parts"], F.size(each["names"])
+            k, m = _div(given, members), F.pmod(given, members).cast("int")
+            deadline = _div((k + 1) * period + parts - 1, parts)
+            return F.when(_div(k * period, parts) <= t, F.struct(deadline.alias("deadline"), F.get(each["names"], m).alias("name"), i.alias("i"), m.alias("m")))
 
-        pick = F.array_min(F.transform("s", of))["i"]
         return bound_once(
-            pick,
+            F.array_min(F.transform("s", of)),
             lambda p: F.struct(
-                F.transform(state["given"], lambda g, i: F.when(i == p, g + 1).otherwise(g)).alias("given"),
-                F.array_append(state["picks"], p).alias("picks"),
+                F.transform(state["given"], lambda g, i: F.when(i == p["i"], g + 1).otherwise(g)).alias("given"),
+                F.array_append(state["picks"], F.struct(p["i"].alias("i"), p["m"].alias("m"))).alias("picks"),
             ),
         )
 
-    slots = F.sequence(zero, F.col("period") - 1)
-    dealt = one.select("s", "period", F.aggregate(slots, start, step)["picks"].alias("picks"))
-    each = dealt.select("s", "period", F.posexplode("picks").alias("slot", "i"))
-    each = each.select(F.get("s", F.col("i")).alias("w"), "period", F.col("slot").cast("bigint").alias("slot"))
-    return each.groupBy("w.source", "w.parts", "period").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    def segment(state: Column, first: Column) -> Column:
+        slots = F.sequence(first, F.least(first + SEGMENT, period) - 1)
+        picked = F.aggregate(slots, F.struct(state["given"].alias("given"), nothing.alias("picks")), step)
+        return bound_once(picked, lambda p: F.struct(p["given"].alias("given"), F.concat(state["picks"], p["picks"]).alias("picks")))
+
+    firsts = F.sequence(zero, period - 1, F.lit(SEGMENT).cast("bigint"))
+    dealt = one.select("s", "period", F.aggregate(firsts, start, segment)["picks"].alias("picks"))
+    each = dealt.select("s", "period", F.posexplode("picks").alias("slot", "p"))
+    each = each.select(F.get("s", F.col("p.i")).alias("w"), F.col("p.m").alias("m"), "period", F.col("slot").cast("bigint").alias("slot"))
+    each = each.select(F.get("w.names", F.col("m")).alias("source"), F.col("w.parts").alias("parts"), "period", "slot")
+    return each.groupBy("source", "parts", "period").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
 
 
 def slot_of(block: Column) -> Column:
@@ -110,3 +120,12 @@ def mixed(docs: DataFrame, weights: DataFrame, block_bytes: int) -> DataFrame:
     rows = docs.select(as_row(docs), *row_key(docs, F.coalesce(docs["text"], F.lit(""))))
     ordered = rows.join(places, ["_id", "_x"]).select("_row", "slot", "place")
     return ordered.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("_row.*")
+
+
+def stored_place(docs: DataFrame, name: str) -> DataFrame:
+    """Add the place of each row in the Parquet files it is read from: the number of its part and the row in it.
+
+    A mixture that was written as ``mixed`` gives it has its order in its files: Spark numbers parts as it orders ranges.
+    """
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
+    return docs.withColumn(name, F.shiftleft(part, 40) + F.col("_metadata.row_index"))
