@@ -100,27 +100,36 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(docs, text), text.alias("_t"))
 
 
-def fingerprints(docs: DataFrame, chunk: int = CHUNK, spread: bool = False, digest: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
     """(row, _id, _x, n_bytes, f0, f1) of every row's normalised text, and its sha256 when ``digest`` is asked for.
 
-    A text of up to ``chunk`` characters is hashed at once; a longer one as rows of chunks, composed afterwards. With
-    ``spread`` the chunks are dealt to all tasks first, for few huge documents. ``row`` tells rows apart within the result
-    and may differ from run to run, so write the result before it is used twice.
+    A text of up to ``chunk`` characters is hashed where it lies. The chunks of longer ones are rows of their own, dealt to all
+    tasks and hashed there, and put together afterwards by their lengths. ``row`` tells rows apart within the result and may
+    differ from run to run, so write the result before it is used twice.
     """
-    rows = keyed(docs).withColumns({"n_bytes": F.octet_length("_t"), "row": F.monotonically_increasing_id()})
-    if digest:
-        rows = rows.withColumn("text_sha256", F.sha2(F.col("_t"), 256))
+    size = F.coalesce(F.length(docs["text"]), F.lit(0))
+    number = F.monotonically_increasing_id()
     whole = ["row", "_id", "_x", "n_bytes", *(["text_sha256"] if digest else [])]
-    pieces = rows.select(*whole, F.posexplode(chunks_of(F.col("_t"), chunk)).alias("k", "c"))
-    if spread:
-        pieces = pieces.repartition("row", "k")
+
+    def rows(part: DataFrame, row: Column) -> DataFrame:
+        found = keyed(part).withColumns({"n_bytes": F.octet_length("_t"), "row": row})
+        return found.withColumn("text_sha256", F.sha2(F.col("_t"), 256)) if digest else found
+
+    short = _hashed(rows(docs.filter(size <= chunk), number).select(*whole, F.col("_t").alias("c")))
+    pieces = rows(docs.filter(size > chunk), -1 - number).select(*whole, F.posexplode(chunks_of(F.col("_t"), chunk)).alias("k", "c"))
+    long = _hashed(pieces.repartition("row", "k"))
+    parts = F.sort_array(F.collect_list(F.struct("k", "h0", "s0", "h1", "s1")))
+    grouped = long.groupBy("row").agg(*[F.any_value(c).alias(c) for c in whole[1:]], parts.alias("_p"))
+    composed = grouped.select(*whole, *[_composed(F.col("_p"), k).alias(f"f{k}") for k in (0, 1)])
+    return short.select(*whole, F.col("h0").alias("f0"), F.col("h1").alias("f1")).unionByName(composed)
+
+
+def _hashed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with hash and shift of ``c``, which comes last and goes."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.drop("c").schema)
-    hashed = pieces.withColumn("c", F.col("c").cast("binary")).mapInArrow(
+    return pieces.withColumn("c", F.col("c").cast("binary")).mapInArrow(
         _hash_batches, f"{fields}, h0 bigint, s0 bigint, h1 bigint, s1 bigint"
     )
-    parts = F.sort_array(F.collect_list(F.struct("k", "h0", "s0", "h1", "s1")))
-    grouped = hashed.groupBy("row").agg(*[F.any_value(c).alias(c) for c in whole[1:]], parts.alias("_p"))
-    return grouped.select(*whole, _composed(F.col("_p"), 0).alias("f0"), _composed(F.col("_p"), 1).alias("f1"))
 
 
 def exact_groups(docs: DataFrame, chunk: int = CHUNK, digest: bool = False) -> DataFrame:
@@ -132,28 +141,32 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, digest: bool = False) -> D
     kept; a null doc_id ranks below all others. Other columns are not read. An empty table gives no rows.
     """
     prints = materialise(fingerprints(docs, chunk, digest=digest), "prints")
-    groups = prints.groupBy(*PRINT).agg(F.count("*").alias("n"), F.max("_id").alias("lead")).filter("n > 1")
-    members = prints.join(materialise(groups, "print-groups"), PRINT).select("_id", "_x", "lead", *PRINT, "n").distinct()
+    groups = prints.groupBy(*PRINT).agg(F.count("*").alias("n"), *_leader()).filter("n > 1")
+    distinct = prints.select("_id", "_x", *PRINT).distinct()
+    members = materialise(distinct.join(materialise(groups, "print-groups"), PRINT), "print-members")
     chunks = F.posexplode(chunks_of(F.col("_t"), chunk)).alias("k", "c")
-    texts = materialise(keyed(docs).join(members, ["_id", "_x"]).select(*members.columns, chunks), "group-texts")
+    texts = keyed(docs).join(members, ["_id", "_x"]).select(*members.columns, chunks)
+    texts = materialise(texts.dropDuplicates(["_id", "_x", "k"]), "group-texts")
     done, rest = [], texts
     while True:
         compared = materialise(_compare(rest), "compared")
-        done.append(compared.filter("same").select("_id", "_x", *PRINT, "lead"))
+        done.append(compared.filter("same").select("_id", "_x", *PRINT, *LEAD))
         odd = compared.filter(~F.col("same")).select("_id", "_x", *PRINT)
         if odd.isEmpty():
             break
-        again = odd.groupBy(*PRINT).agg(F.count("*").alias("n"), F.max("_id").alias("lead"))
-        rest = texts.drop("lead", "n").join(odd.join(again, PRINT), ["_id", "_x", *PRINT])
+        again = odd.groupBy(*PRINT).agg(F.count("*").alias("n"), *_leader())
+        rest = texts.drop(*LEAD, "n").join(odd.join(again, PRINT), ["_id", "_x", *PRINT])
     matched = reduce(DataFrame.unionByName, done)
-    named = prints.join(matched, ["_id", "_x", *PRINT], "left").withColumn("keep", F.coalesce("lead", "_id"))
-    named = materialise(named.drop("lead"), "named")
-    sizes = named.groupBy(*PRINT, "keep").agg(
+    named = prints.join(matched, ["_id", "_x", *PRINT], "left")
+    named = named.withColumns({"keep": F.coalesce("lead", "_id"), "keep_x": F.coalesce("lead_x", "_x")})
+    named = materialise(named.drop(*LEAD), "named")
+    key = [*PRINT, "keep", "keep_x"]
+    sizes = named.groupBy(*key).agg(
         F.count("*").alias("group_size"), F.min(F.when(F.col("_id") == F.col("keep"), F.col("row"))).alias("_kept_row")
     )
     sizes = materialise(sizes.filter("group_size > 1"), "group-sizes")
     kept = (F.col("_id") == F.col("keep")) & F.coalesce(F.col("row") == F.col("_kept_row"), F.lit(True))
-    return named.join(sizes, [*PRINT, "keep"], "left").select(
+    return named.join(sizes, key, "left").select(
         F.nullif("_id", F.lit(NO_ID)).alias("doc_id"),
         F.nullif("keep", F.lit(NO_ID)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
@@ -164,20 +177,28 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, digest: bool = False) -> D
     )
 
 
+LEAD = ["lead", "lead_x"]
+
+
+def _leader() -> list[Column]:
+    """The largest doc_id of a group, and which of its texts; rows of one doc_id may hold different texts."""
+    return [F.max("_id").alias("lead"), F.max_by("_x", "_id").alias("lead_x")]
+
+
 def _compare(texts: DataFrame) -> DataFrame:
     """Whether each member's text equals its leader's: an equi-join of chunks, members of a large group dealt to salts.
 
     The leader's chunks are repeated once for each BUCKET_ROWS members, so the repeats are few and no task gets more.
     """
     salts = F.ceil(F.col("n") / BUCKET_ROWS).cast("int")
-    leaders = texts.filter(F.col("_id") == F.col("lead")).select(
-        *PRINT, "lead", "k", F.col("c").alias("lead_c"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
+    leaders = texts.filter((F.col("_id") == F.col("lead")) & (F.col("_x") == F.col("lead_x"))).select(
+        *PRINT, *LEAD, "k", F.col("c").alias("lead_c"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
-    key = [*PRINT, "lead", "k", "salt"]
+    key = [*PRINT, *LEAD, "k", "salt"]
     members = texts.withColumn("salt", F.pmod(F.xxhash64("_id", "_x"), salts).cast("int"))
-    met = members.join(leaders.dropDuplicates(key), key, "left")
+    met = members.join(leaders, key, "left")
     same = F.bool_and(F.col("c").eqNullSafe(F.col("lead_c")))
-    return met.groupBy("_id", "_x", *PRINT, "lead").agg(same.alias("same"))
+    return met.groupBy("_id", "_x", *PRINT, *LEAD).agg(same.alias("same"))
 
 
 def without_copies(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
