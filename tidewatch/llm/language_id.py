@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from tidewatch.llm.tokens import STEP
 
 UNKNOWN = "und"
-#: Bytes of a dictionary, and characters that one document may give to it. They bound what comes to the driver.
+#: Bytes of a dictionary and of all of them; with more languages than 256 each dictionary is smaller, and none is left out.
 DICTIONARY_BYTES = 1 << 17
-SAMPLE_CHARS = 512
-#: Documents drawn per language, and languages learned at most, the largest first.
+ALL_BYTES = 1 << 25
+#: Documents drawn per language at most, and characters that one may give to a dictionary.
 SAMPLE_DOCS = 400
-MOST_LANGUAGES = 200
+SAMPLE_CHARS = 512
+#: Languages whose numbers may be broadcast; those of more are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Characters of a block: short, so that what a text repeats of itself counts little beside the dictionary.
 BLOCK = 128
 LEVEL = 9
@@ -35,21 +37,25 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
 
     A text gives its first SAMPLE_CHARS characters; equal ones of a language count once, however often they are copied. The
     SAMPLE_DOCS of them with the least hashes are drawn, so every language gives at least one. Only the sample is cut;
-    predictions read whole texts. Rows without language or letters are not used, nor are languages beyond the
-    MOST_LANGUAGES largest. No labelled rows, no dictionaries.
+    predictions read whole texts. Every language is learned: its dictionary has DICTIONARY_BYTES, or its part of ALL_BYTES where
+    there are many, and is cut before it comes to the driver. Rows without language or letters are not used. No labelled
+    rows, no dictionaries.
     """
     labelled = docs.filter(docs[lang].isNotNull() & has_letter(docs[text]))
     rows = labelled.select(docs[lang].alias("lang"), F.substring(docs[text], 1, SAMPLE_CHARS).alias("text"))
     rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(2**31)))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("texts"))
-    sizes = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    rate = F.lit(None).cast("double")
-    for r in sizes:  # twice as many as wanted, as the number of texts is an estimate
-        rate = F.when(F.col("lang") == r["lang"], F.lit(2 * SAMPLE_DOCS / max(1, r["texts"]))).otherwise(rate)
-    drawn = rows.filter(F.col("hash") < rate * 2**31).select("lang", "hash", "text").distinct()
-    least = F.slice(F.sort_array(F.collect_list(F.struct("hash", "text"))), 1, SAMPLE_DOCS)
-    sample = drawn.groupBy("lang").agg(least["text"].alias("texts")).collect()
-    parts = {r["lang"]: "\n".join(r["texts"]).encode()[-DICTIONARY_BYTES:] for r in sample}
+    sizes = counts.orderBy(F.desc("n"), "lang").collect()  # one row per language, as many as the model has
+    share = min(DICTIONARY_BYTES, ALL_BYTES // max(1, len(sizes)))
+    wanted = min(SAMPLE_DOCS, max(1, 4 * share // SAMPLE_CHARS))
+    # Twice as many as wanted, as the number of texts is an estimate.
+    rates = docs.sparkSession.createDataFrame([(r["lang"], 2 * wanted / max(1, r["texts"]) * 2**31) for r in sizes], "lang string, below double")
+    rates = F.broadcast(rates) if len(sizes) <= BROADCAST_LANGUAGES else rates
+    drawn = rows.join(rates, "lang").filter("hash < below").select("lang", "hash", "text").distinct()
+    least = F.slice(F.sort_array(F.collect_list(F.struct("hash", "text"))), 1, wanted)
+    joined = drawn.groupBy("lang").agg(F.encode(F.array_join(least["text"], "\n"), "utf-8").alias("all"))
+    ends = F.when(F.octet_length("all") > share, F.substring("all", -share, share)).otherwise(F.col("all"))
+    parts = {r["lang"]: bytes(r["end"]) for r in joined.select("lang", ends.alias("end")).collect()}
     return {r["lang"]: parts[r["lang"]] for r in sizes if r["lang"] in parts}
 
 
@@ -94,7 +100,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], t
     """``keep`` and (lang_pred, score, rejected) of every whole text; no shuffle.
 
     A null text or one without letters is ``und`` with score 0 and rejected, as are all when nothing was learned. Ties go to
-    the more frequent language. Columns not in ``keep`` are not read.
+    the more frequent language. A long text is read a block at a time; repeated rows are predicted each; an empty table
+    gives no rows. Columns not in ``keep`` are not read; a name in ``keep`` must not be that of a column added here.
     """
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
