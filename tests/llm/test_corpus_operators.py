@@ -95,7 +95,7 @@ def test_fingerprints_compose(spark, docs):
     for byte in data.tolist():
         plain = (plain * hasher.base + byte) % hasher.prime
     assert hasher(data)[0] == plain
-    small, whole = (exact_dedup.fingerprints(docs, c, spread=c == 5).drop("row") for c in (5, 1 << 16))
+    small, whole = (exact_dedup.fingerprints(docs, c).drop("row") for c in (5, 1 << 16))
     assert Counter(small.collect()) == Counter(whole.collect())
 
 
@@ -114,11 +114,64 @@ def test_colliding_fingerprints_are_told_apart(spark, docs, rows, monkeypatch):
     assert Counter((r.doc_id, r.group_size) for r in got.collect()) == Counter((i, len(g)) for g in groups.values() for i in g)
 
 
+def test_colliding_texts_of_one_doc_id_are_told_apart(spark, monkeypatch):
+    """Two texts under one id and copies of both under others, all with one fingerprint: four groups of their own texts."""
+    real = exact_dedup.fingerprints
+
+    def weak(*args, **options):
+        return real(*args, **options).withColumns({"f0": F.lit(1).cast("bigint"), "f1": F.lit(2).cast("bigint")})
+
+    monkeypatch.setattr(exact_dedup, "fingerprints", weak)
+    data = [(7, "text a"), (7, "text b"), (3, "text a"), (4, "text b"), (9, "text c"), (7, "text b"), (5, "x" * 9 + "y" * 9), (5, "y" * 9 + "x" * 9), (6, "x" * 9 + "y" * 9)]
+    frame = spark.createDataFrame([(i, t, "en", "a", 1, 1, "x", 2, 3) for i, t in data], SCHEMA).repartition(3)
+    want = Counter()
+    for i, t in data:
+        group = [j for j, u in data if u == t]
+        want[(i, max(group), len(group))] += 1
+    got = exact_dedup.exact_groups(frame, 4).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
+    kept = exact_dedup.without_copies(frame, 4).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter({max((p for p in data if p[1] == t), key=lambda p: p[0]): 1 for _, t in data})
+
+
+def test_chunks_of_long_texts_are_dealt(spark):
+    """A text of many chunks is hashed by several tasks."""
+    frame = spark.createDataFrame([(1, "abcd" * 500, "en", "a", 1, 1, "x", 2, 3)], SCHEMA)
+    plan = exact_dedup.fingerprints(frame, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [row" in plan
+
+
 def sets_of(text):
     found = (text or "").lower().split()
     return found, {tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))} if found else set()
 
 
+def plain_schedule(weights):
+    """Earliest deadline first with a counter per source."""
+    period, given, slots = sum(weights.values()), dict.fromkeys(sorted(weights), 0), defaultdict(list)
+    for t in range(period):
+        ready = [(-(-(k + 1) * period // weights[s]), s) for s, k in given.items() if k * period // weights[s] <= t]
+        if ready:
+            _, s = min(ready)
+            given[s] += 1
+            slots[s].append(t)
+    return dict(slots)
+
+
+@pytest.mark.parametrize("weights", [{"a": 1}, {"a": 3, "b": 3, "c": 2, "": 5}, {f"s{i}": 1 + i % 4 for i in range(60)}, {f"s{i:02d}": 1 for i in range(40)}])
+def test_schedule(spark, weights, monkeypatch):
+    monkeypatch.setattr(mixing, "SEGMENT", 7)
+    got = mixing.schedule(spark.createDataFrame(list(weights.items()), "source string, parts bigint")).collect()
+    assert {r["source"]: r["slots"] for r in got} == plain_schedule(weights)
+    assert all(r["parts"] == weights[r["source"]] and r["period"] == sum(weights.values()) for r in got)
+
+
+def test_schedule_of_very_many_sources(spark):
+    weights = spark.range(20_000).select(F.format_string("s%06d", "id").alias("source"), (1 + F.col("id") % 3).alias("parts"))
+    got = mixing.schedule(weights).agg(F.count("*"), F.sum(F.size("slots")), F.max("period")).first()
+    assert tuple(got) == (20_000, 20_000 + 19_999, 39_999)
+
+
 @pytest.mark.parametrize("slice_classes", [2, ngram_join.SLICE_CLASSES])
 def test_near_groups(spark, slice_classes, monkeypatch):
     monkeypatch.setattr(ngram_join, "SLICE_CLASSES", slice_classes)
@@ -271,6 +324,40 @@ def test_token_files(spark, docs, rows):
     assert Counter(map(tuple, got)) == want
 
 
+def test_token_files_are_read_by_as_many_tasks(spark):
+    """Every file is read in a task of its own, and nothing is broadcast or joined to what is read."""
+    wide = spark.createDataFrame([(i // 40, f"text {i} " * 300, "en", "a", 1, 1, "x", 2, 3) for i in range(400)], SCHEMA)
+    folder = scratch_path(spark, "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = materialise(token_ids.write_token_files(wide, folder, BYTE, 2), "files")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 2
+    read = token_ids.read_token_files(files, folder)
+    assert read.select(F.spark_partition_id().alias("p")).distinct().count() == files.count()
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_a_doc_id_of_many_rows_is_cut(spark):
+    """Rows without a doc_id go to several files and still come back in order."""
+    rows = [(None, f"{i:04d} text " * 50, "en", "a", 1, 1, "x", 2, 3) for i in range(300)]
+    folder = scratch_path(spark, "ids")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = materialise(token_ids.write_token_files(spark.createDataFrame(rows, SCHEMA), folder, BYTE, 2), "files")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 2
+    got = sorted((r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_ids.read_token_files(files, folder).collect())
+    start = 0
+    for (at, n, sum_), row in zip(got, sorted(rows, key=lambda r: r[1]), strict=True):
+        ids = ids_of(BYTE, row[1], 2)
+        assert (at, n, sum_) == (start, len(ids), crc(ids))
+        start += n
+
+
 @pytest.mark.parametrize("bits", [1, 3, 15, 16, 17, 32])
 def test_bits(bits):
     ids = np.random.RandomState(bits).randint(0, 2**bits, 1001, dtype=np.uint64).astype(np.uint32)
@@ -318,6 +405,22 @@ def test_token_counts(docs, rows):
     assert half == {s: sorted(mine)[-(-len(mine) // 2) - 1] for s, mine in lengths.items()}
 
 
+def test_shards_balance(spark):
+    """Shards of the operator itself: differencing leaves them closer than dealing whole groups largest first."""
+    rnd = random.Random(9)
+    texts_ = ["x" * int(rnd.paretovariate(1.1) * 40) + str(i) for i in range(3000)] + ["copy " * 30] * 200
+    frame = spark.createDataFrame([(i, t, "en", "a", 1, 1, "x", 2, 3) for i, t in enumerate(texts_)], SCHEMA).repartition(4)
+    sums = Counter()
+    for r in sharding.shard_documents(frame, 6).collect():
+        sums[r["shard"]] += r["size"]
+    assert len(sums) == 6 and sum(sums.values()) == sum(len(t) + 8 for t in texts_)
+    loads = [0] * 6
+    sizes = Counter(texts_)
+    for size in sorted(((len(t) + 8) * n for t, n in sizes.items()), reverse=True):
+        loads[loads.index(min(loads))] += size
+    assert max(sums.values()) - min(sums.values()) <= max(2, max(loads) - min(loads))
+
+
 def test_sharding(docs, rows, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_GROUPS", 6)
     monkeypatch.setattr(sharding, "FAN", 3)

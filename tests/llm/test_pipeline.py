@@ -105,3 +105,60 @@ def test_stages(spark, rows, sf_dir, tmp_path):
         got = done.collect()
         assert Counter(tuple(r[c] for c in shape) for r in got) == pieces
         assert len({r.sequence_id for r in got}) >= -(-sum(r.length for r in got) // 2048)
+
+
+def weighted(spark, tmp_path, texts_of, n):
+    """A folder of documents whose sources have texts of their own, every one unlike the others."""
+    rnd = random.Random(4)
+    rows = []
+    for source, (share, length) in texts_of.items():
+        for _ in range(round(share * n)):
+            rows.append((len(rows), sentence(rnd, length) + f" end{len(rows)}", "en", source))
+    frame = spark.createDataFrame([(*r, len(r[1])) for r in rows], SCHEMA)
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return {r[0]: r[3] for r in rows}
+
+
+def test_the_mixture_shows_in_the_sequences(spark, tmp_path, monkeypatch):
+    """Sequences up to any number hold the sources by their weights; without the mixing stage they would follow doc_id."""
+    monkeypatch.setattr(corpus_pipeline, "MIX_BLOCK", 4096)
+    monkeypatch.setattr(corpus_pipeline.packing, "STRETCH_ROWS", 60)
+    sources = weighted(spark, tmp_path, {"a": (0.7, 120), "b": (0.2, 120), "c": (0.1, 120)}, 900)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = {r["source"]: r["parts"] for r in corpus_pipeline.mixing.damped_weights(docs, corpus_pipeline.MIX_PARTS).collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    stages["mixing"](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    got = stages["best_fit_packing"](spark, mixed, str(tmp_path)).collect()
+    ends = max(r["sequence_id"] for r in got) + 1
+    assert {r["sequence_id"] for r in got} == set(range(ends))
+    filled = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 2048 and Counter(r["doc_id"] for r in got) == Counter(sources.keys())
+    # No source has run out before half of the mixture: c holds 10 % of the bytes and wants 18 %.
+    for share in (0.1, 0.2, 0.3, 0.4):
+        part = Counter()
+        for r in got:
+            if r["sequence_id"] < share * ends:
+                part[sources[r["doc_id"]]] += r["length"]
+        for source, parts in weights.items():
+            assert abs(part[source] / sum(part.values()) - parts / sum(weights.values())) < 0.1, (share, part)
+
+
+def test_mixed_files_hold_the_order(spark, tmp_path, monkeypatch):
+    sources = weighted(spark, tmp_path, {"a": (0.5, 30), "b": (0.5, 60)}, 200)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    weights = corpus_pipeline.mixing.damped_weights(docs, 100)
+    corpus_pipeline.mixing.mixed(docs, weights, 2048).write.parquet(f"{tmp_path}/mixed")
+    placed = corpus_pipeline.mixing.stored_place(spark.read.parquet(f"{tmp_path}/mixed"), "at").orderBy("at").collect()
+    want = corpus_pipeline.mixing.mix(docs, weights, 2048).orderBy("slot", "place").collect()
+    assert [r["doc_id"] for r in placed] == [r["_id"] for r in want] and len(placed) == len(sources)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
