@@ -30,7 +30,7 @@ NO_ID = -(2**63)
 #: Ids of a block.
 BLOCK = 1 << 16
 #: Characters that deal rows of one document id to several files.
-HEAD = 64
+HEAD = 16
 
 WRITTEN = "part int, path string, n_docs bigint, n_ids bigint"
 INDEX = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"

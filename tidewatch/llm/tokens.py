@@ -16,8 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Control characters that are white space only here, and the beginning of special tokens.
-ODD = re.compile(r"[\x1c-\x1f]|<\|")
+#: Control characters that are white space only here, the mark between stretches, and the beginning of special tokens.
+ODD = re.compile(r"[\x01\x1c-\x1f]|<\|")
+#: Fixed value that stands between stretches that are encoded together, where their first ids don't tell them apart.
+MARK = "\x01"
+#: White space before a space, an odd character, or nothing between spaces: in joined stretches a sign of a hard one.
+HARD = re.compile(r"\s |  |\s\Z|\A |[\x01\x1c-\x1f]|<\|")
 #: A stretch: white space, then all up to the next white space.
 STRETCH = re.compile(r"\s*\S+|\s+")
 NEXT_CUT = re.compile(r"(?<=\S)\s")
@@ -46,6 +50,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id begins with a space, in vocabularies that keep spaces; else the id of the mark.
+        self.begins, self.mark = np.zeros(max(vocabulary.values()) + 1, bool), -1
+        self.begins[[i for word, i in vocabulary.items() if word[0] == "\u0120"]] = True
+        if self.begins.sum() < 256:
+            (self.mark,) = self.tokenizer.encode(f" {MARK} ", add_special_tokens=False).ids
         #: Ids of stretches that follow a space, by what follows the space.
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -75,12 +85,17 @@ class Encoder:
             self.new, self.old = {}, self.new
         parts = [text.split(" ") for text in texts]
         heads = [words.pop(0) for words in parts]
-        lacking = set().union(*parts).difference(self.new)
+        here = set().union(*parts)
+        lacking = here.difference(self.new)
         # A part that is empty or ends in white space stands before a longer gap; such texts are cut with more care.
-        hard = {s for s in lacking if not s or s[-1].isspace() or ODD.search(s)}
-        lacking -= hard
+        hard = set()
+        if HARD.search(" ".join(lacking)) or "" in lacking:
+            hard = {s for s in lacking if not s or s[-1].isspace() or ODD.search(s)}
+            lacking -= hard
         self._learn(lacking)
-        ids, out = self.new.__getitem__, []  # the dictionary as it is now, also if a long text below starts a new one
+        # A small dictionary of what occurs here is quicker to ask for every word than the large one.
+        ids = {s: self.new[s] for s in here.difference(hard)}.__getitem__
+        out = []
         for text, head, words in zip(texts, heads, parts, strict=True):
             if not head or head[-1].isspace() or ODD.search(head) or (hard and not hard.isdisjoint(words)):
                 out.append(b"".join(self._slow(text)))
@@ -111,20 +126,26 @@ class Encoder:
 
     def _learn(self, lacking: set[str]) -> None:
         """Put the ids of unknown stretches, each after a space, into the dictionary."""
-        joined = []
-        for s in lacking:
-            if s in self.old:
-                self.new[s] = self.old[s]
-            else:
-                joined.append(s)
+        known = self.old.keys() & lacking
+        self.new.update((s, self.old[s]) for s in known)
+        joined = list(lacking.difference(known))
         if not joined:
             return
-        done = self.tokenizer.encode(" " + " ".join(joined), add_special_tokens=False)
-        data = array("I", done.ids).tobytes()
-        at = np.fromiter((first for first, _ in done.offsets), np.int64, len(done.ids))
-        ends = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)) + 1)
-        cuts = [0, *(4 * np.searchsorted(at, ends)).tolist()]
-        self.new.update(zip(joined, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        if self.mark < 0:
+            done = np.array(self._fast(" " + " ".join(joined)), "<u4")
+            cuts = np.flatnonzero(self.begins[done])
+        else:
+            done = np.array(self._fast(f" {MARK} ".join(["", *joined])), "<u4")
+            marks = done == self.mark
+            cuts = np.flatnonzero(marks) - np.arange(len(joined))
+            done = done[~marks]
+        if len(cuts) != len(joined):
+            raise ValueError("stretches encoded together can't be told apart")
+        data, places = done.tobytes(), [*(4 * cuts).tolist(), 4 * len(done)]
+        self.new.update(zip(joined, [data[a:b] for a, b in zip(places, places[1:], strict=False)], strict=True))
+
+    def _fast(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 def _spans(text: str) -> Iterator[str]:
