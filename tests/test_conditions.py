@@ -124,7 +124,7 @@ def test_latched_fail_of_a_spent_timeout(spark):
 @pytest.fixture(scope="module")
 def files(spark):
     paths = ["/r/a.done", "/r/b.done", "/r/b.txt", "/s/a.done", "/s/step_10.pt", "/s/step_1.pt", "/s/x/step_1.pt"]
-    text = {"/r/a.done": "step=42", "/r/b.done": "no match here"}
+    text = {"/r/a.done": "row-42", "/r/b.done": "no match here"}
     return spark.createDataFrame([(p, text.get(p, "")) for p in paths], "path string, content string")
 
 
@@ -143,7 +143,7 @@ def test_markers(spark, files):
     assert passes(c.GlobExists(pattern="/{dir}/*_{n}.*")) == [False, False, True, False]
     assert passes(c.GlobExists(pattern="/{dir}/*[{n}].done")) == [True, True, False, False]
     assert passes(c.GlobExists(pattern="/{dir}/[!{n}]*")) == [True, True, True, False]
-    assert passes(c.FileContent(path="/{dir}/{n}.done", pattern=r"step=\d+", mode="regex")) == [True, False, False, False]
+    assert passes(c.FileContent(path="/{dir}/{n}.done", pattern=r"row-\d+", mode="regex")) == [True, False, False, False]
     assert passes(c.FileContent(path="/{dir}/b.done", pattern="match")) == [True, True, False, False][:1] + [False] * 3
     both = c.And(c.FileExists(path="/{dir}/{n}.done"), c.Not(condition=c.FileExists(path="/{dir}/b.txt")))
     assert passes(both) == [False, True, False, False]

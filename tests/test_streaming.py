@@ -138,3 +138,76 @@ def test_a_stream_reads_a_file_and_a_table_of_several_files(spark, tmp_path):
     file = next(str(p) for p in (tmp_path / "one").glob("part-*.parquet"))
     for table in (file, many):
         assert streaming.drain(spark, streaming.read_stream(spark, table), "ids").count() == 40
+
+
+def test_a_mark_ends_a_feed(spark, tmp_path):
+    """No row of another key is needed for the last rows to come out, and the same whatever the files."""
+    rng = random.Random(5)
+    rows = [(f"k{i % 4}", 1_000_000 * i, i, rng.choice(["a", "b", None])) for i in range(60)]
+    schema = "runtime_job_id string, us long, seq long, status string"
+    want = {(r.runtime_job_id, r.seq, r.old_status, r.new_status) for r in status_changes(spark.createDataFrame(rows, schema), order=["us", "seq"]).collect()}
+    for files in (1, 5):
+        src = str(tmp_path / f"in{files}")
+        for part in range(files):
+            write(spark, rows[part::files], schema, src)
+        feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        marks = streaming.marks_folder(spark)
+        done = streaming.drain(spark, streaming.stream_transitions(feed, "10 minutes", marks), "t", marks=marks, late="10 minutes")
+        assert {(r.runtime_job_id, r.seq, r.old_status, r.new_status) for r in done.collect()} == want
+
+
+def test_an_empty_feed_has_no_mark(spark, tmp_path):
+    schema, src = "job_id string, ts timestamp_ntz", str(tmp_path / "in")
+    write(spark, [], schema, src)
+    marks = streaming.marks_folder(spark)
+    feed = spark.readStream.schema(schema).parquet(src)
+    assert streaming.drain(spark, streaming.stream_timeouts(feed, "job_id", 60, marks=marks), "none", marks=marks).collect() == []
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """A status that comes back after a long silence is a change from nothing; a timeout starts anew."""
+    schema, src = "runtime_job_id string, us long, seq long, status string", str(tmp_path / "in")
+    second = 1_000_000
+    write(spark, [("k", 10 * second, 1, "a"), ("k", 20 * second, 2, "a"), ("k", 500 * second, 3, "a"), ("k", 505 * second, 4, "b")], schema, src)
+    feed = spark.readStream.schema(schema).parquet(src)
+    marks = streaming.marks_folder(spark)
+    done = streaming.drain(spark, streaming.stream_transitions(feed, "1 second", marks, forget=100), "t", marks=marks, late="1 second").collect()
+    assert sorted((r.seq, r.old_status, r.new_status) for r in done) == [(1, None, "a"), (3, None, "a"), (4, "a", "b")]
+
+    src = str(tmp_path / "timed")
+    for at_ in ([0, 5], [400], [401], [900], [1500]):
+        write(spark, [("a", at(x)) for x in at_], "job_id string, ts timestamp_ntz", src)
+    feed = spark.readStream.schema("job_id string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(src)
+    marks = streaming.marks_folder(spark)
+    told = streaming.drain(spark, streaming.stream_timeouts(feed, "job_id", 60, late="1 second", marks=marks, forget=30), "to", marks=marks, late="1 second")
+    base = int(EPOCH.replace(tzinfo=datetime.timezone.utc).timestamp())
+    assert sorted(r.since_us // second - base for r in told.collect()) == [0, 400, 900]
+
+
+def test_a_stream_goes_on_from_the_end_of_a_batch(spark, tmp_path, chunks):
+    hits = match_triggers(spark.createDataFrame(chunks, LOG_CHUNKS), SPEC.log_rules, payload=False)
+    rows = lc.trigger_rows(hits, SPEC)
+    want = decisions(lc.replay_fold(rows, SPEC).filter("evaluated"))
+    half = F.col("chunk_seq") < 14
+    first = lc.replay_fold(rows.filter(half), SPEC).filter("evaluated")
+    states = lc.end_states(first, SPEC)
+    second = lc.replay_fold(rows.filter(~half), SPEC, initial=states).filter("evaluated")
+    assert decisions(first) | decisions(second) == want
+
+    src = str(tmp_path / "in")
+    write(spark, [r for r in chunks if r[1] >= 14], LOG_CHUNKS, src)
+    late_rows = lc.trigger_rows(match_triggers(stream_chunks(spark, src), SPEC.log_rules, payload=False), SPEC)
+    marks = streaming.marks_folder(spark)
+    stream = streaming.job_decisions(late_rows, SPEC, "1 minute", marks, initial=states)
+    got = decisions(streaming.drain(spark, stream, "jobs", marks=marks, late="1 minute").filter("evaluated"))
+    assert decisions(first) | got == want
+
+
+def test_end_states_of_two_runs_are_those_of_one(spark, chunks):
+    rows = lc.trigger_rows(match_triggers(spark.createDataFrame(chunks, LOG_CHUNKS), SPEC.log_rules, payload=False), SPEC)
+    whole = lc.end_states(lc.replay_fold(rows, SPEC), SPEC)
+    half = F.col("chunk_seq") < 9
+    first = lc.end_states(lc.replay_fold(rows.filter(half), SPEC), SPEC)
+    second = lc.end_states(lc.replay_fold(rows.filter(~half), SPEC, initial=first), SPEC, earlier=first)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, second.collect()))
+    assert any(m["latch"] is False for r in whole.collect() for m in r["memory"])

@@ -6,11 +6,12 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.operators.fold import Kernel, ordered_fold
+from tidewatch.operators.fold import Kernel, Steps, ordered_fold
 
 
 class CooldownKernel(Kernel):
@@ -35,10 +36,21 @@ class CooldownKernel(Kernel):
             out["fired"].extend(fired)
         return state
 
-    def reduce(self, state: Any, first: dict[str, Any]) -> tuple[Any, Any]:
-        if state is not None and int(first["__us"]) - state >= self.micros:
-            return None, None
-        return state, None
+    def transfer(self, cols: dict[str, np.ndarray]) -> Steps:
+        """The last firing of a run of rows by the last one before it.
+
+        An entry decides which row fires first, and from there each firing decides the next; where a chain ends follows for
+        all rows at once by doubling the steps. Only rows within a cooldown of the first can be the first to fire.
+        """
+        times = cols["__us"]
+        n = len(times)
+        index = np.arange(n)
+        following = np.maximum(np.searchsorted(times, times + self.micros), index + 1)
+        ends = np.where(following < n, following, index)
+        while not np.array_equal(further := ends[ends], ends):
+            ends = further
+        firsts = slice(0, int(np.searchsorted(times - self.micros, times[0])) + 1)
+        return Steps((times - self.micros)[firsts], times[ends][firsts])
 
 
 def cooldown_firings(

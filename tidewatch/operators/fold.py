@@ -9,21 +9,30 @@ partition border has state to hand on, so one small entry per partition describe
    turns out wrong is folded again. States that behave alike count as equal (``Kernel.reduce``), which makes most
    guesses right; when they keep failing, only the partition whose entry is certain is folded;
 3. the last pass folds every partition from its proven entry state and gives the output rows.
+
+A kernel that can describe a partition as a function from entry to exit state (``Kernel.transfer``) needs no guesses in 2.:
+the functions are written, composed in groups of consecutive partitions, and evaluated along the groups and then inside
+them. That takes the same few jobs however many partitions a key runs over and whatever its rows are.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewatch.session import shared_dir
+from tidewatch.session import materialise, shared_dir
 
 # Rounds in which every open partition is guessed at, before folding only the certain one.
 GUESS_ROUNDS = 6
@@ -56,6 +65,35 @@ class Kernel:
         """Where ``entry`` may lead, given that the same rows led from state ``other`` to ``end``."""
         return end
 
+    #: ``transfer`` gives the function of a run of rows of one key; states are then whole numbers or None.
+    transfer: Callable[[dict[str, np.ndarray]], Steps] | None = None
+
+
+@dataclass(frozen=True)
+class Steps:
+    """A function of an entry state: up to ``breaks[i]`` (ascending) it is ``exits[i]``; above all breaks it is the entry itself.
+
+    The state before any row, None, is below all breaks.
+    """
+
+    breaks: np.ndarray
+    exits: np.ndarray
+
+    def __call__(self, entries: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.breaks, entries)
+        inside = at < len(self.breaks)
+        return np.where(inside, self.exits[np.where(inside, at, 0)] if len(self.exits) else entries, entries)
+
+    def then(self, after: Steps) -> Steps:
+        """This function, then ``after``. Equal neighbours become one, so what rows forget costs nothing further on."""
+        beyond = after.breaks > self.breaks[-1] if len(self.breaks) else np.ones(len(after.breaks), bool)
+        breaks = np.concatenate([self.breaks, after.breaks[beyond]])
+        return Steps(breaks, np.concatenate([after(self.exits), after.exits[beyond]])).merged()
+
+    def merged(self) -> Steps:
+        last = np.append(self.exits[1:] != self.exits[:-1], True)[: len(self.exits)]
+        return Steps(self.breaks[last], self.exits[last])
+
 
 def _columns(batch: pa.RecordBatch, kernel: Kernel, numeric: set[str]) -> dict[str, Any]:
     found = {name: batch.column(batch.schema.get_field_index(name)) for name in ("__key", "__pid", *kernel.needs)}
@@ -176,6 +214,98 @@ def _resolve(kernel: Kernel, parts: list[int], reports: dict[int, dict], fold) -
     return entries
 
 
+#: Fixed value that stands for the state None in a function.
+_NONE = -(2**63)
+_FUNCTIONS = "chain int, part int, pid int, breaks binary, exits binary"
+
+
+def _state(number: int) -> int | None:
+    return None if number == _NONE else number
+
+
+def _functions(kernel: Kernel, places: dict[int, tuple[int, int]]):
+    """The function of each partition that lies inside a key, from all its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, columns = None, {name: [] for name in kernel.needs}
+        for batch in batches:
+            if batch.num_rows and (pid := batch.column(0)[0].as_py()) in places:
+                for i, name in enumerate(kernel.needs):
+                    columns[name].append(batch.column(i + 1).to_numpy(zero_copy_only=False))
+        if pid in places:
+            found = kernel.transfer({name: np.concatenate(parts) for name, parts in columns.items()}).merged()
+            yield _function_row(*places[pid], pid, found)
+
+    return run
+
+
+def _function_row(chain: int, part: int, pid: int, steps: Steps) -> pa.RecordBatch:
+    numbers = {k: pa.array([v], pa.int32()) for k, v in (("chain", chain), ("part", part), ("pid", pid))}
+    arrays = {k: pa.array([v.astype("<i8").tobytes()], pa.binary()) for k, v in (("breaks", steps.breaks), ("exits", steps.exits))}
+    return pa.RecordBatch.from_pydict(numbers | arrays)
+
+
+def _read_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, Steps]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            chain, part, pid, breaks, exits = (batch.column(j)[i].as_py() for j in range(5))
+            yield chain, part, pid, Steps(np.frombuffer(breaks, "<i8"), np.frombuffer(exits, "<i8"))
+
+
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One function per (chain, part), of its partitions in order."""
+    for (chain, part), rows in groupby(_read_functions(batches), key=lambda r: r[:2]):
+        yield _function_row(chain, part, -1, reduce(Steps.then, (steps for *_, steps in rows)))
+
+
+def _walk(entries: dict[Any, int], by: int):
+    """Entry and exit of every function along the groups named by the first ``by`` numbers of a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, rows in groupby(_read_functions(batches), key=lambda r: r[:by]):
+            state = np.array([entries[group]], np.int64)
+            for chain, part, pid, steps in rows:
+                after = steps(state)
+                numbers = {k: pa.array([v], pa.int32()) for k, v in (("chain", chain), ("part", part), ("pid", pid))}
+                yield pa.RecordBatch.from_pydict(numbers | {"entry": pa.array(state), "exit": pa.array(after)})
+                state = after
+
+    return run
+
+
+def _evaluated(kernel: Kernel, frame: DataFrame, parts: list[int], reports: dict[int, dict]) -> dict[int, Any]:
+    """Entry states by composed functions; the same jobs however long a key's run of partitions is."""
+    follows = {pid for before, pid in zip(parts, parts[1:]) if reports[before]["last"] == reports[pid]["first"]}
+    chains: list[list[int]] = []
+    for before, pid in zip([None, *parts], parts):
+        if pid in follows and reports[pid]["single"]:
+            if chains and chains[-1][-1] == before:
+                chains[-1].append(pid)
+            else:
+                chains.append([pid])
+    exits = {pid: report["exit"] for pid, report in reports.items()}
+    entries: dict[int, Any] = {}
+    if chains:
+        previous = dict(zip(parts[1:], parts))
+        places = {}
+        for number, chain in enumerate(chains):
+            size = math.isqrt(len(chain) - 1) + 1
+            places |= {pid: (number, i // size) for i, pid in enumerate(chain)}
+        first = {(number,): exits[previous[chain[0]]] for number, chain in enumerate(chains)}
+        first = {k: _NONE if v is None else v for k, v in first.items()}
+        functions = materialise(frame.select("__pid", *kernel.needs).mapInArrow(_functions(kernel, places), _FUNCTIONS), "functions")
+        dealt = functions.repartition("chain", "part").sortWithinPartitions("chain", "part", "pid")
+        whole = dealt.mapInArrow(_compose, _FUNCTIONS).repartition("chain").sortWithinPartitions("chain", "part")
+        shape = "chain int, part int, pid int, entry bigint, exit bigint"
+        starts = {(r.chain, r.part): r.entry for r in whole.mapInArrow(_walk(first, 1), shape).collect()}
+        for r in dealt.mapInArrow(_walk(starts, 2), shape).collect():
+            entries[r.pid], exits[r.pid] = _state(r.entry), _state(r.exit)
+    for before, pid in zip(parts, parts[1:]):
+        if pid in follows:
+            entries[pid] = exits[before]
+    return entries
+
+
 def ordered_fold(
     rows: DataFrame, key: str, order: Sequence[str], kernel: Kernel, partitions: int | None = None
 ) -> DataFrame:
@@ -200,13 +330,16 @@ def ordered_fold(
         found = narrow.mapInArrow(_summarise(kernel, numeric, entries), "pid int, report string").collect()
         return {r.pid: json.loads(r.report) for r in found}
 
+    schema = T.StructType([*rows.schema.fields, *kernel.outputs.fields])
     reports = reports_for(sorted_rows, {})
     parts = sorted(reports)
+    if kernel.transfer is not None:
+        entries = _evaluated(kernel, sorted_rows, parts, reports)
+        return sorted_rows.mapInArrow(_emit(kernel, numeric, entries, rows.columns), schema)
 
     def fold_again(asked: dict[int, Any]) -> dict[int, Any]:
         some = sorted_rows.filter(F.col("__pid").isin(list(asked)))
         return {pid: report["exit"] for pid, report in reports_for(some, asked).items()}
 
     entries = _resolve(kernel, parts, reports, fold_again)
-    schema = T.StructType([*rows.schema.fields, *kernel.outputs.fields])
     return sorted_rows.mapInArrow(_emit(kernel, numeric, entries, rows.columns), schema)

@@ -6,6 +6,7 @@ remembered state need no fold and are answered by aggregates and short windows (
 
 from __future__ import annotations
 
+import json
 from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -311,10 +312,118 @@ class LifecycleKernel(Kernel):
         }
 
 
+# What a job takes from one run to the next: see ``end_states``.
+END_STATES = T.StructType(
+    [
+        T.StructField("attempts", T.IntegerType()),
+        T.StructField("submitted", T.BooleanType()),
+        T.StructField("outcome", T.StringType()),
+        T.StructField(
+            "memory",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("gate", T.StringType()),
+                        T.StructField("started", T.LongType()),
+                        T.StructField("last", T.LongType()),
+                        T.StructField("latch", T.BooleanType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
+
+
+class ResumedKernel(LifecycleKernel):
+    """Jobs begin where ``first_state``, a JSON text of END_STATES, says; without one they begin afresh."""
+
+    needs = (*LifecycleKernel.needs, "first_state")
+
+    def run(self, state: Any, cols: dict[str, Any], lo: int, hi: int, out: dict[str, list] | None) -> Any:
+        if state is None and cols["first_state"][lo]:
+            held = json.loads(cols["first_state"][lo])
+            memory = {m["gate"]: [m.get("started"), m.get("last"), m.get("latch")] for m in held.get("memory", [])}
+            state = {"a": held["attempts"], "s": held["submitted"], "o": held.get("outcome"), "c": None, "m": memory}
+        return super().run(state, cols, lo, hi, out)
+
+
 def _first(*values: Any) -> Any:
     return next((value for value in values if value is not None), None)
 
 
+def end_states(replayed: DataFrame, spec: Spec, earlier: DataFrame | None = None) -> DataFrame:
+    """Where each job stands after a replay: job_id and END_STATES, to start a later replay or a stream from.
+
+    ``replayed`` are evaluated rows, as from ``replay``; ``earlier`` the states that replay started from. Aggregates only: a gate
+    was first evaluated at its first evaluated row and last fired at its last fired one, and a latch follows from which
+    evaluations passed. A job without evaluated rows has its earlier state or none. The next run has to begin with a
+    new chunk of the job. A latch of a start condition can't be told from rows and is refused.
+    """
+    start = spec.gates["start"]
+    if start.persistent_pass or start.persistent_fail:
+        raise ValueError("a latched start condition leaves no trace in the rows")
+    rows = replayed.filter("evaluated")
+    place = F.struct(*REPLAY_ORDER)
+    restarts = [int(key.split(":")[1]) for key, effect in spec.effects.items() if effect == "restart"]
+    restarted = (F.col("kind") == LOG_TRIGGER) & F.col("rule_idx").isin(restarts) & F.col("fired")
+    decided = F.col("kind") == DECISION
+    submits = restarted | decided & F.col("fired") & F.col("outcome").isNull()
+    waits = F.min(F.when(restarted & ~F.col("flag"), place))
+    jobs = rows.groupBy("job_id").agg(
+        F.max("attempts").alias("attempts"),
+        F.max_by(F.when(submits, F.col("flag")), F.when(submits, place)).alias("submitted"),
+        F.max("outcome").alias("outcome"),
+        waits.alias("waits"),
+    )
+    memory = [
+        _gate_memory(rows.filter((F.col("kind") == int(key.split(":")[0])) & (F.col("rule_idx") == int(key.split(":")[1]))), key, gate, place)
+        for key, gate in spec.gates.items()
+        if key not in LABELS and gate.tree is not None
+    ]
+    asked = rows.filter(decided)
+    memory += [_gate_memory(asked.withColumn("fired", F.lit(False)), key, spec.gates[key], place) for key in ("cancel", "finish") if spec.gates[key].tree is not None]
+    if start.tree is not None:
+        late = F.lit(True) if not spec.submitted else F.col("waits").isNotNull() & (place > F.col("waits"))
+        memory.append(_gate_memory(asked.join(jobs.select("job_id", "waits"), "job_id").filter(late).withColumn("fired", F.lit(False)), "start", start, place))
+    jobs = jobs.drop("waits").withColumn("run", F.lit(1))
+    shape = END_STATES["memory"].dataType.elementType
+    gates = replayed.sparkSession.createDataFrame([], T.StructType([T.StructField("job_id", replayed.schema["job_id"].dataType), *shape, T.StructField("run", T.IntegerType())]))
+    for part in memory:
+        gates = gates.unionByName(part.withColumn("run", F.lit(1)))
+    if earlier is not None:
+        jobs = jobs.unionByName(earlier.select("job_id", "attempts", "submitted", "outcome", F.lit(0).alias("run")))
+        gates = gates.unionByName(earlier.select("job_id", F.inline("memory")).withColumn("run", F.lit(0)))
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("run"))
+    gates = gates.groupBy("job_id", "gate").agg(
+        F.min_by("started", known("started")).alias("started"), F.max_by("last", known("last")).alias("last"), F.min_by("latch", known("latch")).alias("latch")
+    )
+    # As many as the definition has gates.
+    held = gates.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct(*shape.names))).alias("memory"))
+    jobs = jobs.groupBy("job_id").agg(F.max("attempts").alias("attempts"), F.max_by("submitted", known("submitted")).alias("submitted"), F.max("outcome").alias("outcome"))
+    return jobs.join(held, "job_id", "left").select(
+        "job_id",
+        F.col("attempts").cast("int").alias("attempts"),
+        F.coalesce("submitted", F.lit(spec.submitted)).alias("submitted"),
+        "outcome",
+        F.coalesce("memory", F.array().cast(END_STATES["memory"].dataType)).alias("memory"),
+    )
+
+
+def _gate_memory(rows: DataFrame, key: str, gate: Gate, place: Column) -> DataFrame:
+    """(job_id, gate, started, last, latch) of one gate from its evaluated rows; ``fired`` says that it passed."""
+    if gate.persistent_pass and gate.persistent_fail:
+        latch = F.min_by("fired", place)
+    elif gate.persistent_pass:
+        latch = F.when(F.bool_or("fired"), True)
+    else:
+        latch = F.when(~F.bool_and("fired"), False) if gate.persistent_fail else F.lit(None).cast("boolean")
+    last = F.max_by(F.when(F.col("fired"), F.col("us")), F.when(F.col("fired"), place))
+    # Times may go back along the rows; what counts is the first and the last of them.
+    found = rows.groupBy("job_id").agg(F.min_by("us", place).alias("started"), last.alias("last"), latch.alias("latch"))
+    return found.select("job_id", F.lit(key).alias("gate"), "started", "last", "latch")
+
+
 def held_leaves(gate: Gate, scope: Scope, offset: int = 0) -> Column:
     """Numbers of the gate's leaves that hold."""
     return numbers_of([(offset + i, leaf.compile(scope)[0]) for i, leaf in enumerate(gate.leaves)])
@@ -384,9 +493,16 @@ def poll_rows(polls: DataFrame, spec: Spec, scope: Scope | None = None) -> DataF
 REPLAY_ORDER = ("chunk_seq", "kind", "rule_idx", "match_seq")
 
 
-def replay_fold(rows: DataFrame, spec: Spec, partitions: int | None = None) -> DataFrame:
-    """Exact replay: ``rows`` with evaluated, fired, attempts and outcome."""
-    return ordered_fold(rows, "job_id", REPLAY_ORDER, LifecycleKernel(spec), partitions)
+def replay_fold(rows: DataFrame, spec: Spec, partitions: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Exact replay: ``rows`` with evaluated, fired, attempts and outcome.
+
+    ``initial``, as from ``end_states``, says where jobs stand before their first row.
+    """
+    if initial is None:
+        return ordered_fold(rows, "job_id", REPLAY_ORDER, LifecycleKernel(spec), partitions)
+    states = initial.select("job_id", F.to_json(F.struct(*END_STATES.names)).alias("first_state"))
+    resumed = rows.join(states, "job_id", "left")
+    return ordered_fold(resumed, "job_id", REPLAY_ORDER, ResumedKernel(spec), partitions).drop("first_state")
 
 
 def plan_kind(spec: Spec) -> str:

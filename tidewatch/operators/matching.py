@@ -146,6 +146,11 @@ def _jvm_patterns(pattern: pd.Series, kind: pd.Series) -> pd.Series:
     return pd.Series([to_jvm(p) if k == "regex" else quote(p) for p, k in zip(pattern, kind)])
 
 
+@F.pandas_udf(T.StringType())
+def _needed_literals(pattern: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([required_literal(p) if k == "regex" else p for p, k in zip(pattern, kind)])
+
+
 def match_registry_rules(
     chunks: DataFrame,
     rules: DataFrame,
@@ -162,7 +167,8 @@ def match_registry_rules(
     Jobs mostly share a few patterns. While the distinct ones are few they are matched as literals in one
     map-only pass and the narrow hits meet the rule table afterwards; if the jobs are few enough to send, a chunk is
     only searched for its own job's patterns. With many patterns, each chunk meets its own job's rules, held in one array,
-    and is searched for them within its row, so text moves once at most. Both plans give the same rows: a missing
+    and is searched for them within its row, so text moves once at most. Rules whose longest necessary piece the text does not
+    hold are passed over before their regex is looked at, so a row compiles few of its job's patterns. Both plans give the same rows: a missing
     ``pattern_type`` is substring, a missing ``match_once`` true, rules without a pattern never match.
     """
     shape = ["pattern", "pattern_type", "match_once", *(["groups"] if payload else [])]
@@ -217,7 +223,8 @@ def match_registry_rules(
     ready = wanted.withColumn("jvm", F.when(F.col("pattern_type") == "regex", _jvm_patterns("pattern", "pattern_type")))
     if payload:
         ready = ready.withColumn("groups", _group_numbers("pattern", "pattern_type", "groups"))
-    rule = F.struct("rule_idx", "rule_name", "pattern", "jvm", "match_once", *(["groups"] if payload else []), *names)
+    ready = ready.withColumn("needed", _needed_literals("pattern", "pattern_type"))
+    rule = F.struct("rule_idx", "rule_name", "pattern", "jvm", "needed", "match_once", *(["groups"] if payload else []), *names)
     own = ready.groupBy("job_id").agg(F.collect_list(rule).alias("__rules"))
     text = F.col("text")
 
@@ -233,7 +240,8 @@ def match_registry_rules(
             fields += [r["rule_metadata"].alias("rule_metadata"), _group_values(text, r, matches).alias("g")]
         return F.struct(*fields)
 
-    hits = F.filter(F.transform("__rules", found), lambda r: F.size(r["m"]) > 0)
+    possible = F.filter("__rules", lambda r: r["needed"].isNull() | F.contains(text, r["needed"]))
+    hits = F.filter(F.transform(possible, found), lambda r: F.size(r["m"]) > 0)
     narrow = new_text.join(own, "job_id").select("job_id", *keep, F.inline(hits))
     kept = ["job_id", *keep, "rule_idx", "rule_name"]
     if not payload:

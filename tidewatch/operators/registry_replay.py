@@ -227,6 +227,8 @@ def replay_registry(
     batches = _batches(jobs)
     if batches == 1:
         return _replay_batch(jobs, chunks, polls, markers, changes, partitions, hits)
+    # Text is searched once, whatever the number of batches.
+    hits = materialise(registry_hits(jobs, chunks), "registry-hits") if hits is None else hits
     dealt = jobs.withColumn("__batch", F.pmod(F.xxhash64(F.to_json(F.struct(*STEERING))), F.lit(batches)))
     done = []
     for batch in range(batches):

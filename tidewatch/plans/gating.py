@@ -11,6 +11,8 @@ from tidewatch.operators.cooldown import cooldown_firings
 from tidewatch.operators.lifecycle import action_state, attempt_numbers, decide
 from tidewatch.operators.rules import LogRule
 from tidewatch.plans.tables import JOBS_SQL, jobs, markers, query, table
+from tidewatch.session import scratch_path
+from tidewatch.sources.markers import read_markers
 
 ORDER = ["ts", "event_id"]
 DAY = 86400.0
@@ -333,3 +335,19 @@ def lifecycle_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
         status=F.col("last_status"),
     )
     return jobs(spark, sf_dir).join(items, "job_id", "left").select("job_id", decision.alias("decision"))
+
+
+@query(
+    "marker_source",
+    """SELECT CAST(page_id % 40 AS VARCHAR) AS marker, md5(string_agg(html || chr(10), '' ORDER BY page_id)) AS content_md5,
+      CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes FROM pages GROUP BY 1""",
+)
+def marker_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as forty marker files, found below a folder and read with their content."""
+    folder = scratch_path(spark, "markers")
+    pages = table(spark, sf_dir, "pages").withColumn("marker", F.col("page_id") % 40)
+    pages.repartition("marker").sortWithinPartitions("marker", "page_id").select("marker", "html").write.partitionBy("marker").text(folder)
+    found = read_markers(spark, folder)
+    return found.select(
+        F.regexp_extract("path", "marker=([0-9]+)/", 1).alias("marker"), F.md5("content").alias("content_md5"), F.octet_length("content").cast("bigint").alias("n_bytes")
+    )

@@ -9,6 +9,8 @@ from tidewatch.operators.actions import Action, action_results, job_requests
 from tidewatch.operators.matching import match_registry_rules, match_triggers
 from tidewatch.operators.rules import LogRule, active
 from tidewatch.plans.tables import document_chunks, query, sql_text, table, turn_chunks
+from tidewatch.session import scratch_path
+from tidewatch.sources import tail
 from tidewatch.sources.logs import log_increments
 from tidewatch.sources.sinks import message_rows
 
@@ -157,6 +159,38 @@ def log_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes of a range: small, so that the files here are cut into several.
+RANGE_BYTES = 1 << 16
+
+
+@query(
+    "log_increment_files",
+    """WITH d AS (SELECT coalesce(source, 'none') AS source, doc_id, coalesce(text, '') AS text, doc_id * 2 >= max(doc_id) OVER () AS fresh FROM documents),
+    lines AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM d WHERE fresh),
+    sums AS (SELECT source, count(*) AS new_lines, CAST(sum(strlen(line) + 1) AS BIGINT) AS new_bytes,
+      CAST(sum(CAST('0x' || substr(md5(line), 1, 8) AS BIGINT)) AS BIGINT) AS line_hashes FROM lines GROUP BY source)
+    SELECT source AS job_id, new_lines, new_bytes, line_hashes, CAST(sum(strlen(text) + 1) AS BIGINT) AS log_cursor
+    FROM sums JOIN d USING (source) GROUP BY ALL""",
+)
+def log_increment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log file per source, read behind a cursor in it: what is new, line by line, and the next cursor."""
+    folder = scratch_path(spark, "log-files")
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "text").write.partitionBy("source").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    logs = files.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("job_id"), "path")
+    old = docs.withColumn("last", F.lit(docs.agg(F.max("doc_id")).first()[0])).filter(F.col("doc_id") * 2 < F.col("last"))
+    cursors = old.groupBy(F.col("source").alias("job_id")).agg(F.sum(F.octet_length("text") + 1).alias("log_cursor"))
+    read = tail.new_text(logs, cursors, RANGE_BYTES)
+    lines = read.select("job_id", "log_cursor", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("job_id").agg(
+        F.count("*").alias("new_lines"),
+        F.sum(F.octet_length("line") + 1).alias("new_bytes"),
+        F.sum(F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("bigint")).alias("line_hashes"),
+        F.max("log_cursor").alias("log_cursor"),
+    )
+
+
 def _variables():
     job = F.create_map(F.lit("job_id"), F.col("job_id").cast("string"), F.lit("rule_name"), F.col("rule_name"))
     return F.map_concat(job, F.map_filter("payload", lambda k, _: ~k.isin("job_id", "rule_name")))

@@ -16,9 +16,11 @@ from tidewatch.operators.lifecycle import (
     chunk_stops,
     close_jobs,
     effect_column,
+    end_states,
     job_ends,
     job_outcomes,
     replay,
+    replay_fold,
     trigger_rows,
 )
 from tidewatch.operators.matching import match_triggers
@@ -142,6 +144,18 @@ def lifecycle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_outcomes(done, all_jobs)
 
 
+@query("lifecycle_resume", REPLAY_SQL)
+def lifecycle_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two runs: the second half of each conversation goes on from what the first left."""
+    rows = materialise(_rows(spark, sf_dir, GATED, cut=True), "resume-rows")
+    half = F.col("chunk_seq") < 4
+    first = materialise(replay_fold(rows.filter(half), GATED).filter("evaluated"), "resume-first")
+    states = end_states(first, GATED)
+    second = replay_fold(rows.filter(~half), GATED, initial=states).filter("evaluated")
+    all_jobs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("job_id"))
+    return job_outcomes(first.unionByName(second), all_jobs)
+
+
 SHORT_RULES = [
     {
         "name": "stuck",
@@ -169,7 +183,7 @@ REGISTRY_SQL = REPLAY_SQL.replace(
 )
 
 
-def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _registry(spark: SparkSession, sf_dir: str, long_rules: list[dict] = LONG_RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Jobs, log text and polls: long conversations have other rules than short ones."""
     turns = turn_chunks(spark, sf_dir)
     none = F.lit(None).cast("string")
@@ -182,7 +196,7 @@ def _registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
         F.lit("talk").alias("name"),
         F.lit("LocalJob").alias("class_name"),
         F.create_map().cast("map<string,string>").alias("metadata"),
-        F.when(F.col("turns") > 5, rules(LONG_RULES)).otherwise(rules(SHORT_RULES)).alias("log_events"),
+        F.when(F.col("turns") > 5, rules(long_rules)).otherwise(rules(SHORT_RULES)).alias("log_events"),
         F.lit(None).cast(T.ArrayType(STATE_EVENT)).alias("state_events"),
         *[none.alias(f"{label}_condition") for label in ("start", "cancel", "finish")],
         F.lit(True).alias("submitted"),
@@ -219,6 +233,26 @@ def registry_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("job_id", "chunk_seq", "rule_name", "effect", "message")
 
 
+ASKING_RULES = [LONG_RULES[0], LONG_RULES[1] | {"action": {"class_name": "NewJobAction", "job_config": "sweep"}}]
+
+
+@query(
+    "registry_requests",
+    REGISTRY_SQL.replace(
+        "SELECT job_id, arg_max(attempts, k) AS attempts, arg_max(outcome, k) AS final_state, CAST(max(fired) AS BIGINT) AS fired\nFROM r GROUP BY 1",
+        """SELECT r.job_id, chunk_seq, 'progress' AS rule_name, 'Submitting local command job' AS message, 'sweep' AS job_config
+    FROM (SELECT *, fired - lag(fired, 1, 0) OVER (PARTITION BY job_id ORDER BY k) AS now FROM r) r JOIN n USING (job_id, k)
+    WHERE now = 1 AND rule_idx = 3""",
+    ),
+)
+def registry_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The jobs that a registry's log rules ask for."""
+    jobs, turns, polls = _registry(spark, sf_dir, ASKING_RULES)
+    hits = materialise(registry_hits(jobs, turns), "registry-hits")
+    done = registry_actions(jobs, hits, replay_registry(jobs, turns, polls, hits=hits))
+    return done.filter(F.col("job_config").isNotNull()).select("job_id", "chunk_seq", "rule_name", "message", "job_config")
+
+
 @query(
     "registry_after",
     REGISTRY_SQL.replace(

@@ -135,15 +135,22 @@ def expand_arrays(jobs: DataFrame, ids: Column | None = None, started: Column |
     unread and ``started`` as its start, as far as the jobs have these columns.
     """
     length = F.greatest(F.lit(1), F.coalesce(F.col("array_len"), F.lit(1)))
-    count = length if ids is None else F.least(length, F.coalesce(F.size(ids), F.lit(0)))
-    splits = (length > 1) & (count > 0)
-    index = F.explode(F.when(splits, F.sequence(F.lit(0), count - 1)).otherwise(F.array(F.lit(None).cast("int"))))
-    rows = jobs.withColumns({"__ids": F.lit(None).cast("array<string>") if ids is None else ids, "array_idx": index})
+    given = F.lit(None).cast("array<string>") if ids is None else ids
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("string").alias("id")))
+
+    def tasks(v: Column) -> Column:
+        count = length if ids is None else F.least(length, F.coalesce(F.size(v), F.lit(0)))
+        each = F.zip_with(F.sequence(F.lit(0), length - 1), F.coalesce(v, F.array().cast("array<string>")), lambda i, d: F.struct(i.alias("i"), d.alias("id")))
+        return F.when((length > 1) & (count > 0), F.slice(each, 1, count)).otherwise(whole)
+
+    # The ids are worked out once per job: inside the generator and, by the one-element array, once there.
+    rows = jobs.withColumn("__task", F.explode(F.transform(F.array(given), tasks)[0]))
+    rows = rows.withColumn("array_idx", F.col("__task.i"))
     task = F.col("array_idx").isNotNull()
     fresh = {
         "attempts": F.col("attempts") + 1 if "attempts" in jobs.columns else None,
         "submitted": F.lit(True),
-        "runtime_job_id": F.get("__ids", F.col("array_idx")),
+        "runtime_job_id": F.col("__task.id"),
         "log_cursor": F.lit(0),
         "start_ts": started,
     }
@@ -152,7 +159,7 @@ def expand_arrays(jobs: DataFrame, ids: Column | None = None, started: Column |
         for name, value in fresh.items()
         if name in jobs.columns and value is not None
     }
-    rows = rows.withColumns(changed).drop("__ids")
+    rows = rows.withColumns(changed).drop("__task")
     task_id = F.concat_ws("_", F.col("job_id").cast("string"), F.col("array_idx").cast("string"))
     return rows.withColumn("job_id", task_id)
 

@@ -4,10 +4,17 @@ Matching is stateless and happens before the shuffle, so only triggers reach the
 store until the watermark has passed their time and are then taken in order, so the result does not depend on how a feed
 is cut into micro-batches. A key's state is its small memory and the rows of the last ``late`` stretch of time; rows later
 than that are dropped and counted. File sources are limited to a fixed size per micro-batch unless the caller sets another.
+
+A feed that has an end gets a mark there: operators called with ``marks`` also read that folder, and ``drain`` puts a row into it
+once the feed is read, whose time takes the watermark to the feed's last row. So all rows come out.
+
+``forget`` seconds after the last row of a key its state is cleared, by a timer in event time (state TTL goes by the clock and
+would make results depend on it); what comes later is a new key. A job is forgotten only once it has ended.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -77,17 +84,27 @@ class _Memories:
             self.stored.updateValue((key,), tuple(self.seen[key]))
 
 
+#: Fixed value: the key of the rows that mark the end of a feed.
+END_KEY = "\x00end"
+MARKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("us", T.LongType())])
+_MICROS = T.StructType([T.StructField("us", T.LongType())])
+
+
 class OrderedProcessor(StatefulProcessor):
     """Hands a key's rows to ``take`` in order, once the watermark has passed them.
 
-    ``waiting`` is the shape of the rows, with their time as ``us``; ``due`` may name one more time to be called at.
+    ``waiting`` is the shape of the rows, with their time as ``us``; ``due`` may name one more time to be called at. With
+    ``forget`` (milliseconds), ``clear`` is called so long after the last row taken, unless ``needed`` says otherwise.
     """
 
     waiting: T.StructType
+    forget: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getListState("pending", self.waiting)
+        if self.forget is not None:
+            self.latest = handle.getValueState("latest", _MICROS)
 
     def order(self, row: Row) -> tuple:
         raise NotImplementedError
@@ -98,7 +115,39 @@ class OrderedProcessor(StatefulProcessor):
     def due(self) -> int | None:
         return None
 
+    def needed(self) -> bool:
+        return False
+
+    def clear(self) -> None:
+        raise NotImplementedError
+
+    def _taken(self, key: Any, ready: list[Row], mark: int) -> Iterator[Row]:
+        """``take``, with the state cleared between rows and after them wherever the key was silent for long enough."""
+        if self.forget is None:
+            yield from self.take(key, ready, mark)
+            return
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        at = 0
+        for i, row in enumerate(ready):
+            if latest is not None and row.us - latest > self.forget * 1000:
+                yield from self.take(key, ready[at:i], (latest // 1000) + self.forget)
+                at = i
+                if not self.needed():
+                    self.clear()
+            latest = row.us if latest is None else max(latest, row.us)
+        yield from self.take(key, ready[at:], mark)
+        if latest is not None:
+            self.latest.update((latest,))
+            if self._idle_at() <= mark and not self.needed():
+                self.clear()
+                self.latest.clear()
+
+    def _idle_at(self) -> int:
+        return self.latest.get()[0] // 1000 + self.forget + 1
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if key[0] == END_KEY:
+            return
         names = self.waiting.names
         self.pending.appendList([tuple(row[name] for name in names) for row in rows])
         yield from self._release(key, timerValues)
@@ -114,10 +163,12 @@ class OrderedProcessor(StatefulProcessor):
             self.pending.clear()
             if rest:
                 self.pending.put([tuple(row) for row in rest])
-        yield from self.take(key, sorted((row for row in held if row.us // 1000 <= mark), key=self.order), mark)
+        yield from self._taken(key, sorted((row for row in held if row.us // 1000 <= mark), key=self.order), mark)
         wanted = {min(row.us for row in rest) // 1000} if rest else set()
         if (due := self.due()) is not None:
             wanted.add(due)
+        if self.forget is not None and self.latest.exists() and not self.needed():
+            wanted.add(self._idle_at())
         known = set(self.handle.listTimers())
         for timer in known - wanted:
             self.handle.deleteTimer(timer)
@@ -143,8 +194,22 @@ class JobProcessor(OrderedProcessor):
         ]
     )
 
-    def __init__(self, spec: Spec) -> None:
-        self.spec = spec
+    def __init__(self, spec: Spec, forget: int | None = None) -> None:
+        self.spec, self.forget = spec, forget
+
+    def needed(self) -> bool:
+        return not self.runtime.exists() or self.runtime.get()[2] is None
+
+    def clear(self) -> None:
+        self.runtime.clear()
+        self.memory.clear()
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        """A job goes on from what ``end_states`` says of it."""
+        state = initialState
+        self.runtime.update((state.attempts, state.submitted, state.outcome, None))
+        for held in state.memory or ():
+            self.memory.updateValue((held["gate"],), (held["started"], held["last"], held["latch"]))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -185,14 +250,36 @@ class JobProcessor(OrderedProcessor):
             self.memory.clear()
 
 
-def _keyed(rows: DataFrame, key: str, at: str, late: str) -> Any:
-    timed = rows.withColumns({key: F.col(key).cast("string"), "at": F.timestamp_micros(at)})
-    return timed.withWatermark("at", late).groupBy(key)
+def _keyed(rows: DataFrame, key: str, at: str, late: str, marks: str | None = None) -> Any:
+    timed = rows.withColumns({key: F.col(key).cast("string"), at: F.col(at).cast("long")})
+    if marks is not None:
+        ends = rows.sparkSession.readStream.schema(MARKS).parquet(marks)
+        timed = timed.unionByName(ends.select(F.col("key").alias(key), F.col("us").alias(at)), allowMissingColumns=True)
+    return timed.withColumn("at", F.timestamp_micros(at)).withWatermark("at", late).groupBy(key)
+
 
+def _millis(seconds: float | None) -> int | None:
+    return None if seconds is None else int(seconds * 1000)
 
-def job_decisions(rows: DataFrame, spec: Spec, late: str = "1 hour") -> DataFrame:
-    """Replay rows of a stream (see ``trigger_rows`` and ``poll_rows``) with what came of each, up to the watermark."""
-    return _keyed(rows, "job_id", "us", late).transformWithState(JobProcessor(spec), DECISIONS, "Append", "EventTime")
+
+def marks_folder(spark: SparkSession, name: str = "marks") -> str:
+    """A new folder for the mark at the end of one feed, empty so far."""
+    folder = scratch_path(spark, name)
+    spark.createDataFrame([], MARKS).write.parquet(folder)
+    return folder
+
+
+def job_decisions(
+    rows: DataFrame, spec: Spec, late: str = "1 hour", marks: str | None = None, initial: DataFrame | None = None, forget: float | None = None
+) -> DataFrame:
+    """Replay rows of a stream (see ``trigger_rows`` and ``poll_rows``) with what came of each, up to the watermark.
+
+    ``initial``, as from ``lifecycle.end_states``, holds where jobs stand before the stream's first row.
+    """
+    keyed = _keyed(rows, "job_id", "us", late, marks)
+    processor = JobProcessor(spec, _millis(forget))
+    before = None if initial is None else initial.withColumn("job_id", F.col("job_id").cast("string")).groupBy("job_id")
+    return keyed.transformWithState(processor, DECISIONS, "Append", "EventTime", before)
 
 
 TRANSITIONS = T.StructType(
@@ -219,10 +306,16 @@ class TransitionProcessor(OrderedProcessor):
         ]
     )
 
+    def __init__(self, forget: int | None = None) -> None:
+        self.forget = forget
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.last = handle.getValueState("last", T.StructType([T.StructField("status", T.StringType())]))
 
+    def clear(self) -> None:
+        self.last.clear()
+
     def order(self, row: Row) -> tuple:
         return row.us, row.seq
 
@@ -236,10 +329,12 @@ class TransitionProcessor(OrderedProcessor):
             self.last.update((old,))
 
 
-def stream_transitions(snapshots: DataFrame, late: str = "1 hour") -> DataFrame:
+def stream_transitions(
+    snapshots: DataFrame, late: str = "1 hour", marks: str | None = None, forget: float | None = None
+) -> DataFrame:
     """Status changes of a stream of ``(runtime_job_id, us, seq, status)``, up to the watermark."""
-    keyed = _keyed(snapshots, "runtime_job_id", "us", late)
-    return keyed.transformWithState(TransitionProcessor(), TRANSITIONS, "Append", "EventTime")
+    keyed = _keyed(snapshots, "runtime_job_id", "us", late, marks)
+    return keyed.transformWithState(TransitionProcessor(_millis(forget)), TRANSITIONS, "Append", "EventTime")
 
 
 SILENCE = T.StructType(
@@ -250,7 +345,6 @@ SILENCE = T.StructType(
     ]
 )
 SILENT = Row(*SILENCE.names)
-_MICROS = T.StructType([T.StructField("us", T.LongType())])
 OPEN = T.StructType([T.StructField("us", T.LongType()), T.StructField("told", T.BooleanType())])
 
 
@@ -265,6 +359,8 @@ class TimeoutProcessor(StatefulProcessor):
         self.started = handle.getValueState("started", _MICROS)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if key[0] == END_KEY:
+            return iter(())
         first = min(row.us for row in rows)
         known = self.started.get()[0] if self.started.exists() else None
         # An earlier row may come in a later micro-batch, as long as the watermark has not passed it.
@@ -283,18 +379,63 @@ class TimeoutProcessor(StatefulProcessor):
         pass
 
 
+class ForgettingTimeoutProcessor(OrderedProcessor):
+    """The same, but a key is forgotten ``rest`` milliseconds after its report and begins anew with a later row."""
+
+    waiting = _MICROS
+
+    def __init__(self, timeout_seconds: float, rest: int) -> None:
+        self.millis, self.rest = int(timeout_seconds * 1000), rest
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.started = handle.getValueState("started", OPEN)
+
+    def order(self, row: Row) -> tuple:
+        return (row.us,)
+
+    def take(self, key: Any, ready: list[Row], mark: int) -> Iterator[Row]:
+        since, told = self.started.get() if self.started.exists() else (None, False)
+        for row in ready:
+            if since is not None and row.us // 1000 > self._up(since) + self.rest:
+                if not told:
+                    yield SILENT(key[0], since, since + self.millis * 1000)
+                since, told = None, False
+            since = row.us if since is None else since
+        if since is not None and not told and self._up(since) <= mark:
+            yield SILENT(key[0], since, since + self.millis * 1000)
+            told = True
+        if since is None or told and self._up(since) + self.rest < mark:
+            self.started.clear()
+        else:
+            self.started.update((since, told))
+
+    def due(self) -> int | None:
+        since, told = self.started.get() if self.started.exists() else (None, False)
+        return None if since is None else self._up(since) + (self.rest + 1 if told else 0)
+
+    def _up(self, since: int) -> int:
+        return since // 1000 + self.millis
+
+
 class InactivityProcessor(OrderedProcessor):
     """Reports each silence of more than ``gap_seconds``: when the next row ends it, or when its time is up."""
 
     waiting = _MICROS
 
-    def __init__(self, gap_seconds: float) -> None:
-        self.micros = int(gap_seconds * 1_000_000)
+    def __init__(self, gap_seconds: float, forget: int | None = None) -> None:
+        self.micros, self.forget = int(gap_seconds * 1_000_000), forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.last = handle.getValueState("last", OPEN)
 
+    def needed(self) -> bool:
+        return self.last.exists() and not self.last.get()[1]
+
+    def clear(self) -> None:
+        self.last.clear()
+
     def order(self, row: Row) -> tuple:
         return (row.us,)
 
@@ -318,27 +459,25 @@ class InactivityProcessor(OrderedProcessor):
         return (last + self.micros) // 1000 + 1
 
 
-def _timed(rows: DataFrame, key: str, ts: str, late: str) -> Any:
-    shaped = rows.select(
-        F.col(key).cast("string").alias("key"),
-        F.col(ts).cast("timestamp").alias("at"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
-    )
-    return shaped.withWatermark("at", late).groupBy("key")
+def _timed(rows: DataFrame, key: str, ts: str, late: str, marks: str | None) -> Any:
+    shaped = rows.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return _keyed(shaped, "key", "us", late, marks)
 
 
-def stream_timeouts(rows: DataFrame, key: str, timeout_seconds: float, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+def stream_timeouts(
+    rows: DataFrame, key: str, timeout_seconds: float, ts: str = "ts", late: str = "1 hour", marks: str | None = None, forget: float | None = None
+) -> DataFrame:
     """Keys whose timeout passed, by event time. Rows later than ``late`` are dropped."""
-    return _timed(rows, key, ts, late).transformWithState(
-        TimeoutProcessor(timeout_seconds), SILENCE, "Append", "EventTime"
-    )
+    processor = TimeoutProcessor(timeout_seconds) if forget is None else ForgettingTimeoutProcessor(timeout_seconds, _millis(forget))
+    return _timed(rows, key, ts, late, marks).transformWithState(processor, SILENCE, "Append", "EventTime")
 
 
-def stream_inactivity(rows: DataFrame, key: str, gap_seconds: float, ts: str = "ts", late: str = "1 hour") -> DataFrame:
+def stream_inactivity(
+    rows: DataFrame, key: str, gap_seconds: float, ts: str = "ts", late: str = "1 hour", marks: str | None = None, forget: float | None = None
+) -> DataFrame:
     """Silences of a stream; one still open when its time is up has no end."""
-    return _timed(rows, key, ts, late).transformWithState(
-        InactivityProcessor(gap_seconds), SILENCE, "Append", "EventTime"
-    )
+    processor = InactivityProcessor(gap_seconds, _millis(forget))
+    return _timed(rows, key, ts, late, marks).transformWithState(processor, SILENCE, "Append", "EventTime")
 
 
 def read_stream(spark: SparkSession, table: str, **options: str) -> DataFrame:
@@ -350,19 +489,52 @@ def read_stream(spark: SparkSession, table: str, **options: str) -> DataFrame:
 
 
 def drain(
-    spark: SparkSession, stream: DataFrame, name: str, path: str | None = None, checkpoint: str | None = None
+    spark: SparkSession,
+    stream: DataFrame,
+    name: str,
+    path: str | None = None,
+    checkpoint: str | None = None,
+    marks: str | None = None,
+    late: str = "1 hour",
+    every: str | None = None,
 ) -> DataFrame:
-    """Run a stream over all that is there and read back what it wrote.
+    """Run a stream over all that is there and read back what it wrote; ``every`` polls at that interval instead of at once.
 
-    Pass the same path and checkpoint again to go on where the last run stopped.
+    Pass the same path and checkpoint again to go on where the last run stopped. ``marks`` is the folder the stream was made
+    with and says that the feed ends here: rows held back up to ``late`` come out too, and later ones would be dropped.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE_PROVIDER)
     path = path or scratch_path(spark, name)
-    query = write_stream(stream, path, checkpoint or f"{path}-checkpoint")
-    query.awaitTermination()
+    checkpoint = checkpoint or f"{path}-checkpoint"
+    progress = _run(stream, path, checkpoint, every)
+    if marks is not None and (end := _last_time(spark, progress, late)) is not None:
+        spark.createDataFrame([(END_KEY, end)], MARKS).coalesce(1).write.mode("append").parquet(marks)
+        _run(stream, path, checkpoint, every)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _run(stream: DataFrame, path: str, checkpoint: str, every: str | None) -> list[dict]:
+    query = write_stream(stream, path, checkpoint, every is None, every or "")
+    if every is None:
+        query.awaitTermination()
+    else:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
     if query.exception() is not None:
         raise query.exception()
-    return spark.read.schema(stream.schema).parquet(path)
+    return [json.loads(p.json) for p in query.recentProgress]
+
+
+def _last_time(spark: SparkSession, progress: list[dict], late: str) -> int | None:
+    """Time of a row that takes the watermark to the last row of a feed; None for a feed without rows."""
+    seen = [(p.get("eventTime", {}).get("max"), F.expr("interval 0 seconds")) for p in progress]
+    seen += [(p.get("eventTime", {}).get("watermark"), F.expr(f"interval {late}")) for p in progress]
+    times = [F.to_timestamp(F.lit(at)) + after + F.expr(f"interval {late}") for at, after in seen if at and not at.startswith("1970-01-01T00:00:00")]
+    if not times:
+        return None
+    return spark.range(1).select(F.array_max(F.transform(F.array(*times), F.unix_micros))).first()[0]
 
 
 def late_rows(progress: list[dict]) -> int:
