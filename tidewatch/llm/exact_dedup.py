@@ -145,7 +145,8 @@ def exact_groups(docs: DataFrame, chunk: int = CHUNK, digest: bool = False) -> D
     distinct = prints.select("_id", "_x", *PRINT).distinct()
     members = materialise(distinct.join(materialise(groups, "print-groups"), PRINT), "print-members")
     chunks = F.posexplode(chunks_of(F.col("_t"), chunk)).alias("k", "c")
-    texts = keyed(docs).join(members, ["_id", "_x"]).select(*members.columns, chunks)
+    # Members grow with the data, so they are merged at every size and never broadcast.
+    texts = keyed(docs).join(members.hint("merge"), ["_id", "_x"]).select(*members.columns, chunks)
     texts = materialise(texts.dropDuplicates(["_id", "_x", "k"]), "group-texts")
     done, rest = [], texts
     while True:
