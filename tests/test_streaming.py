@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewatch.operators import conditions as c
@@ -211,3 +212,75 @@ def test_end_states_of_two_runs_are_those_of_one(spark, chunks):
     second = lc.end_states(lc.replay_fold(rows.filter(~half), SPEC, initial=first), SPEC, earlier=first)
     assert sorted(map(str, whole.collect())) == sorted(map(str, second.collect()))
     assert any(m["latch"] is False for r in whole.collect() for m in r["memory"])
+
+
+class _Held:
+    """A list in the state store that counts what is put into it and read from it."""
+
+    def __init__(self):
+        self.values, self.reads = [], 0
+
+    def get(self):
+        self.reads += 1
+        return iter(list(self.values))
+
+    def appendValue(self, value):
+        self.values.append(value)
+
+    def appendList(self, values):
+        self.values += values
+
+    def clear(self):
+        self.values = []
+
+
+class _Handle:
+    def __init__(self):
+        self.pending, self.timers, self.state = _Held(), set(), None
+
+    def getListState(self, name, schema):
+        return self.pending
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.state is not None
+
+    def get(self):
+        return self.state
+
+    def update(self, state):
+        self.state = state
+
+    def listTimers(self):
+        return iter(set(self.timers))
+
+    def registerTimer(self, at_):
+        self.timers.add(at_)
+
+    def deleteTimer(self, at_):
+        self.timers.remove(at_)
+
+
+class _Clock:
+    def __init__(self, mark):
+        self.getCurrentWatermarkInMs = lambda: mark
+
+
+def test_rows_of_a_micro_batch_are_held_as_one_value():
+    """Rows that wait are written as one value a key and not read back before their time; the earliest sets the timer."""
+    row, handle = Row("runtime_job_id", "us", "seq", "status", "at"), _Handle()
+    processor = streaming.TransitionProcessor()
+    processor.init(handle)
+    for start in (500, 100, 900):
+        came = [row("a", (start + i) * 1000, start + i, "ab"[i // 2 % 2], None) for i in range(40)]
+        assert not list(processor.handleInputRows(("a",), iter(came), _Clock(50)))
+    assert len(handle.pending.values) == 3 and handle.pending.reads == 0
+    assert min(handle.timers) == 100
+    told = list(processor.handleExpiredTimer(("a",), _Clock(519), None))
+    assert [r.seq for r in told] == [*range(100, 140, 2), *range(500, 520, 2)]
+    assert len(handle.pending.values) == 1 and handle.timers == {520}
+    rest = list(processor.handleInputRows(("a",), iter([row("a", 521_500, 0, "c", None)]), _Clock(2000)))
+    assert [r.seq for r in rest] == [520, 0, 522, *range(524, 540, 2), *range(900, 940, 2)]
+    assert not handle.pending.values and not handle.timers

@@ -15,7 +15,9 @@ would make results depend on it); what comes later is a new key. A job is forgot
 from __future__ import annotations
 
 import json
+from collections import namedtuple
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -95,6 +97,7 @@ class OrderedProcessor(StatefulProcessor):
 
     ``waiting`` is the shape of the rows, with their time as ``us``; ``due`` may name one more time to be called at. With
     ``forget`` (milliseconds), ``clear`` is called so long after the last row taken, unless ``needed`` says otherwise.
+    The rows that one micro-batch brings are held as one value, an array per column, so the store is asked per key and not per row.
     """
 
     waiting: T.StructType
@@ -102,7 +105,9 @@ class OrderedProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.waiting)
+        self.row = namedtuple("Waiting", self.waiting.names)
+        columns = [T.StructField(field.name, T.ArrayType(field.dataType)) for field in self.waiting]
+        self.pending = handle.getListState("pending", T.StructType(columns))
         if self.forget is not None:
             self.latest = handle.getValueState("latest", _MICROS)
 
@@ -148,21 +153,28 @@ class OrderedProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         if key[0] == END_KEY:
             return
-        names = self.waiting.names
-        self.pending.appendList([tuple(row[name] for name in names) for row in rows])
-        yield from self._release(key, timerValues)
+        came = list(rows)
+        places = map(came[0].__fields__.index, (*self.waiting.names, "us"))
+        *columns, times = map(list, zip(*map(itemgetter(*places), came), strict=True))
+        self.pending.appendValue(tuple(columns))
+        first = min(times) // 1000
+        if first <= timerValues.getCurrentWatermarkInMs():
+            yield from self._release(key, timerValues)
+        # Rows held from before have a timer of their own, which calls in this micro-batch if they are due.
+        elif all(timer > first for timer in self.handle.listTimers()):
+            self.handle.registerTimer(first)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         yield from self._release(key, timerValues)
 
     def _release(self, key: Any, timerValues: Any) -> Iterator[Row]:
-        make, mark = Row(*self.waiting.names), timerValues.getCurrentWatermarkInMs()
-        held = [make(*row) for row in self.pending.get()]
+        mark = timerValues.getCurrentWatermarkInMs()
+        held = [row for columns in self.pending.get() for row in map(self.row, *columns)]
         rest = [row for row in held if row.us // 1000 > mark]
         if len(rest) < len(held):
             self.pending.clear()
             if rest:
-                self.pending.put([tuple(row) for row in rest])
+                self.pending.appendValue(tuple(map(list, zip(*rest, strict=True))))
         yield from self._taken(key, sorted((row for row in held if row.us // 1000 <= mark), key=self.order), mark)
         wanted = {min(row.us for row in rest) // 1000} if rest else set()
         if (due := self.due()) is not None:
