@@ -246,6 +246,25 @@ def test_encoder_equals_tokenizer():
             assert list(encode.encode_all(given)) == [encode.plain(x) for x in given]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_new_words_are_made_of_known_pieces(path, monkeypatch):
+    """Plain new words are cut as the tokenizer cuts them; other new ones are still encoded as they are."""
+    rng = random.Random(5)
+    parts = ["don't", "It'S", "'ll", "we'Re", "ab", "ÀÉß", "çñ", "x1y22", "...", "--a", "$%", "\n", ".\nNext", "ÿz", "~", "|>", "'", "'s'd", "I"]
+    odd = ["×", "ÿ÷", "e\u0301", "\u0130x", "\u03a3\u03a3", "\u212a", "\xa0q", "\x7f", "\t", "\u4e2d\u6587", "\xb5", "\u0660", "\U0001f600", "<|endoftext|>"]
+    plain = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 4))) for _ in range(30)) for _ in range(300)]
+    mixed = [" ".join("".join(rng.choices(parts + odd, k=rng.randint(0, 4))) for _ in range(30)) for _ in range(300)]
+    encode = Encoder(path)
+    assert list(encode.encode_all([*mixed, None, "", " "])) == [*map(encode.plain, mixed), b"", b"", encode.plain(" ")]
+    held = ["a", "ab " * 30, "b" * 90 + " c", " x", "c d"]
+    monkeypatch.setattr("tidewatch.llm.tokens.HELD", 60)
+    assert list(encode.encode_all(held)) == list(map(encode.plain, held))
+    monkeypatch.setattr(Encoder, "_fast", lambda self, text: pytest.fail("a plain word was encoded as a text"))
+    known = Encoder(path)
+    assert list(known.encode_all(plain)) == list(map(known.plain, plain))
+
+
+
 def ids_of(path, text, end):
     tool = Tokenizer.from_file(path)
     tool.encode_special_tokens = True
